@@ -15,6 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived table written once per application to the shared scratch folder.
+
+    Queries that start from a panel or from predictions share it, as they would share the
+    stored tables of a deployment; it is read back from files, never from memory.
+    """
+    from factorloom.session import settle
+
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = settle(build(spark, sf_dir), name)
+    return _STORED[key]
+
+
 def cents(c: str):
     return F.round(F.col(c) * 100).cast("bigint")
 
@@ -93,13 +110,23 @@ def macro_m(spark, sf_dir) -> DataFrame:
         (F.max("o_totalprice") / 1000).alias("yield_curve"))
 
 
+def closes(spark, sf_dir) -> DataFrame:
+    """The monthly closes as a stored table."""
+    return stored(spark, sf_dir, "close_m", close_m)
+
+
 def rets_m(spark, sf_dir) -> DataFrame:
     from factorloom.operators.prices import simple_returns
 
-    return simple_returns(close_m(spark, sf_dir)).select("ticker", "date", "close", "ret")
+    return simple_returns(closes(spark, sf_dir)).select("ticker", "date", "close", "ret")
 
 
 def preds(spark, sf_dir) -> DataFrame:
+    """The predictions as a stored table."""
+    return stored(spark, sf_dir, "preds", build_preds)
+
+
+def build_preds(spark, sf_dir) -> DataFrame:
     """Score = mean return of six months; the newest month has no forward return."""
     from factorloom.functions.windows import Positional
     from factorloom.operators.calendar import calendar, densify

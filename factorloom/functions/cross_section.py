@@ -151,13 +151,13 @@ def row_numbers(df: DataFrame, by: Sequence[str], value: str, tie: str, *, desce
     equals = Window.partitionBy(*by, value).orderBy(t_order).rowsBetween(_FIRST, -1)
     units = units.withColumn("_i", F.coalesce(F.sum("_k").over(equals), F.lit(0)))
     units = units.join(order, [*by, value]).select(
-        *by, value, "_t", (before + F.col("_i")).alias("_base"), F.col("total").alias("_n"))
+        *by, value, "_t", (before + F.col("_i")).alias("_base"), F.col("total").alias("_all"))
     w = Window.partitionBy(*by, value, "_t").orderBy(F.col(tie).asc())
     rows = df.join(units, [*by, value, "_t"]).withColumn(
         out, (F.col("_base") + F.row_number().over(w)).cast("int"))
     if count:
-        rows = rows.withColumn(count, F.col("_n"))
-    return rows.drop("_t", "_base", "_n")
+        rows = rows.withColumn(count, F.col("_all"))
+    return rows.drop("_t", "_base", "_all")
 
 
 # ------------------------------------------------------------------------------ quantiles

@@ -22,6 +22,7 @@ from factorloom.models.grid import param_grid
 from factorloom.operators.calendar import calendar, with_position
 from factorloom.operators.evaluate import spearman
 from factorloom.params import ELASTIC_NET, IMPUTE_FILL, TuningParams, WalkForwardParams
+from factorloom.session import settle
 
 
 def imputed(features: Sequence[str], fill: float = IMPUTE_FILL) -> list[Column]:
@@ -146,17 +147,23 @@ def tune(panel: DataFrame, prefixes: DataFrame, folds: DataFrame, features: Sequ
 def walk_forward(panel: DataFrame, features: Sequence[str], *, target: str = "target",
                  params: WalkForwardParams = WalkForwardParams(), spec: dict | None = None,
                  tuning: TuningParams | None = None, fwd: str = "forward_return", date: str = "date",
-                 wide_groups: bool = False) -> tuple[DataFrame, DataFrame]:
+                 stored: bool = False, wide_groups: bool = False) -> tuple[DataFrame, DataFrame]:
     """Out-of-sample scores for every test date, and the fold models.
 
+    The panel is read several times (calendar, sums, scoring), so unless it is ``stored``
+    already it is written once to the shared scratch folder; so are the prefix sums, one
+    short row per date.
+
     Returns (panel rows of the test dates with ``pred`` and ``fold``, fold models with the
     parameters used). Without ``tuning`` the default candidate is used throughout.
     """
     features = list(features)
     grid = param_grid(spec or ELASTIC_NET)
+    if not stored:
+        panel = settle(panel, "panel")
     cal = calendar(panel, date)
     folds = fold_table(panel, params, date)
-    prefixes = prefix_sums(date_sums(panel, features, target, date), cal, date)
+    prefixes = settle(prefix_sums(date_sums(panel, features, target, date), cal, date), "prefixes")
     per_fold = folds.groupBy("fold").agg(F.max("train_end_pos").alias("train_end_pos"))
     if tuning is not None and len(grid) > 1:
         chosen = tune(panel, prefixes, folds, features, grid=grid, tuning=tuning, cal=cal, fwd=fwd,

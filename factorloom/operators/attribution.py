@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 FACTORS = ("mkt_rf", "smb", "hml", "rmw", "cma", "mom")
 
 
-def _solve(k: int, factors: Sequence[str], by: Sequence[str]):
+def _solve(k: int, by: Sequence[str]):
     """Batch solver: each input row carries one group's cross-product sums."""
     size = k + 2  # intercept, factors, response
     upper = np.triu_indices(size)
@@ -26,9 +26,10 @@ def _solve(k: int, factors: Sequence[str], by: Sequence[str]):
                 g[upper] = row.gram
                 g = g + np.triu(g, 1).T
                 n = int(round(g[0, 0]))
-                head = {c: getattr(row, c) for c in by} | {"n_months": n}
+                head = {c: getattr(row, c) for c in by} | {"n_months": n, "error": None}
                 if n < k + 2:
-                    out.append(head | {"error": "insufficient overlapping months"})
+                    none = [None] * k
+                    out.append(head | {"coefs": none, "tstats": none, "error": "insufficient overlapping months"})
                     continue
                 # centre on the means: better conditioned than the raw normal equations
                 mean = g[0, 1:] / n
@@ -48,10 +49,9 @@ def _solve(k: int, factors: Sequence[str], by: Sequence[str]):
                 out.append(head | {
                     "alpha_monthly": num(alpha), "alpha_annual": num((1 + alpha) ** 12 - 1),
                     "alpha_tstat": num(ta), "r_squared": num(r2),
-                    "betas": dict(zip(factors, map(num, beta))),
-                    "beta_tstats": dict(zip(factors, map(num, t)))})
+                    "coefs": [num(b) for b in beta], "tstats": [num(x) for x in t]})
             yield pd.DataFrame(out, columns=[*by, "alpha_monthly", "alpha_annual", "alpha_tstat",
-                                             "r_squared", "betas", "beta_tstats", "n_months", "error"])
+                                             "r_squared", "coefs", "tstats", "n_months", "error"])
 
     return run
 
@@ -72,13 +72,17 @@ def factor_attribution(returns: DataFrame, factors: DataFrame, *, by: Sequence[s
     terms = [F.lit(1.0), *(F.col(c) for c in cols), F.col("_r") - F.col("rf")]
     pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
     gram = joined.groupBy(*by).agg(F.array(*(F.sum(terms[i] * terms[j]) for i, j in pairs)).alias("gram"))
-    coef = T.MapType(T.StringType(), T.DoubleType())
+    series = T.ArrayType(T.DoubleType())
     schema = T.StructType(
         [gram.schema[c] for c in by]
         + [T.StructField(c, T.DoubleType()) for c in ("alpha_monthly", "alpha_annual", "alpha_tstat", "r_squared")]
-        + [T.StructField("betas", coef), T.StructField("beta_tstats", coef),
+        + [T.StructField("coefs", series), T.StructField("tstats", series),
            T.StructField("n_months", T.IntegerType()), T.StructField("error", T.StringType())])
-    return gram.mapInPandas(_solve(len(cols), cols, by), schema)
+    solved = gram.mapInPandas(_solve(len(cols), by), schema)
+    names = F.array(*(F.lit(c) for c in cols))
+    return solved.select(*by, "alpha_monthly", "alpha_annual", "alpha_tstat", "r_squared",
+                         F.map_from_arrays(names, "coefs").alias("betas"),
+                         F.map_from_arrays(names, "tstats").alias("beta_tstats"), "n_months", "error")
 
 
 def coefficient_table(attribution: DataFrame, by: Sequence[str] = ("strategy",)) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from factorloom.functions.dates import next_month_end
 from factorloom.operators.attribution import factor_attribution
 from factorloom.operators.portfolio import Strategy, build_portfolio, turnover
+from factorloom.session import settle
 
 _KEY = ["model_version", "strategy"]
 MONTHS = 12
@@ -100,16 +101,19 @@ def performance_summary(returns: DataFrame, ret: str = "net", by: Sequence[str]
 
 
 def run_strategy_backtest(preds: DataFrame, factors: DataFrame | None = None,
-                          strategies: Sequence[Strategy] = (Strategy(),)) -> BacktestResult:
+                          strategies: Sequence[Strategy] = (Strategy(),), *, stored: bool = False) -> BacktestResult:
     """Predictions -> hold-buffer portfolio -> net monthly returns, summary, attribution.
 
+    Predictions are read several times, so unless ``stored`` already they are written once
+    to the shared scratch folder, and so are the holdings (a few rows per date).
+
     Months without any realised return are live picks and stay out. Returns are re-keyed
     from formation to realisation month.
     """
     if "model_version" not in preds.columns:
         preds = preds.withColumn("model_version", F.lit("model"))
-    preds = realized_only(preds)
-    holdings = build_portfolio(preds, strategies)
+    preds = realized_only(preds if stored else settle(preds, "predictions"))
+    holdings = settle(build_portfolio(preds, strategies), "holdings")
     returns = backtest_returns(holdings, preds, strategies).withColumn("date", next_month_end(F.col("date")))
     return BacktestResult(
         returns=returns,

@@ -128,26 +128,21 @@ def sells(holdings: DataFrame, preds: DataFrame) -> DataFrame:
 def turnover(portfolio: DataFrame, by: Sequence[str] = ("model_version", "strategy")) -> DataFrame:
     """Half the absolute weight change per rebalance; the first build counts 0.5.
 
-    Every weight is emitted at its own date and, negated, at the next one, and the two meet
-    in one aggregate instead of a self-join.
+    Every weight is emitted at its own rebalance and, negated, at the next one, and the two
+    meet in one aggregate instead of a self-join. A strategy's rows are its rebalance dates
+    times its holdings, so the window that numbers the dates is bounded.
     """
     by = list(by)
-    cal = calendar_by(portfolio, by)
-    last = Window.partitionBy(*by)
-    cal = cal.withColumn("_end", F.max("_i").over(last))
-    placed = portfolio.join(cal, [*by, "date"])
-    moves = placed.select(*by, "ticker", "_end", F.explode(F.array(
-        F.struct(F.col("_i").alias("i"), F.col("weight").alias("w")),
-        F.struct((F.col("_i") + 1).alias("i"), (-F.col("weight")).alias("w")))).alias("m"))
-    change = (moves.where(F.col("m.i") <= F.col("_end"))
-              .groupBy(*by, F.col("m.i").alias("_i"), "ticker").agg(F.sum("m.w").alias("d")))
-    total = change.groupBy(*by, "_i").agg(F.sum(F.abs("d")).alias("d"))
-    half = F.when(F.col("_i") == 0, F.lit(0.5)).otherwise(F.col("d") / 2)
-    return total.join(cal.drop("_end"), [*by, "_i"]).select(*by, "date", half.alias("turnover"))
-
-
-def calendar_by(df: DataFrame, by: Sequence[str], date: str = "date") -> DataFrame:
-    """Distinct dates per group with their 0-based index ``_i``."""
-    days = df.select(*by, date).distinct()
-    return days.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(date)) - 1)
-
+    w = Window.partitionBy(*by).orderBy("date")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    i = F.dense_rank().over(w)
+    placed = portfolio.select(*by, "date", "ticker", "weight", i.alias("_i"), F.max("date").over(whole).alias("_end"))
+    moves = placed.select(*by, "ticker", F.explode(F.array(
+        F.struct(F.col("_i").alias("i"), F.col("weight").alias("w"), F.col("date").alias("d")),
+        F.when(F.col("date") < F.col("_end"), F.struct(
+            (F.col("_i") + 1).alias("i"), (-F.col("weight")).alias("w"), F.lit(None).cast("date").alias("d"))))).alias("m"))
+    change = moves.where(F.col("m").isNotNull()).groupBy(*by, F.col("m.i").alias("_i"), "ticker").agg(
+        F.sum("m.w").alias("_c"), F.max("m.d").alias("_d"))
+    total = change.groupBy(*by, "_i").agg(F.sum(F.abs("_c")).alias("_c"), F.max("_d").alias("date"))
+    half = F.when(F.col("_i") == 1, F.lit(0.5)).otherwise(F.col("_c") / 2)
+    return total.select(*by, "date", half.alias("turnover"))

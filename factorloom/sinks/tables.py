@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from factorloom import params
 from factorloom.schema import CASH_TICKER, FACTOR_NAMES, FUNDAMENTAL_COLUMNS, PANEL_COLUMNS, require_columns
 
-_POINTER = "_current"
+_POINTER = "CURRENT"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -45,7 +45,7 @@ def read_version(spark: SparkSession, path: str) -> DataFrame:
 def _publish(spark: SparkSession, path: str, version: str) -> None:
     fs, jvm = _fs(spark, path)
     hpath = jvm.org.apache.hadoop.fs.Path
-    tmp, pointer = hpath(f"{path}/_{uuid.uuid4().hex}"), hpath(f"{path}/{_POINTER}")
+    tmp, pointer = hpath(f"{path}/CURRENT-{uuid.uuid4().hex}"), hpath(f"{path}/{_POINTER}")
     out = fs.create(tmp, True)
     out.write(bytearray(version.encode()))
     out.close()
