@@ -57,19 +57,18 @@ _FLOW = {
   ON c.ticker = d.ticker AND c.start = d.start AND c.filed <= d.filed GROUP BY 1, 2, 3, 4""",
     "stepped": """SELECT ticker, filed, q, val - coalesce(lag(val) OVER (PARTITION BY ticker, start, filed ORDER BY q), 0) AS d FROM known""",
     "events": """SELECT ticker, q, filed FROM stepped UNION SELECT ticker, q, filed FROM three""",
-    "chain_own": """SELECT ticker, filed, q, start, val FROM filings_own""",
     "states": """SELECT e.ticker, e.q, e.filed, coalesce(t.direct, s.d) AS val FROM events AS e
   ASOF LEFT JOIN three AS t ON t.ticker = e.ticker AND t.q = e.q AND e.filed >= t.filed
   ASOF LEFT JOIN stepped AS s ON s.ticker = e.ticker AND s.q = e.q AND e.filed >= s.filed""",
     "forms": """SELECT ticker, filed, arg_max(form, "end") AS form FROM filings GROUP BY 1, 2""",
     "pts": "SELECT *, lag(val) OVER (PARTITION BY ticker, q ORDER BY filed) AS prev FROM states",
 }
-_FLOW.pop("chain_own")
 
-
-@query("flow_changepoints", None)
+@query("flow_changepoints", with_views("""SELECT ticker, 'revenue' AS concept, q AS period_end, filed AS filed_date,
+    round(val, 2) + 0.0 AS value, form FROM pts JOIN forms USING (ticker, filed) WHERE prev IS NULL OR prev <> val""",
+                                       "filings", extra=_FLOW))
 def flow_changepoints(spark, sf):
-    return fx.flow_changepoints(v.filings(spark, sf))
+    return rounded(fx.flow_changepoints(v.filings(spark, sf)), 2)
 
 
 def _tagged(spark, sf):
@@ -94,7 +93,7 @@ def match_concepts(spark, sf):
     return matched.groupBy("ticker", "concept", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("extract_facts", None)
+@query("extract_facts")
 def extract_facts(spark, sf):
     return fx.extract_facts(_tagged(spark, sf))
 

@@ -51,26 +51,23 @@ def prefix_sums(sums: DataFrame, cal: DataFrame, date: str = "date") -> DataFram
                         F.array(*(F.sum(c).over(w) for c in cols)).alias("gram"))
 
 
-def coordinate_descent(sxx: np.ndarray, sxy: np.ndarray, alpha: float, l1_ratio: float,
+def coordinate_descent(sxx: np.ndarray, sxy: np.ndarray, alpha: np.ndarray, l1_ratio: np.ndarray,
                        tol: float = 1e-10, max_iter: int = 5000) -> np.ndarray:
-    """Minimise 1/2 b'Sb - b's + alpha * l1 * |b|_1 + alpha * (1 - l1) / 2 * |b|^2
-    for centred second moments S, s (both divided by n)."""
-    p = len(sxy)
-    beta, residual = np.zeros(p), sxy.copy()
+    """Minimise 1/2 b'Sb - b's + alpha * l1 * |b|_1 + alpha * (1 - l1) / 2 * |b|^2 for a
+    batch of problems: S is (batch, p, p), s is (batch, p), both centred second moments."""
+    beta, residual = np.zeros_like(sxy), sxy.copy()
     l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio)
-    diag = np.diag(sxx)
+    diag = np.diagonal(sxx, axis1=1, axis2=2)
+    scale = np.where(diag > 0, diag + l2[:, None], 1.0)
     for _ in range(max_iter):
         moved = 0.0
-        for j in range(p):
-            if diag[j] <= 0:
-                continue
-            rho = residual[j] + diag[j] * beta[j]
-            new = np.sign(rho) * max(abs(rho) - l1, 0.0) / (diag[j] + l2)
-            step = new - beta[j]
-            if step:
-                residual -= step * sxx[:, j]
-                beta[j] = new
-                moved = max(moved, abs(step))
+        for j in range(sxy.shape[1]):
+            rho = residual[:, j] + diag[:, j] * beta[:, j]
+            new = np.sign(rho) * np.maximum(np.abs(rho) - l1, 0.0) / scale[:, j]
+            step = np.where(diag[:, j] > 0, new - beta[:, j], 0.0)
+            residual -= step[:, None] * sxx[:, :, j]
+            beta[:, j] += step
+            moved = max(moved, np.abs(step).max(initial=0.0))
         if moved < tol:
             break
     return beta
@@ -81,30 +78,34 @@ def _solver(p: int, id_cols: Sequence[str]):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            coefs, intercepts = [], []
-            for row in pdf.itertuples(index=False):
-                g = np.zeros((p + 2, p + 2))
-                g[upper] = row.gram
-                g = g + np.triu(g, 1).T
-                n = g[0, 0]
-                mean = g[0, 1:] / n
-                m2 = g[1:, 1:] / n - np.outer(mean, mean)
-                beta = coordinate_descent(m2[:p, :p], m2[:p, p], row.alpha, row.l1_ratio)
-                coefs.append([float(b) for b in beta])
-                intercepts.append(float(mean[p] - mean[:p] @ beta))
+            g = np.zeros((len(pdf), p + 2, p + 2))
+            sums = np.stack(pdf["gram"].to_list()) if len(pdf) else np.zeros((0, len(upper[0])))
+            g[:, upper[0], upper[1]] = sums
+            g[:, upper[1], upper[0]] = sums
+            n = g[:, 0, 0]
+            mean = g[:, 0, 1:] / n[:, None]
+            m2 = g[:, 1:, 1:] / n[:, None, None] - mean[:, :, None] * mean[:, None, :]
+            beta = coordinate_descent(m2[:, :p, :p], m2[:, :p, p].copy(), pdf["alpha"].to_numpy(),
+                                      pdf["l1_ratio"].to_numpy())
             out = pdf[list(id_cols)].copy()
-            out["intercept"], out["coef"] = intercepts, coefs
+            out["intercept"] = mean[:, p] - (mean[:, :p] * beta).sum(axis=1)
+            out["coef"] = list(beta)
             yield out
 
     return run
 
 
 def solve(jobs: DataFrame, n_features: int, id_cols: Sequence[str]) -> DataFrame:
-    """jobs (ids, alpha, l1_ratio, gram) -> (ids, intercept, coef)."""
+    """jobs (ids, alpha, l1_ratio, gram) -> (ids, intercept, coef).
+
+    A job is a few kilobytes and a batch of them is solved at once; the jobs are spread
+    over the cluster's cores.
+    """
     kinds = [jobs.schema[c] for c in id_cols]
     schema = T.StructType([*kinds, T.StructField("intercept", T.DoubleType()),
                            T.StructField("coef", T.ArrayType(T.DoubleType()))])
-    return jobs.repartition(*id_cols).mapInPandas(_solver(n_features, id_cols), schema)
+    width = jobs.sparkSession.sparkContext.defaultParallelism
+    return jobs.repartition(width, *id_cols).mapInPandas(_solver(n_features, id_cols), schema)
 
 
 def linear_score(features: Sequence[str]) -> Column:

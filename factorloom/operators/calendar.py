@@ -38,8 +38,10 @@ def densify(df: DataFrame, cal: DataFrame, key: str = "ticker", date: str = "dat
     rest = [c for c in df.columns if c not in (key, date)]
     w = Window.partitionBy(key).orderBy(F.col(pos).asc_nulls_first())
     end = last_position(cal, pos)
-    placed = with_position(df, cal, "left", date).withColumns({
-        "_rn": F.row_number().over(w), "_next": F.lead(pos).over(w)})
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # rows off the calendar sort first; only the first of them stands for the leading gap
+    following = F.when(F.col(pos).isNull(), F.min(pos).over(whole)).otherwise(F.lead(pos).over(w))
+    placed = with_position(df, cal, "left", date).withColumns({"_rn": F.row_number().over(w), "_next": following})
     start = F.when(F.col("_rn") == 1, F.lit(0)).otherwise(F.col(pos))
     stop = F.coalesce(F.col("_next") - 1, end)
     gap = F.when(start <= stop, F.sequence(start, stop))
