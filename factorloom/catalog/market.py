@@ -42,12 +42,12 @@ def panel_daily_table(spark, sf):
 
 def panel(spark, sf, **kw):
     return assemble_panel(v.close_m(spark, sf), fund(spark, sf), v.macro_m(spark, sf), v.sectors(spark, sf),
-                          wide_groups=wide(spark, sf), **kw)
+                          price_calendar=v.sessions(spark, sf, "month"), wide_groups=wide(spark, sf), **kw)
 
 
 def panel_daily(spark, sf, **kw):
     return assemble_panel_daily(v.bars_w(spark, sf), fund(spark, sf), v.sectors(spark, sf),
-                                wide_groups=wide(spark, sf), **kw)
+                                price_calendar=v.sessions(spark, sf, "week"), wide_groups=wide(spark, sf), **kw)
 
 
 # ------------------------------------------------------------------------------------ prices
@@ -104,7 +104,7 @@ def daily_features(spark, sf):
 @query("daily_features_sparse", with_views(
     f"SELECT ticker, date, {rs(_TECH)} FROM feat_d WHERE price IS NOT NULL", "bars_d", extra=dict(list(daily_ctes('bars_d').items())[:4])))
 def daily_features_sparse(spark, sf):
-    return rounded(technical_features(daily_returns(v.bars_d(spark, sf))).select("ticker", "date", *_TECH))
+    return rounded(technical_features(daily_returns(v.bars_d(spark, sf), price_calendar=v.sessions(spark, sf, "day"))).select("ticker", "date", *_TECH))
 
 
 @query("forward_h", with_views(

@@ -32,6 +32,11 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return _STORED[key]
 
 
+def forget_stored() -> None:
+    """Make the next query derive its inputs again."""
+    _STORED.clear()
+
+
 def cents(c: str):
     return F.round(F.col(c) * 100).cast("bigint")
 
@@ -110,6 +115,15 @@ def macro_m(spark, sf_dir) -> DataFrame:
         (F.max("o_totalprice") / 1000).alias("yield_curve"))
 
 
+def sessions(spark, sf_dir, unit: str) -> DataFrame:
+    """Calendar of ship dates by day, week or month end, from that one column."""
+    from factorloom.operators.calendar import calendar
+
+    d = F.col("l_shipdate").cast("date")
+    at = {"day": d, "week": F.trunc(d, "WEEK"), "month": F.last_day(d)}[unit]
+    return calendar(table(spark, sf_dir, "lineitem").select(at.alias("date")))
+
+
 def closes(spark, sf_dir) -> DataFrame:
     """The monthly closes as a stored table."""
     return stored(spark, sf_dir, "close_m", close_m)

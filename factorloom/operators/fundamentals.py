@@ -21,11 +21,22 @@ def first_reported(facts: DataFrame) -> DataFrame:
 
 
 def quarterly_wide(facts: DataFrame, concepts: Sequence[str] = CONCEPTS) -> DataFrame:
-    """One row per (ticker, period_end): a column per concept and the availability date."""
-    first = first_reported(facts)
-    return first.groupBy("ticker", "period_end").agg(
-        F.max("filed_date").alias("availability_date"),
-        *(F.max(F.when(F.col("concept") == c, F.col("value"))).alias(c) for c in concepts))
+    """One row per (ticker, period_end): first-reported value per concept, availability date.
+
+    The first report of every concept is found in the same aggregate that pivots, so facts
+    are combined down to one row per quarter before the only shuffle. A row is available
+    once the last of its concepts was first filed.
+    """
+    c = F.col("concept")
+    known = facts.where(c.isin(list(concepts)))
+    value, filed = F.col("value"), F.col("filed_date")
+    dated = F.when(value.isNotNull(), filed)
+    wide = known.groupBy("ticker", "period_end").agg(
+        *(F.min_by("value", F.when(c == n, dated)).alias(n) for n in concepts),
+        *(F.min(F.when(c == n, filed)).alias(f"_f_{n}") for n in concepts))
+    first = [F.col(f"_f_{n}") for n in concepts]
+    available = F.greatest(*first) if len(first) > 1 else first[0]
+    return wide.select("ticker", "period_end", available.alias("availability_date"), *concepts)
 
 
 def operating_tickers(wide: DataFrame) -> DataFrame:

@@ -21,13 +21,16 @@ FUNDAMENTAL_INPUTS = [
 ]
 
 
-def monthly_grid(prices: DataFrame, bounds=PanelParams.return_bounds, drop_unpriced: bool = False) -> DataFrame:
+def monthly_grid(prices: DataFrame, bounds=PanelParams.return_bounds, drop_unpriced: bool = False,
+                 price_calendar: DataFrame | None = None) -> DataFrame:
     """Prices and masked returns on the monthly return calendar, with positions.
 
+    ``price_calendar`` (date, pos) spares the pass that derives it from the prices.
+
     Return dates are the price dates on which at least one ticker has a return; offsets
     count those dates. The grid is dense unless ``drop_unpriced``.
     """
-    raw = simple_returns(prices.select("ticker", "date", "close"))
+    raw = simple_returns(prices.select("ticker", "date", "close"), price_calendar)
     raw = raw.select("ticker", "date", "close", "ret")
     cal = calendar(raw.where(F.col("ret").isNotNull()))
     rows = masked_returns(raw, bounds)
@@ -54,13 +57,13 @@ def attach_fundamentals(panel: DataFrame, fundamentals: DataFrame) -> DataFrame:
 
 def assemble_panel(prices: DataFrame, fundamentals: DataFrame, macro: DataFrame, sectors: DataFrame, *,
                    normalized: bool = True, drop_unpriced: bool = False, params: PanelParams = PanelParams(),
-                   wide_groups: bool = False) -> DataFrame:
+                   price_calendar: DataFrame | None = None, wide_groups: bool = False) -> DataFrame:
     """Monthly closes, quarterly features, macro series and sectors -> feature panel.
 
     Features, as-of join and sector tag share the partitioning on ticker; the ranks need
     one more shuffle, on (date, sector). Market cap and the forward return stay raw.
     """
-    grid = price_features(monthly_grid(prices, params.return_bounds, drop_unpriced))
+    grid = price_features(monthly_grid(prices, params.return_bounds, drop_unpriced, price_calendar))
     panel = attach_fundamentals(grid.withColumnRenamed("close", "price"), fundamentals)
     panel = with_valuation(panel.join(unique_sectors(sectors), "ticker", "left"))
     # one row per month end: bounded by the calendar

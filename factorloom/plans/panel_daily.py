@@ -20,10 +20,15 @@ from factorloom.schema import DAILY_FEATURES
 TRADING_YEAR = 252
 
 
-def daily_returns(bars: DataFrame, bounds=DailyPanelParams.return_bounds) -> DataFrame:
-    """Bars with position and masked simple return; every close date is a position."""
+def daily_returns(bars: DataFrame, bounds=DailyPanelParams.return_bounds,
+                  price_calendar: DataFrame | None = None) -> DataFrame:
+    """Bars with position and masked simple return; every close date is a position.
+
+    ``price_calendar`` (date, pos) spares the pass that derives it from the bars.
+    """
     priced = bars.where(F.col("close").isNotNull())
-    return masked_returns(simple_returns(priced, calendar(priced)), bounds)
+    cal = price_calendar if price_calendar is not None else calendar(priced)
+    return masked_returns(simple_returns(priced, cal), bounds)
 
 
 def technical_features(bars: DataFrame) -> DataFrame:
@@ -63,14 +68,14 @@ def forward_labels(rows: DataFrame, horizons: Sequence[int]) -> DataFrame:
 def assemble_panel_daily(bars: DataFrame, fundamentals: DataFrame, sectors: DataFrame, *,
                          since: str | None = None, every: int = 1, normalized: bool = True,
                          params: DailyPanelParams = DailyPanelParams(),
-                         wide_groups: bool = False) -> DataFrame:
+                         price_calendar: DataFrame | None = None, wide_groups: bool = False) -> DataFrame:
     """Daily bars, quarterly features and sectors -> panel with fwd_{h}d and target_{h}d.
 
     ``since`` and ``every`` thin the output dates only; windows see the whole history.
     Only priced rows leave the panel, so the windows run on those rows alone.
     """
     horizons = list(params.horizons)
-    rows = forward_labels(technical_features(daily_returns(bars)), horizons)
+    rows = forward_labels(technical_features(daily_returns(bars, params.return_bounds, price_calendar)), horizons)
     if since or every > 1:
         rows = every_kth(rows, every, since=since)
     panel = attach_fundamentals(rows.withColumnRenamed("close", "price"), fundamentals)

@@ -18,6 +18,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "fac
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("FACTORLOOM_DRIVER_MEMORY", "12g"))
+        .config("spark.buffer.pageSize", "2m")  # small data: many short sorts per task
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call-site capture
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
