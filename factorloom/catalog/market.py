@@ -115,7 +115,7 @@ def forward_h(spark, sf):
     return rounded(out.select("ticker", "date", "fwd_5d", "fwd_10d", "fwd_30d"))
 
 
-@query("adv_liquidity", with_views(f"""SELECT ticker, {r('adv', 'adv', 2)}, adv >= 500000.0 AS is_liquid FROM (
+@query("adv_liquidity", with_views(f"""SELECT ticker, {r('adv', 'adv', 2)}, adv >= 380000.0 AS is_liquid FROM (
   SELECT ticker, date, CASE WHEN count(dv) OVER w >= 30 THEN avg(dv) OVER w END AS adv
   FROM (SELECT g.ticker, g.date, p.close * p.volume AS dv FROM grid_d AS g
     LEFT JOIN bars_w AS p ON p.ticker = g.ticker AND p.date = g.date)
@@ -123,16 +123,16 @@ def forward_h(spark, sf):
   WHERE date = (SELECT max(date) FROM bars_w)""", "bars_w", extra=dict(list(daily_ctes('bars_w').items())[:1])))
 def adv_liquidity(spark, sf):
     adv = prices.average_dollar_volume(v.bars_w(spark, sf))
-    return rounded(adv.withColumn("is_liquid", F.col("adv") >= 500_000.0), 2)
+    return rounded(adv.withColumn("is_liquid", F.col("adv") >= 380_000.0), 2)
 
 
 @query("liquid_universe", with_views("""SELECT s.ticker, s.gics_sector FROM sectors AS s WHERE s.ticker IN (
   SELECT b.ticker FROM bars_w AS b JOIN (
     SELECT DISTINCT date FROM bars_w ORDER BY date DESC LIMIT 60) AS d ON d.date = b.date
-  GROUP BY 1 HAVING count(b.close * b.volume) >= 30 AND avg(b.close * b.volume) >= 500000.0)""", "bars_w", "sectors"))
+  GROUP BY 1 HAVING count(b.close * b.volume) >= 30 AND avg(b.close * b.volume) >= 380000.0)""", "bars_w", "sectors"))
 def liquid_universe(spark, sf):
     bars = v.bars_w(spark, sf)
-    return prices.liquid(v.sectors(spark, sf), prices.average_dollar_volume(bars), 500_000.0)
+    return prices.liquid(v.sectors(spark, sf), prices.average_dollar_volume(bars), 380_000.0)
 
 
 @query("rebased_tickers", with_views(f"""SELECT ticker, {r('deviation', 'deviation')} FROM (

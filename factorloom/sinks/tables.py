@@ -59,13 +59,12 @@ def _publish(spark: SparkSession, path: str, version: str) -> None:
 def write_version(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> str:
     """Write ``df`` as the table's new current version.
 
-    Rows are clustered by the partition columns plus a spread over the sort key, so a large
-    partition is written by many tasks.
+    Rows are rebalanced on the partition columns: the adaptive plan splits a partition that
+    holds most rows over many tasks and merges small ones.
     """
     version = f"v={uuid.uuid4().hex}"
     if partition_by:
-        spread = F.pmod(F.xxhash64(*(sort_by or df.columns)), F.lit(64))
-        df = df.repartition(*partition_by, spread)
+        df = df.hint("rebalance", *partition_by)
     if sort_by:
         df = df.sortWithinPartitions(*partition_by, *sort_by)
     writer = df.write.mode("errorifexists")
