@@ -354,11 +354,11 @@ def valuation_ratios(spark, sf):
 
 
 @query("macro_broadcast", with_views(
-    f"SELECT c.ticker, c.date, {rs(MACRO_FEATURES, 4)} FROM close_m AS c LEFT JOIN macro_m AS m ON m.date = c.date",
+    f"SELECT c.ticker, c.date, {rs(MACRO_FEATURES, 7)} FROM close_m AS c LEFT JOIN macro_m AS m ON m.date = c.date",
     "close_m", "macro_m"))
 def macro_broadcast(spark, sf):
     out = v.closes(spark, sf).join(F.broadcast(v.macro_m(spark, sf)), "date", "left")
-    return rounded(out.select("ticker", "date", *MACRO_FEATURES), 4)
+    return rounded(out.select("ticker", "date", *MACRO_FEATURES), 7)
 
 
 @query("sector_pct_rank", with_views(
@@ -420,11 +420,11 @@ _RAW_OUT = [c for c in PANEL_COLUMNS if c not in ("date", "ticker", "gics_sector
 
 
 @query("panel_monthly_raw", with_views(
-    f"SELECT date, ticker, gics_sector, {r('market_cap', 'market_cap', 0)}, {rs(_RAW_OUT)}, {rs(MACRO_FEATURES, 4)} FROM raw_m",
+    f"SELECT date, ticker, gics_sector, {r('market_cap', 'market_cap', 0)}, {rs(_RAW_OUT)}, {rs(MACRO_FEATURES, 7)} FROM raw_m",
     *PANEL_VIEWS, extra=RAW_CTES))
 def panel_monthly_raw(spark, sf):
     out = panel(spark, sf, normalized=False)
-    return rounded(out, 6, market_cap=0, **{c: 4 for c in MACRO_FEATURES})
+    return rounded(out, 6, market_cap=0, **{c: 7 for c in MACRO_FEATURES})
 
 
 @query("panel_monthly", with_views(
