@@ -9,7 +9,8 @@ Every operator comes in two physical forms with equal results.
   are pre-aggregated, and their running total gives each bucket its offset in the group.
   Equal values are counted before the shuffle, so a hot value costs one row.
 
-``wide_groups`` chooses; :func:`groups_are_wide` decides it from a measured bound.
+``wide_groups`` chooses. Left at None the largest group is measured first, with a grouped
+count over the input; callers that know a bound pass the flag and spare that pass.
 """
 
 from __future__ import annotations
@@ -38,6 +39,12 @@ def groups_are_wide(bound: int | DataFrame, by: Sequence[str] = ()) -> bool:
     return (row[0] or 0) > GROUP_ROWS_LIMIT
 
 
+def is_wide(flag: bool | None, df: DataFrame, by: Sequence[str]) -> bool:
+    """The caller's flag, or the measured answer. Rows of a null group do not count: they
+    are spread over tasks and get no result."""
+    return groups_are_wide(df.where(_groups_present(by)), by) if flag is None else flag
+
+
 def value_bucket(c: Column) -> Column:
     """A bigint that never decreases with ``c``: 256 steps per doubling of its magnitude."""
     step = F.floor(F.log(F.abs(c)) * 369.3299304675746).cast("bigint") + 300_000
@@ -73,14 +80,14 @@ def average_rank(c: Column, by: Sequence) -> tuple[Column, Column]:
 
 
 def pct_rank(df: DataFrame, cols: Sequence[str], by: Sequence[str], *, keys: Sequence[str],
-             wide_groups: bool = False, names: dict[str, str] | None = None) -> DataFrame:
+             wide_groups: bool | None = None, names: dict[str, str] | None = None) -> DataFrame:
     """Average-tie rank over count of values, within the group.
 
     A null value or a null group key gives null. Replaces each column, or adds it under
     ``names[c]``. ``keys`` identify a row.
     """
     names = names or {}
-    if wide_groups:
+    if is_wide(wide_groups, df, by):
         return _pct_rank_split(df, cols, by, keys, names)
     parts = _spread(by, keys)
     present = _groups_present(by)
@@ -131,13 +138,13 @@ def _pct_rank_split(df, cols, by, keys, names):
 
 
 def row_numbers(df: DataFrame, by: Sequence[str], value: str, tie: str, *, descending: bool = False,
-                out: str = "row", count: str | None = None, wide_groups: bool = False) -> DataFrame:
+                out: str = "row", count: str | None = None, wide_groups: bool | None = None) -> DataFrame:
     """1-based position by (value, tie ascending) in the group, with the group's row count.
 
     ``value`` must not be null.
     """
     x = F.col(value).desc() if descending else F.col(value).asc()
-    if not wide_groups:
+    if not is_wide(wide_groups, df, by):
         w = Window.partitionBy(*by).orderBy(x, F.col(tie).asc())
         df = df.withColumn(out, F.row_number().over(w))
         return df.withColumn(count, F.count(F.lit(1)).over(w.rowsBetween(_FIRST, _LAST))) if count else df
@@ -197,12 +204,12 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
 
 def zscore(df: DataFrame, cols: Sequence[str], by: Sequence[str], *, keys: Sequence[str],
-           winsorize_pct: float = 0.01, wide_groups: bool = False) -> DataFrame:
+           winsorize_pct: float = 0.01, wide_groups: bool | None = None) -> DataFrame:
     """Clip at the group's quantiles, then (x - mean) / std; a zero spread gives 0."""
     present = _groups_present(by)
     lo_hi = [winsorize_pct, 1 - winsorize_pct]
-    if wide_groups:
-        df, stats = _zscore_stats_split(df, cols, by, lo_hi)
+    if is_wide(wide_groups, df, by):
+        df = _zscore_stats_split(df, cols, by, lo_hi)
         mean, std = (lambda c: F.col(f"_m_{c}")), (lambda c: F.col(f"_s_{c}"))
     else:
         g = Window.partitionBy(*_spread(by, keys))
@@ -238,12 +245,12 @@ def _zscore_stats_split(df, cols, by, lo_hi):
             for c in cols}).drop(*(f"_q{i}_{c}" for c in cols for i in (0, 1)))
     stats = df.groupBy(*by).agg(*(F.avg(c).alias(f"_m_{c}") for c in cols),
                                 *(F.stddev_samp(c).alias(f"_s_{c}") for c in cols))
-    return df.join(stats, list(by), "left"), stats
+    return df.join(stats, list(by), "left")
 
 
 def normalize(df: DataFrame, cols: Sequence[str], *, scheme: str = "rank", sector_neutral: bool = True,
               date: str = "date", sector: str = "gics_sector", keys: Sequence[str] = ("date", "ticker"),
-              winsorize_pct: float = 0.01, wide_groups: bool = False) -> DataFrame:
+              winsorize_pct: float = 0.01, wide_groups: bool | None = None) -> DataFrame:
     """Normalise ``cols`` per date, or per date and sector, by the chosen scheme."""
     by = [date, sector] if sector_neutral else [date]
     if scheme == "rank":

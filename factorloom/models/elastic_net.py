@@ -121,7 +121,7 @@ def _grid_column(grid: Sequence[dict]) -> Column:
 
 def tune(panel: DataFrame, prefixes: DataFrame, folds: DataFrame, features: Sequence[str], *,
          grid: Sequence[dict], tuning: TuningParams, cal: DataFrame, fwd: str = "forward_return",
-         min_rows: int = 20, date: str = "date", wide_groups: bool = False) -> DataFrame:
+         min_rows: int = 20, date: str = "date", wide_groups: bool | None = None) -> DataFrame:
     """Best parameters per re-tuning fold: (fold, param_id, inner_ic).
 
     All (fold, inner fold, parameter) fits are rows of one solve; validation dates are
@@ -148,7 +148,7 @@ def tune(panel: DataFrame, prefixes: DataFrame, folds: DataFrame, features: Sequ
 def walk_forward(panel: DataFrame, features: Sequence[str], *, target: str = "target",
                  params: WalkForwardParams = WalkForwardParams(), spec: dict | None = None,
                  tuning: TuningParams | None = None, fwd: str = "forward_return", date: str = "date",
-                 stored: bool = False, wide_groups: bool = False) -> tuple[DataFrame, DataFrame]:
+                 stored: bool = False, wide_groups: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """Out-of-sample scores for every test date, and the fold models.
 
     The panel is read several times (calendar, sums, scoring), so unless it is ``stored``

@@ -87,7 +87,7 @@ def walk_forward_predict(panel: DataFrame, name: str, features: Sequence[str], *
 
 
 def shuffle_target(panel: DataFrame, target: str = "target", date: str = "date", ticker: str = "ticker",
-                   seed: int = 42, wide_groups: bool = False) -> DataFrame:
+                   seed: int = 42, wide_groups: bool | None = None) -> DataFrame:
     """Permute the target within each date (leakage test).
 
     The k-th name of a date by ticker gets the target of the k-th name by a seeded hash, so

@@ -133,7 +133,7 @@ def panel_checks(panel: DataFrame, min_rows: int = 500_000, bounds=params.PanelP
 
 
 def prediction_checks(predictions: DataFrame, panel: DataFrame, registry: DataFrame, horizon: str = "1m",
-                      min_rows: int = 50_000, wide_groups: bool = False) -> DataFrame:
+                      min_rows: int = 50_000, wide_groups: bool | None = None) -> DataFrame:
     """Row floor, and a positive mean IC of the newest model."""
     from factorloom.models.registry import newest_model
     from factorloom.operators.evaluate import information_coefficient

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from factorloom.functions.scalars import nans_to_nulls
 from factorloom.operators import backtest, portfolio, rebalance
 from factorloom.operators.attribution import factor_attribution
 from factorloom.operators.portfolio import Strategy
@@ -28,7 +29,8 @@ def preds_pdf():
 
 @pytest.fixture(scope="module")
 def preds(spark, preds_pdf):
-    return spark.createDataFrame(preds_pdf, "date date, ticker string, pred double, forward_return double")
+    df = spark.createDataFrame(preds_pdf, "date date, ticker string, pred double, forward_return double")
+    return nans_to_nulls(df)  # pandas marks missing numbers as NaN
 
 
 def chain(pdf, n, buffer):
