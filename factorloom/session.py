@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_local_scratch: list[str] = []
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "factorloom") -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
@@ -37,8 +39,9 @@ def scratch_dir(spark: SparkSession, label: str = "run") -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="factorloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _local_scratch:  # kept here: the setting is fixed once a session runs
+            _local_scratch.append(tempfile.mkdtemp(prefix="factorloom-"))
+        base = _local_scratch[0]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
