@@ -2,40 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factorloom.llm.text import ascii_lower, body, fresh, without
-from factorloom.session import settle
+from factorloom.llm.filters import WORDS, bit_filter, slot_of, test_filter
+from factorloom.llm.text import ascii_lower, body, fresh, set_aside, without
 
-#: Bits of a level's filter. The filter is broadcast: 2**17 rows of 64 bits at most, whatever the input.
-FILTER_WORDS = 1 << 17
 #: Rows of one large group of copies meet their group's summary in this many tasks.
 SALTS = 16
 
 
-def _word(slot: Column) -> Column:
-    return F.shiftrightunsigned(slot, 6)
-
-
-def _shared_slots(slots: DataFrame) -> DataFrame:
-    """(word, bits): the slots that more than one row falls into, as a table of bounded size."""
-    shared = slots.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
-    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
-    return settle(shared.groupBy(_word(F.col("slot")).alias("word")).agg(F.bit_or(bit).alias("bits")), "filter")
-
-
-def _mark(df: DataFrame, slot: str, table: DataFrame, flag: str) -> DataFrame:
-    """Add ``flag``: another row may share this row's slot."""
-    word, bits = fresh(df, "word_at", "bits_at")
-    table = F.broadcast(table.select(F.col("word").alias(word), F.col("bits").alias(bits)))
-    hit = F.coalesce(F.expr(f"getbit(`{bits}`, cast(`{slot}` & 63 as int))"), F.lit(0)) == 1
-    return df.join(table, _word(F.col(slot)) == F.col(word), "left").withColumn(flag, hit).drop(word, bits)
-
-
 def mark_copies(docs: DataFrame, text: str = "text", row_id: str = "doc_id", prefix_chars: int = 64,
-                filter_words: int = FILTER_WORDS, salts: int = SALTS) -> DataFrame:
+                filter_words: int = WORDS, salts: int = SALTS) -> DataFrame:
     """All rows of ``docs`` with ``keep_id``, ``group_size`` and ``kept``.
 
     Texts are equal when identical after lower-casing A-Z. Three levels, each on what the one
@@ -52,21 +31,18 @@ def mark_copies(docs: DataFrame, text: str = "text", row_id: str = "doc_id", pre
     replaced; others pass through. An empty table gives an empty table.
     """
     docs = without(docs, "keep_id", "group_size", "kept")
-    size, head, full, salt, slot1, slot2, near1, near2 = fresh(
-        docs, "size_", "head_", "full_", "salt_", "slot1_", "slot2_", "near1_", "near2_")
-    slots = filter_words * 64
+    size, head, full, salt, near1, near2 = fresh(docs, "size_", "head_", "full_", "salt_", "near1_", "near2_")
     raw = body(f"`{text}`")
 
-    sized = docs.withColumn(size, F.octet_length(raw).cast("long")).withColumn(slot1, F.pmod(F.col(size), F.lit(slots)))
-    sizes = _shared_slots(sized.select(F.col(slot1).alias("slot")))
-    headed = _mark(sized, slot1, sizes, near1)
+    sized = docs.withColumn(size, F.octet_length(raw).cast("long"))
+    by_size = slot_of(F.col(size), filter_words)
+    headed = test_filter(sized, by_size, bit_filter(sized.select(by_size.alias("slot")), 2), near1)
     headed = headed.withColumn(head, F.when(F.col(near1), F.xxhash64(ascii_lower(F.substring(raw, 1, prefix_chars)))))
-    headed = headed.withColumn(slot2, F.pmod(F.xxhash64(size, head), F.lit(slots)))
-    heads = _shared_slots(headed.where(F.col(near1)).select(F.col(slot2).alias("slot")))
-    hashed = _mark(headed, slot2, heads, near2)
+    by_head = slot_of(F.xxhash64(size, head), filter_words)
+    hashed = test_filter(headed, by_head, bit_filter(headed.where(F.col(near1)).select(by_head.alias("slot")), 2), near2)
     hashed = hashed.withColumn(full, F.when(F.col(near1) & F.col(near2), F.sha2(ascii_lower(raw), 256)))
     hashed = hashed.withColumn(salt, F.pmod(F.xxhash64(F.col(f"`{row_id}`")), F.lit(salts)).cast("int"))
-    hashed = hashed.drop(slot1, slot2, near1, near2)
+    hashed = hashed.drop(near1, near2)
 
     keys = [size, head, full]
     groups = (
@@ -89,4 +65,5 @@ def mark_copies(docs: DataFrame, text: str = "text", row_id: str = "doc_id", pre
 
 def drop_copies(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that ``mark_copies`` keeps, with their own columns."""
-    return mark_copies(docs, text, row_id).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    aside, restore = set_aside(docs, "keep_id", "group_size", "kept")
+    return mark_copies(aside, text, row_id).where("kept").select(*restore)

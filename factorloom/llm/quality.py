@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factorloom.llm.filters import bit_filter, slot_of, test_filter
 from factorloom.llm.text import body, fresh, let, without, words
 from factorloom.session import settle
 
@@ -81,7 +82,11 @@ def gram_weights(docs: DataFrame, trusted: DataFrame, text: str, row_id: str, bu
     corpus, so it may pass through the driver and into the plan.
     """
     plain = docs.select(F.col(f"`{row_id}`").alias("id"), body(f"`{text}`").alias("text"))
-    marked = plain.join(trusted.select("id", F.lit(1).alias("good")), "id", "left")
+    # A filter of fixed size finds the rows that may be trusted; only those are shuffled to be told.
+    slot = slot_of(F.xxhash64("id"))
+    tested = test_filter(plain, slot, bit_filter(trusted.select(slot.alias("slot"))), "may")
+    told = tested.where("may").join(trusted.select("id", F.lit(1).alias("good")).hint("merge"), "id", "left").select("text", "good")
+    marked = tested.where(~F.col("may")).select("text", F.lit(None).cast("int").alias("good")).union(told)
     grams = marked.select("good", F.explode(gram_buckets(words(F.col("text")), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("good"))
     order = (F.col("bucket") >= buckets).cast("int")
