@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import exact_dedup, pii, quality, sharding
+from factorloom.llm import chat, exact_dedup, mixing, packed_ids, packing, pii, quality, sharding, simhash, toxicity
 from factorloom.llm.text import ascii_lower, body
+from factorloom.session import settle
+
+
+#: Target shares of tokens by domain of the label table.
+TARGETS = {"q1t0": 0.85, "q1t1": 0.05, "q0t0": 0.08, "q0t1": 0.02}
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public tokenizer file, the same on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +45,16 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.BASE_COLUMNS, "kept", "llr", "threshold")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    path = tokenizer_path()
+    return chat.read_back(chat.written(chat.format_turns(turns.unionByName(extra), path)), path)
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_personal_data(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
@@ -45,6 +67,17 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = packed_ids.write_ids(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packed_ids.read_documents(manifest)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domains = mixing.label_domains(table(spark, sf_dir, "labels"))
+    out = mixing.fit_mixture(table(spark, sf_dir, "documents"), domains, TARGETS)
+    return out.select("doc_id", "tokens", "domains", "memberships", "rate")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The digest of every text is asked for, so it is taken in the scan and passes through the
     # operator as a further column; the text then needs no shuffle.
@@ -53,8 +86,26 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    printed = settle(simhash.with_fingerprints(docs).drop("text"), "fingerprints")
+    out = simhash.group_near_copies(printed)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality, op4_personal_data, op7_exact_dedup)}
+    own = (op1_sharding, op2_quality, op3_chat, op4_personal_data, op5_packed_ids, op6_mixing, op7_exact_dedup, op8_packing,
+           op9_simhash, op10_toxicity)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

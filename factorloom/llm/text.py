@@ -67,6 +67,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lost])
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with its columns of these names renamed, and the columns that bring back the old names."""
+    taken = {n.lower() for n in names}
+    own = [c if c.lower() not in taken else fresh(df, f"{c}_kept")[0] for c in df.columns]
+    moved = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, own, strict=True)])
+    return moved, [F.col(f"`{n}`").alias(c) for c, n in zip(df.columns, own, strict=True)]
+
+
 def small_table(spark, rows: list[dict], schema: str) -> DataFrame:
     """A driver-made table of bounded size, read by the JVM from one JSON literal."""
     import json
