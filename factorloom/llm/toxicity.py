@@ -20,12 +20,18 @@ from factorloom.session import settle, ship_package
 MAX_LABELLED = 20_000
 #: Lexicon entries at most, strongest first.
 MAX_ENTRIES = 2_048
-#: A lexicon entry stands in this many toxic documents of the sample, or in this share of them.
-MIN_TOXIC, MIN_TOXIC_SHARE = 4, 0.002
-#: Log odds that an entry needs.
-MIN_ODDS = 1.5
-#: Lexicon voters of each entry kind; entries are dealt to them by a hash.
+#: A lexicon entry stands in this many distinct toxic texts of the sample,
+MIN_TOXIC = 4
+#: its log odds less two standard errors reach this,
+MIN_ODDS = 2.0
+#: and its share of toxic texts is this many times its share of clean ones.
+MIN_RATIO = 50
+#: Sample texts that begin alike this far are near copies; one of them is counted.
+BEGINNING = 48
+#: Lexicon voters of each entry kind; the surest entries make the first, and so on.
 VOTERS_PER_KIND = 6
+#: Voters correlated less than this count as independent.
+LEAST_CORRELATION = 0.3
 #: Prefix lengths that make entry kinds beside the whole word (length 0).
 PREFIXES = (0, 4, 5, 6)
 #: Words whose entries a worker keeps at hand.
@@ -82,6 +88,16 @@ def hits(text: str, entries: dict[str, int], cache: dict[str, tuple]) -> set[int
     return found
 
 
+def deal_entries(chosen: list[str]) -> np.ndarray:
+    """The voter of each entry: by kind, and in a kind by place, surest first."""
+    kinds = [PREFIXES.index(int(e[0])) for e in chosen]
+    sizes, seen, out = Counter(kinds), Counter(), []
+    for kind in kinds:
+        out.append(kind * VOTERS_PER_KIND + seen[kind] * VOTERS_PER_KIND // sizes[kind])
+        seen[kind] += 1
+    return np.array(out, np.int64)
+
+
 def votes_of(found: list[set[int]], voter_of: np.ndarray, n_entries: int) -> np.ndarray:
     """Documents x voters: 1 toxic, -1 clean, 0 abstains."""
     lexicon = len(PREFIXES) * VOTERS_PER_KIND
@@ -97,22 +113,21 @@ def votes_of(found: list[set[int]], voter_of: np.ndarray, n_entries: int) -> np.
     return votes
 
 
-def fit_label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior, log odds of a vote, damping, correlations), from votes alone but for the prior.
+def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior, log odds of a vote, damping, correlations) of a hidden label behind the votes.
 
-    Expectation maximisation over a hidden label. A voter's log odds is how much likelier its
-    vote is under its own side's label. Voters that vote alike beyond what the hidden label
-    explains are correlated; a voter counts by one over the sum of its correlations,
-    so a family of copies weighs as much as one voter.
+    Expectation maximisation that starts from the sample's own labels and then trusts the
+    votes alone. A voter's log odds is how much likelier its vote is under one label than
+    under the other. Two voters of a side are correlated if they vote alike beyond what the
+    hidden label explains; a voter counts by one over the sum of its correlations, so a
+    family of copies weighs as much as one voter.
     """
-    cast = votes != 0
-    side = np.where((votes > 0).any(0), 1.0, -1.0)
-    odds, damp, corr = side.copy(), np.full(votes.shape[1], 0.5), np.eye(votes.shape[1])
-    start = np.log(prior / (1 - prior))
-    post = np.full(len(votes), prior)
+    cast = (votes != 0).astype(float)
+    same_side = np.equal.outer((votes > 0).any(0), (votes > 0).any(0))
+    prior = float(np.clip(labels.mean(), 0.001, 0.5))
+    start, post = np.log(prior / (1 - prior)), np.clip(labels.astype(float), 0.02, 0.98)
     for _ in range(rounds):
         before = post
-        post = 1 / (1 + np.exp(-np.clip(start + cast @ (damp * odds), -30, 30)))
         yes, no = cast.T @ post, cast.T @ (1 - post)
         rate_yes, rate_no = (yes + 0.5) / (post.sum() + 1), (no + 0.5) / ((1 - post).sum() + 1)
         odds = np.log(rate_yes / rate_no)
@@ -121,7 +136,8 @@ def fit_label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[
         sd = np.sqrt(np.diag(cov)) + 1e-9
         corr = cov / np.outer(sd, sd)
         np.fill_diagonal(corr, 1.0)
-        damp = 1 / np.where(np.abs(corr) > 0.1, np.abs(corr), 0).sum(0)
+        damp = 1 / np.where(same_side & (corr > LEAST_CORRELATION), corr, 0).sum(0)
+        post = 1 / (1 + np.exp(-np.clip(start + cast @ (damp * odds), -30, 30)))
         if np.abs(post - before).max() < 1e-6:
             break
     return post, odds, damp, corr
@@ -145,6 +161,21 @@ def fit_linear(found: list[set[int]], soft: np.ndarray, size: int, rounds: int =
     return w * scale, bias
 
 
+def calibrate(z: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and shift that make the classifier's log odds those of the sample's labels."""
+    yes, no = labels.sum(), (1 - labels).sum()
+    goal = np.where(labels == 1, (yes + 1) / (yes + 2), 1 / (no + 2))
+    x = np.stack([z, np.ones(len(z))], 1)
+    start = at = np.array([1.0, 0.0])
+    keep = np.diag([1e-2, 1e-4])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+        slope = x.T @ (p - goal) + keep @ (at - start)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep + 1e-9 * np.eye(2), slope)
+        at = at - step / max(1.0, np.abs(step).max())
+    return (float(max(at[0], 1e-3)), float(at[1]))
+
+
 def held_out(row_id: str) -> Column:
     """Rows whose labels are never learned from."""
     return F.coalesce(F.crc32(F.col(f"`{row_id}`").cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -154,8 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "d
     """Learn from at most MAX_LABELLED labelled rows that aren't held out.
 
     Their documents' words and word prefixes that lean to the toxic label become lexicons,
-    dealt to many voters; patterns vote too. The label model then sees the votes only, and
-    the classifier its posteriors only. Without labelled toxic rows the model knows nothing
+    dealt to many voters; patterns vote too. The label model then weighs the votes, and the
+    classifier sees its posteriors only; its log odds are then scaled to the sample's labels. Without labelled toxic rows the model knows nothing
     and scores every text near 0.
     """
     ship_package(docs.sparkSession)
@@ -165,32 +196,37 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "d
     plain = docs.select(F.col(f"`{row_id}`").alias("id"), body(f"`{text}`").alias("text"))
     rows = settle(plain.join(F.broadcast(sample), "id").select("toxic", "text"), "labelled")  # MAX_LABELLED rows at most
 
-    totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    # near copies of a toxic text would make all its words look toxic
+    alike = rows.groupBy(F.lower(F.substring("text", 1, BEGINNING)).alias("start"))
+    distinct = alike.agg(F.max(F.struct("toxic", "text")).alias("r")).select("r.toxic", "r.text")
+    totals = {r["toxic"]: r["count"] for r in distinct.groupBy("toxic").count().collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic:
         return Model()
-    counted = rows.mapInArrow(_count_entries, "entry string, clean long, toxic long")
+    counted = distinct.mapInArrow(_count_entries, "entry string, clean long, toxic long")
     counted = counted.groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
-    least = max(MIN_TOXIC, MIN_TOXIC_SHARE * n_toxic)
-    strong = counted.where(F.col("toxic") >= least).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS)
-    chosen = strong.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "entry").limit(MAX_ENTRIES).collect()
-    names = sorted(r["entry"] for r in chosen)
-    entries = {e: k for k, e in enumerate(names)}
-    voter_of = np.array([PREFIXES.index(int(e[0])) * VOTERS_PER_KIND + sum(map(ord, e[1:5])) % VOTERS_PER_KIND for e in names], np.int64)
+    yes, no = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    ratio = yes / (n_toxic + 1.0) * (n_clean + 1.0) / no
+    surest = F.log(ratio) - 2 * F.sqrt(1 / yes + 1 / no)
+    strong = counted.where((F.col("toxic") >= MIN_TOXIC) & (ratio >= MIN_RATIO)).withColumn("odds", surest).where(F.col("odds") >= MIN_ODDS)
+    chosen = [r["entry"] for r in strong.orderBy(F.desc("odds"), "entry").limit(MAX_ENTRIES).collect()]
+    entries, voter_of = {e: k for k, e in enumerate(chosen)}, deal_entries(chosen)
 
     def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple] = {}
         for batch in batches:
-            yield pa.record_batch({"found": pa.array([sorted(hits(t, entries, cache)) for t in batch["text"].to_pylist()], pa.list_(pa.int32()))})
+            yield pa.record_batch({"toxic": batch["toxic"], "found": pa.array([sorted(hits(t, entries, cache)) for t in batch["text"].to_pylist()], pa.list_(pa.int32()))})
 
-    found = [set(r["found"]) for r in rows.select("text").mapInArrow(found_in, "found array<int>").collect()]  # MAX_LABELLED rows
-    prior = min(0.5, max(0.001, n_toxic / (n_toxic + n_clean)))
+    seen = rows.mapInArrow(found_in, "toxic int, found array<int>").collect()  # MAX_LABELLED rows
+    found = [set(r["found"]) for r in seen]
     votes = votes_of(found, voter_of, len(entries))
-    soft, odds, damp, corr = fit_label_model(votes, prior)
+    marks = np.array([r["toxic"] for r in seen])
+    soft, odds, damp, corr = fit_label_model(votes, marks)
     weights, bias = fit_linear(found, soft, len(entries) + len(SHOUTS) + len(CALM))
+    slope, shift = calibrate(np.array([bias + weights[sorted(f)].sum() for f in found]), marks)
+    weights, bias = slope * weights, slope * bias + shift
     voters = [{"votes": int((votes[:, j] != 0).sum()), "log_odds": float(odds[j]), "damping": float(damp[j]),
-               "correlated": [int(k) for k in np.flatnonzero(np.abs(corr[j]) > 0.1) if k != j]} for j in range(votes.shape[1])]
+               "correlated": [int(k) for k in np.flatnonzero(corr[j] > LEAST_CORRELATION) if k != j]} for j in range(votes.shape[1])]
     return Model(entries, weights, bias, voters)
 
 
