@@ -425,14 +425,11 @@ def incremental_upsert(spark, sf):
 
 @query("incremental_prices", with_views("SELECT ticker, date, close FROM close_m", "close_m"))
 def incremental_prices(spark, sf):
-    """Daily bars land in time order and are streamed into the monthly closes."""
+    """Daily bars land in files that each mix all days, read one at a time through one checkpoint."""
     from factorloom.streaming.incremental import file_stream, ingest_prices
 
     base = scratch_dir(spark, "bars")
     bars = v.bars_d(spark, sf).select("ticker", "date", "close")
-    half = bars.withColumn("part", F.when(F.col("date") < F.lit("1998-07-01").cast("date"), 0).otherwise(1))
-    half.write.partitionBy("part").parquet(f"{base}/staged")
-    for part in (0, 1):
-        stream = file_stream(spark, f"{base}/staged/part={part}", bars.schema)
-        ingest_prices(stream, f"{base}/prices", f"{base}/checkpoint-{part}")
+    bars.repartition(3, F.xxhash64("ticker", "date")).write.parquet(f"{base}/staged")
+    ingest_prices(file_stream(spark, f"{base}/staged", bars.schema, max_files=1), f"{base}/prices", f"{base}/checkpoint")
     return sink.read_version(spark, f"{base}/prices").select("ticker", "date", "close")

@@ -29,7 +29,7 @@ def _solve(k: int, by: Sequence[str]):
                 head = {c: getattr(row, c) for c in by} | {"n_months": n, "error": None}
                 if n < k + 2:
                     none = [None] * k
-                    out.append(head | {"coefs": none, "tstats": none, "error": "insufficient overlapping months"})
+                    out.append(head | {"coefs": none, "tstats": none, "error": "too few common months"})
                     continue
                 # centre on the means: better conditioned than the raw normal equations
                 mean = g[0, 1:] / n

@@ -147,8 +147,8 @@ def set_active(universe: DataFrame, active: DataFrame,
     now = universe.where("is_active").count()
     new = active.select("ticker").distinct().count()
     if now and new < min_keep_fraction * now:
-        raise ValueError(f"refusing to shrink the active set from {now} to {new} names "
-                         f"(below {min_keep_fraction:.0%})")
+        raise ValueError(f"active set not changed: {new} names would replace {now} "
+                         f"(less than {min_keep_fraction:.0%} of them)")
     hits = active.select("ticker").distinct().withColumn("_hit", F.lit(True))
     return (universe.drop("is_active").join(hits, "ticker", "left")
             .withColumn("is_active", F.coalesce("_hit", F.lit(False))).drop("_hit"))

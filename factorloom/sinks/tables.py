@@ -1,14 +1,17 @@
 """Writers: versioned tables, keyed upserts, slice replacement and write guards.
 
-A table is a folder of immutable versions ``v=<n>`` with a pointer file naming the current
-one. A writer fills a new version first and moves the pointer last, so readers see either
-the old table or the new one, and a failed job leaves nothing visible behind.
+A table is a folder of immutable pieces ``v=<n>[/<partition>]`` with a pointer file that lists
+the pieces of the current state. A writer fills new pieces first and moves the pointer last, so
+readers see either the old table or the new one, and a failed job leaves nothing visible
+behind. A partition that a write does not touch is carried over by name, not copied.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,29 +28,32 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
 
 
-def current_version(spark: SparkSession, path: str) -> str | None:
-    """Folder of the table's current version, or None."""
+def current_pieces(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the table's current state, relative to ``path``; empty if there is no table."""
     fs, jvm = _fs(spark, path)
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/{_POINTER}")
-    if not fs.exists(pointer):
-        return None
-    row = spark.read.text(f"{path}/{_POINTER}").first()
-    return f"{path}/{row[0].strip()}"
+    if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{_POINTER}")):
+        return []
+    return sorted(r[0].strip() for r in spark.read.text(f"{path}/{_POINTER}").collect() if r[0].strip())
 
 
 def read_version(spark: SparkSession, path: str) -> DataFrame:
-    version = current_version(spark, path)
-    if version is None:
+    pieces = current_pieces(spark, path)
+    if not pieces:
         raise FileNotFoundError(f"no table at {path}")
-    return spark.read.parquet(version)
+    return _read_pieces(spark, path, pieces)
 
 
-def _publish(spark: SparkSession, path: str, version: str) -> None:
+def _read_pieces(spark: SparkSession, path: str, pieces: Sequence[str]) -> DataFrame:
+    df = spark.read.option("basePath", path).option("mergeSchema", len({x.split("/")[0] for x in pieces}) > 1)
+    return df.parquet(*(f"{path}/{x}" for x in pieces)).drop("v")
+
+
+def _publish(spark: SparkSession, path: str, pieces: Sequence[str]) -> None:
     fs, jvm = _fs(spark, path)
     hpath = jvm.org.apache.hadoop.fs.Path
     tmp, pointer = hpath(f"{path}/CURRENT-{uuid.uuid4().hex}"), hpath(f"{path}/{_POINTER}")
     out = fs.create(tmp, True)
-    out.write(bytearray(version.encode()))
+    out.write(bytearray("\n".join(pieces).encode()))
     out.close()
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
         tmp.toUri() if tmp.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
@@ -56,8 +62,20 @@ def _publish(spark: SparkSession, path: str, version: str) -> None:
     context.rename(fs.makeQualified(tmp), fs.makeQualified(pointer), options)
 
 
-def write_version(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> str:
-    """Write ``df`` as the table's new current version.
+def _partitions(spark: SparkSession, path: str, version: str, depth: int) -> list[str]:
+    """The partition folders that a write of ``version`` made, relative to ``path``."""
+    fs, jvm = _fs(spark, path)
+    found = [version]
+    for _ in range(depth):
+        found = [f"{x}/{s.getPath().getName()}" for x in found
+                 for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/{x}"))
+                 if s.isDirectory() and "=" in s.getPath().getName()]
+    return found
+
+
+def write_version(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = (),
+                  carry: Sequence[str] = ()) -> str:
+    """Write ``df`` as the table's new state, together with the pieces in ``carry``.
 
     Rows are rebalanced on the partition columns: the adaptive plan splits a partition that
     holds most rows over many tasks and merges small ones.
@@ -71,22 +89,69 @@ def write_version(df: DataFrame, path: str, partition_by: Sequence[str] = (), so
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{path}/{version}")
-    _publish(df.sparkSession, path, version)
+    made = _partitions(df.sparkSession, path, version, len(partition_by))
+    _publish(df.sparkSession, path, [*carry, *made] or [version])
     return version
 
 
+def expire_pieces(spark: SparkSession, path: str, older_than_hours: float = 24.0) -> int:
+    """Delete pieces that the current state doesn't list and that no reader younger than the limit can hold.
+
+    Returns how many folders went. A write in progress is younger than the limit.
+    """
+    fs, jvm = _fs(spark, path)
+    hpath, limit = jvm.org.apache.hadoop.fs.Path, (time.time() - 3600 * older_than_hours) * 1000
+    live, gone = set(current_pieces(spark, path)), 0
+    for version in fs.listStatus(hpath(path)):
+        name = version.getPath().getName()
+        if not version.isDirectory() or not name.startswith("v="):
+            continue
+        used = {x for x in live if x == name or x.startswith(f"{name}/")}
+        if name in used:
+            continue
+        depth = max((x.count("/") for x in used), default=0)
+        for piece in _partitions(spark, path, name, depth):
+            if piece not in used and fs.getFileStatus(hpath(f"{path}/{piece}")).getModificationTime() < limit:
+                gone += bool(fs.delete(hpath(f"{path}/{piece}"), True))
+    return gone
+
+
 # -------------------------------------------------------------------------------- upserts
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str], prefer: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the largest ``prefer``, then the largest row; combined before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.dropDuplicates(list(keys))
+    row = F.struct(*rest)
+    best = df.groupBy(*keys).agg(F.max_by(row, F.struct(*prefer, row)).alias("_row"))
+    return best.select(*keys, *(F.col(f"_row.{c}").alias(c) for c in rest)).select(*df.columns)
+
+
+def _same_key(a: DataFrame, b: DataFrame, keys: Sequence[str]):
+    return reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[f"_k_{k}"]) for k in keys))
+
+
+def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+
+
 def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``updates`` replace or extend ``target`` by key; with key columns only,
-    existing rows stay as they are."""
+    existing rows stay as they are.
+
+    Of several updates with one key the largest row counts. Null keys match null keys.
+    """
     keys = list(keys)
+    updates = one_per_key(updates, keys)
     if set(updates.columns) == set(keys):
-        fresh = updates.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
+        have = _keyed(target.select(*keys), keys)
+        fresh = updates.join(have, _same_key(updates, have, keys), "left_anti")
         return target.unionByName(fresh, allowMissingColumns=True)
     if set(updates.columns) >= set(target.columns):
-        kept = target.join(updates.select(*keys), keys, "left_anti")
+        new = _keyed(updates.select(*keys), keys)
+        kept = target.join(new, _same_key(target, new, keys), "left_anti")
         return kept.unionByName(updates, allowMissingColumns=True)
     return column_scoped_upsert(target, updates, keys)
 
@@ -94,14 +159,15 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFr
 def column_scoped_upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Only the supplied columns overwrite, nulls included; other columns keep their values."""
     keys = list(keys)
+    updates = one_per_key(updates, keys)
     supplied = [c for c in updates.columns if c not in keys]
-    new = updates.select(*keys, *(F.col(c).alias(f"_n_{c}") for c in supplied), F.lit(True).alias("_new"))
-    joined = target.join(new, keys, "full_outer")
+    new = updates.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(F.col(c).alias(f"_n_{c}") for c in supplied), F.lit(True).alias("_new"))
+    joined = target.join(new, _same_key(target, new, keys), "full_outer")
     hit = F.coalesce("_new", F.lit(False))
     cols = []
     for c in dict.fromkeys([*target.columns, *supplied]):
         if c in keys:
-            cols.append(F.col(c))
+            cols.append(F.coalesce(F.col(c), F.col(f"_k_{c}")).alias(c))
         elif c not in supplied:
             cols.append(F.col(c))
         elif c in target.columns:
@@ -111,12 +177,42 @@ def column_scoped_upsert(target: DataFrame, updates: DataFrame, keys: Sequence[s
     return joined.select(*cols)
 
 
+def fold_into(spark: SparkSession, path: str, updates: DataFrame, merge, partition_by: Sequence[str] = (),
+              sort_by: Sequence[str] = (), touching: DataFrame | None = None) -> None:
+    """Publish ``merge(stored rows, updates)`` as the table's new state.
+
+    With ``partition_by`` only the partitions that ``updates`` (or ``touching``) has rows of are
+    read and written again; the merge must not move a row to another partition. The list of touched
+    partitions goes through the driver: a few values, since each is a folder.
+    """
+    have = current_pieces(spark, path)
+    if not have:
+        write_version(merge(None, updates), path, partition_by, sort_by)
+        return
+    if not partition_by:
+        write_version(merge(_read_pieces(spark, path, have), updates), path, partition_by, sort_by)
+        return
+    null = "__HIVE_DEFAULT_PARTITION__"
+    touched = {"/".join(f"{c}={null if r[c] is None else r[c]}" for c in partition_by)
+               for r in (updates if touching is None else touching).select(*partition_by).distinct().collect()}
+    if not touched:
+        return
+    carry = [x for x in have if "/" in x and x.split("/", 1)[1] not in touched]
+    again = [x for x in have if x not in carry]
+    if again:
+        stored = _read_pieces(spark, path, again)
+    else:
+        stored = _read_pieces(spark, path, have[:1]).limit(0)
+    write_version(merge(stored, updates), path, partition_by, sort_by, carry)
+
+
 def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str],
                  partition_by: Sequence[str] = ()) -> None:
-    """Upsert into a stored table as a new version."""
-    have = current_version(spark, path)
-    out = updates if have is None else upsert(spark.read.parquet(have), updates, keys)
-    write_version(out, path, partition_by, [k for k in keys if k not in partition_by])
+    """Upsert into a stored table. Partition columns must follow from the key."""
+    def merge(stored, new):
+        return one_per_key(new, keys) if stored is None else upsert(stored, new, keys)
+
+    fold_into(spark, path, updates, merge, partition_by, [k for k in keys if k not in partition_by])
 
 
 def replace_slices(df: DataFrame, path: str, slices: Sequence[str]) -> None:
@@ -152,8 +248,8 @@ def check_target_coverage(panel: DataFrame, min_coverage: float = params.PANEL_M
     n, k = panel.agg(F.count_if(has), F.count_if(has & F.col("target").isNotNull())).first()
     coverage = k / n if n else 0.0
     if coverage < min_coverage:
-        raise ValueError(f"refusing to write the panel: {coverage:.1%} of rows with a forward return "
-                         f"have a target (below {min_coverage:.0%})")
+        raise ValueError(f"panel not written: only {coverage:.1%} of rows with a forward return "
+                         f"carry a target, and {min_coverage:.0%} are required")
     return coverage
 
 

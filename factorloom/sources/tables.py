@@ -35,9 +35,9 @@ class Warehouse:
         return nans_to_nulls(read_version(self.spark, self.path(name)))
 
     def exists(self, name: str) -> bool:
-        from factorloom.sinks.tables import current_version
+        from factorloom.sinks.tables import current_pieces
 
-        return current_version(self.spark, self.path(name)) is not None
+        return bool(current_pieces(self.spark, self.path(name)))
 
     def prices(self, since: str | None = None) -> DataFrame:
         """Monthly closes; ``since`` prunes the year folders and then the rows."""

@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from factorloom import params
-from factorloom.operators.prices import (
-    append_keep_last, monthly_close, rebased_tickers, replace_history)
-from factorloom.sinks.tables import current_version, upsert_table, write_version, year_of
+from factorloom.operators.prices import rebased_tickers
+from factorloom.session import settle
+from factorloom.sinks.tables import current_pieces, fold_into, one_per_key, read_version, year_of
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -39,62 +39,78 @@ def drain(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint
 
 
 def upsert_stream(stream: DataFrame, target: str, keys: Sequence[str], checkpoint: str,
-                  prefer: Sequence[str] = ()) -> StreamingQuery:
+                  prefer: Sequence[str] = (), partition_date: str | None = None) -> StreamingQuery:
     """Fold a stream into a keyed table.
 
     Within a batch, and against the stored row, the row with the largest ``prefer`` columns
-    wins, so the result does not depend on how files fall into batches.
+    wins, then the largest row, so the result does not depend on how files fall into batches.
+    With ``partition_date`` (a key column) the table is kept by year, and a batch rewrites
+    only the years it has rows of.
     """
     spark = stream.sparkSession
 
+    def merge(stored: DataFrame | None, new: DataFrame) -> DataFrame:
+        return one_per_key(new if stored is None else stored.unionByName(new), keys, prefer)
+
     def apply(batch: DataFrame, _: int) -> None:
-        rows = newest_per_key(batch, keys, prefer)
-        have = current_version(spark, target)
-        if have is not None and prefer:
-            rows = newest_per_key(spark.read.parquet(have).unionByName(rows), keys, prefer)
-            write_version(rows, target)
-        else:
-            upsert_table(spark, target, rows, keys)
+        rows = one_per_key(batch, keys, prefer)
+        by = []
+        if partition_date:
+            rows, by = year_of(rows, partition_date), ["year"]
+        fold_into(spark, target, rows, merge, by, keys)
 
     return drain(stream, apply, checkpoint)
 
 
-def newest_per_key(df: DataFrame, keys: Sequence[str], prefer: Sequence[str] = ()) -> DataFrame:
-    """One row per key: the largest ``prefer``, then the largest row; combined before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*rest)
-    best = df.groupBy(*keys).agg(F.max_by(row, F.struct(*prefer, row)).alias("_row"))
-    return best.select(*keys, *(F.col(f"_row.{c}").alias(c) for c in rest)).select(*df.columns)
-
-
 def ingest_prices(stream: DataFrame, target: str, checkpoint: str, *,
                   full_history: Callable[[DataFrame], DataFrame] | None = None,
                   tolerance: float = params.REBASE_TOLERANCE) -> StreamingQuery:
-    """Daily bars -> monthly closes, appended to the stored ones.
+    """Daily bars -> monthly closes (ticker, date, close, day), folded into the stored ones.
 
-    Tickers whose fresh closes disagree with the stored ones on completed months were
-    re-based; ``full_history`` (tickers -> daily bars) supplies their whole history, which
-    replaces what is stored.
+    ``day`` is the day of the close. The later day of a month wins whatever order the bars
+    arrive in; bars of one day are replaced by the later arrival. Tickers whose fresh
+    closes disagree with the stored ones on completed months were re-based; ``full_history``
+    (tickers -> daily bars) supplies their whole history, which replaces what is stored.
+    A batch rewrites only the years it touches, unless a re-based history touches more.
     """
     spark = stream.sparkSession
 
+    def dated_close(bars: DataFrame) -> DataFrame:
+        last = F.max(F.struct(F.col("date").alias("day"), "close")).alias("_last")
+        months = bars.where(F.col("close") > 0).groupBy("ticker", F.last_day("date").alias("date")).agg(last)
+        return year_of(months.select("ticker", "date", F.col("_last.close").alias("close"), F.col("_last.day").alias("day")))
+
+    def merge(stored: DataFrame | None, new: DataFrame) -> DataFrame:
+        if stored is None:
+            return new.drop("_moved")
+        kept = stored.join(new.where("_moved").select("ticker").distinct(), "ticker", "left_anti")
+        ranked = kept.withColumn("_src", F.lit(0)).unionByName(new.drop("_moved").withColumn("_src", F.lit(1)))
+        return one_per_key(ranked, ["ticker", "date"], ["day", "_src"]).drop("_src")
+
     def apply(batch: DataFrame, _: int) -> None:
-        fresh = monthly_close(batch.where(F.col("close") > 0))
-        have = current_version(spark, target)
-        if have is None:
-            write_version(year_of(fresh), target, ["year"], ["ticker", "date"])
-            return
-        stored = spark.read.parquet(have).drop("year")
-        newest = stored.agg(F.max("date")).scalar()
-        merged = append_keep_last([stored, fresh], ["ticker", "date"])
-        if full_history is not None:
-            moved = rebased_tickers(fresh, stored, newest, tol=tolerance).select("ticker")
-            merged = replace_history(merged, monthly_close(full_history(moved)))
-        write_version(year_of(merged), target, ["year"], ["ticker", "date"])
+        fresh = dated_close(batch).withColumn("_moved", F.lit(False))
+        if full_history is not None and current_pieces(spark, target):
+            stored = read_version(spark, target)
+            newest = stored.agg(F.max("date")).scalar()
+            # a month that is still open in the batch says nothing about re-basing
+            same_day = fresh.join(stored.select("ticker", "day"), ["ticker", "day"], "left_semi")
+            moved = settle(rebased_tickers(same_day, stored, newest, tol=tolerance).select("ticker"), "moved")
+            history = dated_close(full_history(moved)).withColumn("_moved", F.lit(True))
+            gone = stored.join(moved, "ticker", "left_semi").select(*stored.columns, F.lit(True).alias("_moved"))
+            dated = history.unionByName(gone.join(history.select("ticker", "date"), ["ticker", "date"], "left_anti"))
+            fresh = fresh.join(moved, "ticker", "left_anti").unionByName(history)
+            years = dated.select("year").union(fresh.select("year")).distinct()
+            fold_into(spark, target, fresh, merge, ["year"], ["ticker", "date"], years)
+        else:
+            fold_into(spark, target, fresh, merge, ["year"], ["ticker", "date"])
 
     return drain(stream, apply, checkpoint)
 
 
 def ingest_facts(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Filing facts into the bitemporal table; a restatement is a new row, so nothing is late."""
-    return upsert_stream(stream, target, ["ticker", "concept", "period_end", "filed_date"], checkpoint)
+    """Filing facts into the bitemporal table; a restatement is a new row, so nothing is late.
+
+    Rows of one key that disagree resolve to the largest, in one batch or in several.
+    """
+    return upsert_stream(stream, target, ["ticker", "concept", "period_end", "filed_date"], checkpoint,
+                         partition_date="filed_date")

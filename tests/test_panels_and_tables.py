@@ -135,12 +135,12 @@ def test_slices_and_guards(spark, tmp_path, bars_pdf, fund, sectors):
     plan = part._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "year" in plan and part.count() == 12 * 7
     no_sector = assemble_panel(closes, fund, macro(spark), sectors.where("ticker = 'T00'"))
-    with pytest.raises(ValueError, match="refusing to write"):
+    with pytest.raises(ValueError, match="panel not written"):
         sink.write_panel(no_sector, str(tmp_path / "w" / "panel_monthly"))
     with pytest.raises(ValueError, match="lacks columns"):
         sink.write_panel(panel.drop("roe"), str(tmp_path / "x"))
     u = spark.createDataFrame([(t, True) for t in TICKERS], "ticker string, is_active boolean")
-    with pytest.raises(ValueError, match="refusing to shrink"):
+    with pytest.raises(ValueError, match="active set not changed"):
         universe.set_active(u, u.where("ticker < 'T03'"))
 
 

@@ -98,3 +98,48 @@ def test_plans_keep_their_shape(spark):
     assert "Sort" not in plan_of(monthly_close(v.bars_d(spark, sf))).replace("SortAggregate", "Sort")
     for df in (price_features(monthly_grid(v.close_m(spark, sf))),):
         assert "CartesianProduct" not in plan_of(df)
+
+
+def test_late_bars_do_not_replace_a_later_close(spark, tmp_path):
+    landed, target = str(tmp_path / "in"), str(tmp_path / "prices")
+    for rows in ([("A", dt.date(2020, 1, 31), 100.0), ("A", dt.date(2019, 5, 3), 1.0)], [("A", dt.date(2020, 1, 15), 50.0)],
+                 [("A", dt.date(2020, 1, 31), 101.0), ("B", dt.date(2020, 1, 2), 7.0)]):
+        bars(spark, rows).coalesce(1).write.mode("append").parquet(landed)
+        ingest_prices(file_stream(spark, landed, bars(spark, []).schema, max_files=1), target, str(tmp_path / "ck"),
+                      full_history=lambda moved: bars(spark, []).join(moved, "ticker", "left_semi"))
+    got = {(r.ticker, r.date): r.close for r in sink.read_version(spark, target).collect()}
+    assert got == {("A", dt.date(2020, 1, 31)): 101.0, ("A", dt.date(2019, 5, 31)): 1.0, ("B", dt.date(2020, 1, 31)): 7.0}
+
+
+@pytest.mark.parametrize("max_files", [1, 10])
+def test_disagreeing_facts_do_not_depend_on_batches(spark, tmp_path, max_files):
+    q, landed, target = dt.date(2020, 3, 31), str(tmp_path / "in"), str(tmp_path / "facts")
+    for value in (2.0, 1.0):
+        spark.createDataFrame([("A", "revenue", q, dt.date(2020, 5, 1), value)], FACT).coalesce(1).write.mode("append").parquet(landed)
+    ingest_facts(file_stream(spark, landed, spark.createDataFrame([], FACT).schema, max_files=max_files), target, str(tmp_path / "ck"))
+    assert [r.value for r in sink.read_version(spark, target).collect()] == [2.0]
+
+
+def test_upsert_writes_only_the_years_it_touches(spark, tmp_path):
+    path = str(tmp_path / "t")
+    mk = lambda rows: sink.year_of(spark.createDataFrame(rows, "ticker string, date date, close double"))
+    sink.upsert_table(spark, path, mk([("A", dt.date(y, 1, 31), float(y)) for y in (2018, 2019, 2020)]), ["ticker", "date"], ["year"])
+    before = set(sink.current_pieces(spark, path))
+    sink.upsert_table(spark, path, mk([("A", dt.date(2019, 1, 31), 1.0), ("B", dt.date(2021, 1, 31), 2.0)]), ["ticker", "date"], ["year"])
+    after = set(sink.current_pieces(spark, path))
+    assert {x.split("/")[1] for x in after - before} == {"year=2019", "year=2021"}
+    assert {x.split("/")[1] for x in after & before} == {"year=2018", "year=2020"}
+    got = {(r.ticker, r.date.year): r.close for r in sink.read_version(spark, path).collect()}
+    assert got == {("A", 2018): 2018.0, ("A", 2019): 1.0, ("A", 2020): 2020.0, ("B", 2021): 2.0}
+    assert sink.expire_pieces(spark, path) == 0
+    assert sink.expire_pieces(spark, path, older_than_hours=-1) == 1
+    assert sink.read_version(spark, path).count() == 4
+
+
+def test_upsert_resolves_repeated_and_null_keys(spark):
+    mk = lambda rows: spark.createDataFrame(rows, "k string, x double, y double")
+    stored = mk([("a", 1.0, 1.0), (None, 2.0, 2.0)])
+    got = sink.upsert(stored, mk([("a", 5.0, 0.0), ("a", 6.0, 0.0), (None, 7.0, 0.0)]), ["k"]).collect()
+    assert sorted(((r.k or "", r.x, r.y) for r in got)) == [("", 7.0, 0.0), ("a", 6.0, 0.0)]
+    part = sink.upsert(stored, mk([("a", 5.0, 0.0), (None, 7.0, 0.0), ("n", 8.0, 0.0)]).select("k", "x"), ["k"]).collect()
+    assert sorted((r.k or "", r.x, r.y) for r in part if r.k != "n") == [("", 7.0, 2.0), ("a", 5.0, 1.0)] and len(part) == 3
