@@ -13,6 +13,16 @@ CACHE_PIECES = 400_000
 # Fixed value: how a byte-level tokenizer cuts a text into pieces that never merge.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
+
+
+def byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself if visible, else one from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+BYTE_SIGNS = byte_signs()
 _loaded: dict[str, Encoder] = {}
 
 
@@ -48,9 +58,10 @@ class Encoder:
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
         cut = [None if any(a in t for a in self.added) else PIECE.findall(t) for t in texts]
-        new = list({p for pieces in cut if pieces for p in pieces} - self.cache.keys())
-        for piece, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.cache[piece] = np.array(found.ids, "<u4").tobytes()
+        tokenize = self.tokenizer.model.tokenize  # merges alone; offsets and word numbers aren't needed here
+        for piece in {p for pieces in cut if pieces for p in pieces} - self.cache.keys():
+            shown = piece.encode().decode("latin-1").translate(BYTE_SIGNS)
+            self.cache[piece] = np.array([t.id for t in tokenize(shown)], "<u4").tobytes()
         get = self.cache.__getitem__
         return [np.frombuffer(self._whole(t) if p is None else b"".join(map(get, p)), "<u4") for t, p in zip(texts, cut, strict=True)]
 
