@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +19,8 @@ BUCKETS = 1 << 12
 MAX_LABELLED = 20_000
 #: Domains at most; bounds the classifier and the least squares problem.
 MAX_DOMAINS = 64
-#: Gradient rounds at most, and the relative error of a domain total at which they end.
-MAX_ROUNDS, TOLERANCE = 60, 1e-4
-#: Step of the scaled gradient. Memberships of a row add up to 1, so the scaled problem's largest
-#: curvature is 1 and any step below 2 descends.
-STEP = 1.5
+#: Gradient rounds at most, and the error of a domain total, of all tokens, at which they end.
+MAX_ROUNDS, TOLERANCE = 40, 1e-6
 
 
 def label_domains(labels: DataFrame, row_id: str = "doc_id") -> DataFrame:
@@ -64,10 +63,10 @@ def with_memberships(docs: DataFrame, model: list[tuple[str, float, list[float]]
     Evidence is the mean log probability of a text's words times the square root of their
     number: words of one text aren't independent, and memberships stay soft.
     """
-    flat = F.from_json(F.lit(json.dumps([m[2] for m in model])), "array<array<double>>")
+    tables = [F.from_json(F.lit(json.dumps(m[2])), "array<double>") for m in model]
 
     def logits(b: Column) -> Column:
-        total = lambda k: F.aggregate(b, F.lit(0.0), lambda a, x: a + F.element_at(F.element_at(flat, k + 1), x))
+        total = lambda k: F.aggregate(b, F.lit(0.0), lambda a, x: a + F.element_at(tables[k], x))
         size = F.greatest(F.lit(1), F.size(b))
         return F.array(*[F.lit(m[1]) + total(k) / F.sqrt(size) for k, m in enumerate(model)])
 
@@ -90,36 +89,65 @@ def _rate(member: str, history: list[list[float]], least: float) -> Column:
     return rate
 
 
-def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float], least: float) -> list[list[float]]:
+def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float], least: float, member: str = "memberships",
+              tokens: str = "tokens") -> list[list[float]]:
     """Gradient steps whose fold over a row's memberships is its rate.
 
-    ``members`` is a written table (tokens, member). Minimises the squared error of every
-    domain's expected tokens against its target, each scaled by the domain's tokens at rate
-    1, over rates of at least ``least``. A round is one distributed sum of one number a domain.
+    ``members`` is a written table. Projected gradient on the squared errors of all domains'
+    expected tokens against their targets, over rates of at least ``least``. A step is
+    scaled by the inverse of the problem's Gram matrix over the rows that may still move, so
+    few rounds are needed; a step that would not lessen the error is halved, and rounds end once a
+    step lessens it by less than a hundredth. A round is one
+    distributed sum of a few numbers a pair of domains, whatever the number of rows.
+
     Targets: ``weights`` (missing domains keep their share), in proportion, of the smallest total
     that asks no domain for less than ``least`` of what it has, or of all tokens if ``least`` is 0.
     """
-    each = [F.get(F.col("member"), k) for k in range(len(domains))]
-
-    def totals(rate: Column) -> list[float]:
-        row = members.agg(*[F.sum(F.col("tokens") * rate * p).alias(f"t{k}") for k, p in enumerate(each)]).first()
-        return [x or 0.0 for x in row]
-
-    base = totals(F.lit(1.0))
-    total = sum(base)
+    k = len(domains)
+    each = [F.get(F.col(member), i) for i in range(k)]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def measure(history: list[list[float]], pull: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens of each domain, and the Gram matrix over rows that may move: those
+        above ``least``, and those that the errors ``pull`` draw away from it."""
+        rated = members.withColumn("_rate", _rate(member, history, least))
+        drawn = sum((p * F.lit(float(g)) for p, g in zip(each, pull, strict=True)), F.lit(0.0)) < 0
+        free = F.when((F.col("_rate") > least) | drawn, F.col(tokens)).otherwise(0)
+        sums = [F.sum(F.col(tokens) * F.col("_rate") * p) for p in each] + [F.sum(free * each[i] * each[j]) for i, j in pairs]
+        row = [x or 0.0 for x in rated.agg(*[x.alias(f"s{n}") for n, x in enumerate(sums)]).first()]
+        gram = np.zeros((k, k))
+        for (i, j), x in zip(pairs, row[k:], strict=True):
+            gram[i, j] = gram[j, i] = x
+        return np.array(row[:k]), gram
+
+    base = np.array([x or 0.0 for x in members.agg(*[F.sum(F.col(tokens) * p).alias(f"b{n}") for n, p in enumerate(each)]).first()])
+    total = base.sum()
     if not total:
         return []
-    known = sum(weights.get(d, 0.0) for d in domains)
-    open_share = sum(b for d, b in zip(domains, base, strict=True) if d not in weights) / total
-    share = [weights[d] / known * (1 - open_share) if d in weights and known else b / total for d, b in zip(domains, base, strict=True)]
-    whole = max((least * b / s for b, s in zip(base, share, strict=True) if s > 0), default=total) if least else total
-    target = [s * whole for s in share]
+    asked = np.array([weights.get(d, 0.0) for d in domains])
+    named = np.array([d in weights for d in domains])
+    share = base / total
+    if asked.sum() > 0:
+        share = np.where(named, asked / asked.sum() * (1 - share[~named].sum()), share)
+    whole = max((least * b / w for b, w in zip(base, share, strict=True) if w > 0), default=total) if least else total
+    target = share * whole
+
     history: list[list[float]] = []
+    now, gram = measure(history, max(1.0, least) * base - target)
+    size = 1.0
     for _ in range(MAX_ROUNDS):
-        now = totals(_rate("member", history, least))
-        if max(abs(x - t) for x, t in zip(now, target, strict=True)) <= TOLERANCE * whole:
+        gap = now - target
+        if np.abs(gap).max() <= TOLERANCE * whole or size < 1e-3:
             break
-        history.append([STEP * (x - t) / max(b, 1e-9) for x, t, b in zip(now, target, base, strict=True)])
+        ridge = 1e-9 * max(np.trace(gram), total) / k
+        step = size * np.linalg.solve(gram + ridge * np.eye(k) + 1e-6 * np.diag(base), gap)
+        then, after = measure([*history, step.tolist()], gap)
+        if np.linalg.norm(then - target) < np.linalg.norm(gap):
+            history, now, gram, size = [*history, step.tolist()], then, after, min(1.0, 2 * size)
+            if np.linalg.norm(then - target) > 0.99 * np.linalg.norm(gap):
+                break  # the bound leaves no better rates
+        else:
+            size /= 2
     return history
 
 
@@ -140,9 +168,8 @@ def fit_mixture(docs: DataFrame, labelled: DataFrame, weights: dict[str, float],
         blank = {"tokens": F.greatest(F.lit(1), F.size(words(body(f"`{text}`")))).cast("long"),
                  "domains": F.array().cast("array<string>"), "memberships": F.array().cast("array<double>"), "rate": F.lit(max(1.0, least))}
         return docs.withColumns(blank)
-    narrow = with_memberships(docs.select(F.col(f"`{text}`").alias("text")), model, "text", "tokens", "member")
-    history = fit_rates(settle(narrow.select("tokens", "member"), "members"), names, weights, least)
-    out = with_memberships(docs, model, text, "tokens", "memberships")
+    out = settle(with_memberships(docs, model, text, "tokens", "memberships"), "members")
+    history = fit_rates(out.select("tokens", "memberships"), names, weights, least)
     out = out.withColumn("domains", F.array(*[F.lit(n) for n in names]))
     return out.withColumn("rate", _rate("memberships", history, least)).select(*docs.columns, "tokens", "domains", "memberships", "rate")
 

@@ -74,7 +74,8 @@ def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     domains = mixing.label_domains(table(spark, sf_dir, "labels"))
-    out = mixing.fit_mixture(table(spark, sf_dir, "documents"), domains, TARGETS)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = mixing.fit_mixture(docs, domains, TARGETS)
     return out.select("doc_id", "tokens", "domains", "memberships", "rate")
 
 
