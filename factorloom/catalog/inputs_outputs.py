@@ -318,11 +318,10 @@ def replaced_slices(spark, sf):
 @query("recommendation_rows", with_views("""SELECT date AS as_of, 'm-1' AS model_version, CAST(row_number() OVER (ORDER BY pred DESC, ticker) AS INTEGER) AS rank,
     ticker, gics_sector, pred AS score FROM preds LEFT JOIN sectors USING (ticker) WHERE date = (SELECT max(date) FROM preds)""", "preds", "sectors"))
 def recommendation_rows(spark, sf):
-    from factorloom.catalog.market import wide
     from factorloom.models.training import cross_section_at, rank_cross_section
 
     cross = cross_section_at(v.preds(spark, sf)).join(v.sectors(spark, sf), "ticker", "left")
-    return sink.recommendation_rows(rank_cross_section(cross, wide_groups=wide(spark, sf)), "m-1").drop("scored_at")
+    return sink.recommendation_rows(rank_cross_section(cross), "m-1").drop("scored_at")
 
 
 @query("stats_json", """SELECT o_orderstatus, '{"n":' || count(*) || ',"top":null}' AS stats FROM orders GROUP BY 1""")

@@ -9,7 +9,7 @@ from factorloom.catalog.base import pct_rank_sql, query, r, rounded, rs
 from factorloom.catalog.sqlparts import (
     FUND_CTES, MONTHLY_CTES, PANEL_CTES, PANEL_VIEWS, RAW_CTES, daily_ctes)
 from factorloom.catalog.views import with_views
-from factorloom.functions.cross_section import exact_quantiles, groups_are_wide, normalize, pct_rank
+from factorloom.functions.cross_section import exact_quantiles, normalize, pct_rank
 from factorloom.functions.scalars import with_valuation
 from factorloom.functions.windows import mask_outside
 from factorloom.operators import asof, fundamentals, prices, universe
@@ -19,11 +19,6 @@ from factorloom.plans.panel_daily import assemble_panel_daily, daily_returns, fo
 from factorloom.schema import DAILY_FEATURES, FUNDAMENTAL_COLUMNS, MACRO_FEATURES, MONTHLY_FEATURES, PANEL_COLUMNS
 
 
-def wide(spark, sf) -> bool:
-    """A cross-section has at most one row per supplier."""
-    return groups_are_wide(v.n_names(spark, sf))
-
-
 def fund(spark, sf):
     return fundamentals.derive_fundamental_features(v.facts(spark, sf), v.sectors(spark, sf))
 
@@ -42,12 +37,12 @@ def panel_daily_table(spark, sf):
 
 def panel(spark, sf, **kw):
     return assemble_panel(v.close_m(spark, sf), fund(spark, sf), v.macro_m(spark, sf), v.sectors(spark, sf),
-                          price_calendar=v.sessions(spark, sf, "month"), wide_groups=wide(spark, sf), **kw)
+                          price_calendar=v.sessions(spark, sf, "month"), **kw)
 
 
 def panel_daily(spark, sf, **kw):
     return assemble_panel_daily(v.bars_w(spark, sf), fund(spark, sf), v.sectors(spark, sf),
-                                price_calendar=v.sessions(spark, sf, "week"), wide_groups=wide(spark, sf), **kw)
+                                price_calendar=v.sessions(spark, sf, "week"), **kw)
 
 
 # ------------------------------------------------------------------------------------ prices
@@ -366,7 +361,7 @@ def macro_broadcast(spark, sf):
     {r(pct_rank_sql('close', 'date'), 'rank_in_date')} FROM close_m LEFT JOIN sectors USING (ticker)""", "close_m", "sectors"))
 def sector_pct_rank(spark, sf):
     rows = v.closes(spark, sf).join(v.sectors(spark, sf), "ticker", "left")
-    kw = dict(keys=("date", "ticker"), wide_groups=wide(spark, sf))
+    kw = dict(keys=("date", "ticker"))
     out = pct_rank(rows, ["close"], ["date", "gics_sector"], names={"close": "rank_in_sector"}, **kw)
     out = pct_rank(out, ["close"], ["date"], names={"close": "rank_in_date"}, **kw)
     return rounded(out.drop("close"))
@@ -384,7 +379,7 @@ _ZCOL = r("CASE WHEN coalesce(s, 0) < 1e-12 THEN 0 ELSE (w - m) / s END", "close
 @query("sector_zscore", with_views(_Z.format(z=_ZCOL, by="date, gics_sector"), "close_m", "sectors", extra=_ZS))
 def sector_zscore(spark, sf):
     rows = v.closes(spark, sf).join(v.sectors(spark, sf), "ticker").where(F.col("gics_sector").isNotNull())
-    out = normalize(rows, ["close"], scheme="zscore", wide_groups=wide(spark, sf))
+    out = normalize(rows, ["close"], scheme="zscore")
     return rounded(out.select("ticker", "date", "close"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factorloom.catalog import views as v
 from factorloom.catalog.base import query, r, rounded, rs
-from factorloom.catalog.market import panel, panel_daily_table, panel_table, wide
+from factorloom.catalog.market import panel, panel_daily_table, panel_table
 from factorloom.catalog.sqlparts import FUND_CTES, PANEL_CTES, PANEL_VIEWS, SUMMARY, daily_ctes, spearman_ctes, unpivot
 from factorloom.catalog.views import with_views
 from factorloom.functions.cross_section import row_numbers
@@ -28,7 +28,7 @@ _SIGNALS = [c for c in MONTHLY_FEATURES if c not in MACRO_FEATURES]
 
 @query("ic_by_date", with_views(f"SELECT signal, date, {r('ic', 'ic')} FROM ic", "preds", extra=_IC))
 def ic_by_date(spark, sf):
-    return rounded(evaluate.information_coefficient(v.preds(spark, sf), "pred", wide_groups=wide(spark, sf)))
+    return rounded(evaluate.information_coefficient(v.preds(spark, sf), "pred"))
 
 
 @query("ic_by_date_split", with_views(f"SELECT signal, date, {r('ic', 'ic')} FROM ic", "preds", extra=_IC))
@@ -44,7 +44,7 @@ def ic_by_date_split(spark, sf):
            **spearman_ctes("pairs", "signal, date, gics_sector")}))
 def ic_sector_neutral(spark, sf):
     rows = v.preds(spark, sf).join(v.sectors(spark, sf), "ticker", "left")
-    return rounded(evaluate.information_coefficient(rows, "pred", sector="gics_sector", wide_groups=wide(spark, sf)))
+    return rounded(evaluate.information_coefficient(rows, "pred", sector="gics_sector"))
 
 
 _SUM_OUT = rs(["ic_mean", "ic_std", "ic_ir", "t_stat", "hit_rate"])
@@ -53,14 +53,14 @@ _SUM_OUT = rs(["ic_mean", "ic_std", "ic_ir", "t_stat", "hit_rate"])
 @query("ic_summary", with_views(f"SELECT signal, {_SUM_OUT}, n_months FROM (SELECT signal, {SUMMARY} FROM ic GROUP BY 1)",
                                 "preds", extra=_IC))
 def ic_summary(spark, sf):
-    ic = evaluate.information_coefficient(v.preds(spark, sf), "pred", wide_groups=wide(spark, sf))
+    ic = evaluate.information_coefficient(v.preds(spark, sf), "pred")
     return rounded(evaluate.ic_summary(ic))
 
 
 @query("cumulative_ic", with_views(
     f"SELECT signal, date, {r('sum(ic) OVER (ORDER BY date)', 'cum_ic')} FROM ic", "preds", extra=_IC))
 def cumulative_ic(spark, sf):
-    ic = evaluate.information_coefficient(v.preds(spark, sf), "pred", wide_groups=wide(spark, sf))
+    ic = evaluate.information_coefficient(v.preds(spark, sf), "pred")
     return rounded(evaluate.cumulative_ic(ic).drop("ic"))
 
 
@@ -71,7 +71,7 @@ _REPORT = {**PANEL_CTES, "pairs": unpivot("panel", _SIGNALS, "forward_return", "
 @query("signal_report", with_views(f"SELECT signal, {_SUM_OUT}, n_months FROM (SELECT signal, {SUMMARY} FROM ic GROUP BY 1)",
                                    *PANEL_VIEWS, extra=_REPORT))
 def signal_report(spark, sf):
-    return rounded(evaluate.signal_report(panel_table(spark, sf), _SIGNALS, wide_groups=wide(spark, sf)))
+    return rounded(evaluate.signal_report(panel_table(spark, sf), _SIGNALS))
 
 
 _EXPECT = " ".join(f"WHEN '{k}' THEN {s}" for k, s in EXPECTED_SIGNS.items())
@@ -82,7 +82,7 @@ _EXPECT = " ".join(f"WHEN '{k}' THEN {s}" for k, s in EXPECTED_SIGNS.items())
     CASE signal {_EXPECT} END = 0 OR CASE signal {_EXPECT} END = CASE WHEN m > 0 THEN 1 ELSE -1 END AS matches
   FROM (SELECT signal, avg(ic) AS m FROM ic GROUP BY 1)""", *PANEL_VIEWS, extra=_REPORT))
 def sign_check(spark, sf):
-    report = evaluate.signal_report(panel_table(spark, sf), _SIGNALS, wide_groups=wide(spark, sf))
+    report = evaluate.signal_report(panel_table(spark, sf), _SIGNALS)
     return rounded(evaluate.sign_check(report).select("signal", "ic_mean", "expected", "actual_sign", "matches"))
 
 
@@ -96,7 +96,7 @@ _QR_SQL = f"""SELECT 'pred' AS signal, CAST(q AS VARCHAR) AS quantile, {r('m', '
 
 @query("quantile_returns", with_views(_QR_SQL, "preds", extra=_QR))
 def quantile_returns(spark, sf):
-    return rounded(evaluate.quantile_returns(v.preds(spark, sf), "pred", wide_groups=wide(spark, sf)))
+    return rounded(evaluate.quantile_returns(v.preds(spark, sf), "pred"))
 
 
 @query("quantile_returns_split", with_views(_QR_SQL, "preds", extra=_QR))
@@ -118,7 +118,7 @@ _H = {**FUND_CTES, **daily_ctes("bars_w"),
     f"SELECT horizon, signal, {_SUM_OUT}, n_months FROM (SELECT horizon, signal, {SUMMARY} FROM ic GROUP BY 1, 2)",
     "bars_w", "facts", "sectors", extra=_H))
 def ic_by_horizon(spark, sf):
-    return rounded(evaluate.ic_by_horizon(panel_daily_table(spark, sf), _H_SIG, (5, 10, 30), wide_groups=wide(spark, sf)))
+    return rounded(evaluate.ic_by_horizon(panel_daily_table(spark, sf), _H_SIG, (5, 10, 30)))
 
 
 _NAIVE = dict(_H, pairs=_H["pairs"].replace("p % 5 = 0 AND ", "").replace("p % 10 = 0 AND ", "").replace("p % 30 = 0 AND ", ""))
@@ -128,8 +128,7 @@ _NAIVE = dict(_H, pairs=_H["pairs"].replace("p % 5 = 0 AND ", "").replace("p % 1
     f"SELECT horizon, signal, {_SUM_OUT}, n_months FROM (SELECT horizon, signal, {SUMMARY} FROM ic GROUP BY 1, 2)",
     "bars_w", "facts", "sectors", extra=_NAIVE))
 def ic_by_horizon_overlapping(spark, sf):
-    return rounded(evaluate.ic_by_horizon(panel_daily_table(spark, sf), _H_SIG, (5, 10, 30), overlapping=True,
-                                          wide_groups=wide(spark, sf)))
+    return rounded(evaluate.ic_by_horizon(panel_daily_table(spark, sf), _H_SIG, (5, 10, 30), overlapping=True))
 
 
 @query("feature_coverage", with_views(" UNION ALL ".join(
@@ -305,14 +304,14 @@ def elastic_net_oos(spark, sf):
 def elastic_net_tuned(spark, sf):
     """Nested tuning: the parameters and inner IC each fold used."""
     _, models = elastic_net.walk_forward(panel_table(spark, sf), MONTHLY_FEATURES, params=_WF, stored=True, spec=ELASTIC_NET,
-                                         tuning=TuningParams(), wide_groups=wide(spark, sf))
+                                         tuning=TuningParams())
     return models.select("fold", "param_id", "inner_ic", "alpha", "l1_ratio", "intercept", "coef")
 
 
 @query("elastic_net_ic")
 def elastic_net_ic(spark, sf):
     scored, _ = elastic_net.walk_forward(panel_table(spark, sf), MONTHLY_FEATURES, params=_WF, stored=True)
-    return evaluate.ic_summary(evaluate.information_coefficient(scored, "pred", wide_groups=wide(spark, sf)))
+    return evaluate.ic_summary(evaluate.information_coefficient(scored, "pred"))
 
 
 @query("gram_sums", with_views(
@@ -335,9 +334,9 @@ def gbt_oos(spark, sf):
 
 @query("leakage_ic")
 def leakage_ic(spark, sf):
-    shuffled = walkforward.shuffle_target(panel_table(spark, sf), wide_groups=wide(spark, sf))
+    shuffled = walkforward.shuffle_target(panel_table(spark, sf))
     scored, _ = elastic_net.walk_forward(shuffled, MONTHLY_FEATURES, params=_WF)
-    ic = evaluate.information_coefficient(scored, "pred", wide_groups=wide(spark, sf))
+    ic = evaluate.information_coefficient(scored, "pred")
     return walkforward.leakage_passed(evaluate.ic_summary(ic))
 
 
@@ -345,7 +344,7 @@ def leakage_ic(spark, sf):
     f"SELECT date, count(*) AS n, count(target) AS n_target, {r('sum(target)', 'total')} FROM panel GROUP BY 1",
     *PANEL_VIEWS, extra=PANEL_CTES))
 def shuffled_target_totals(spark, sf):
-    out = walkforward.shuffle_target(panel_table(spark, sf), wide_groups=wide(spark, sf))
+    out = walkforward.shuffle_target(panel_table(spark, sf))
     return rounded(out.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.count("target").alias("n_target"),
                                            F.sum("target").alias("total")))
 
@@ -354,7 +353,7 @@ def shuffled_target_totals(spark, sf):
   FROM preds WHERE date = (SELECT max(date) FROM preds)""", "preds"))
 def recommend_latest(spark, sf):
     cross = cross_section_at(v.preds(spark, sf))
-    return rank_cross_section(cross, wide_groups=wide(spark, sf)).select("date", "ticker", "pred", "rank")
+    return rank_cross_section(cross).select("date", "ticker", "pred", "rank")
 
 
 @query("newest_models", """SELECT o_orderpriority AS horizon, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS model_version FROM orders GROUP BY 1""")
@@ -438,7 +437,7 @@ _PLAN = {
 
 def _plan(spark, sf):
     pos, cash, scores, price = _accounts(spark, sf)
-    return rebalance.plan_rebalance(pos, cash, scores, price, params=_RB, wide_groups=wide(spark, sf)), cash
+    return rebalance.plan_rebalance(pos, cash, scores, price, params=_RB), cash
 
 
 @query("rebalance_plan", with_views("""SELECT account_id, ticker, action, CAST(rank AS INTEGER) AS rank, current_shares,

@@ -1,16 +1,13 @@
 """Order statistics within cross-sections: ranks, row numbers, quantiles, z-scores.
 
-Every operator comes in two physical forms with equal results.
-
-* **window**: one shuffle on the group, one sort per column. Right while a single group
-  (all names of one date, or of one date and sector) fits a task.
-* **split**: for groups too wide for one task. Values are cut into buckets by a fixed,
-  monotone function of the value, so (group, bucket) is the unit of work; counts per bucket
-  are pre-aggregated, and their running total gives each bucket its offset in the group.
-  Equal values are counted before the shuffle, so a hot value costs one row.
-
-``wide_groups`` chooses. Left at None the largest group is measured first, with a grouped
-count over the input; callers that know a bound pass the flag and spare that pass.
+A missing value is null or NaN; infinities are ordered like other values. Ranking operators
+have two physical forms with equal results, and the caller names the one it wants:
+
+* **window** (the default): one shuffle on the group, one sort per column. For groups that
+  the domain bounds, such as the names of one date, or of one date and sector.
+* **split** (``wide_groups=True``): for groups without such a bound. Distinct values are counted,
+  range-partitioned on sampled boundaries and numbered partition by partition; counts per
+  partition give the offsets. Neither a group nor a hot value has to fit one task.
 """
 
 from __future__ import annotations
@@ -20,43 +17,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Rows of one group that a single task may sort (about 1 GB with spill for 16 columns).
-GROUP_ROWS_LIMIT = 4_000_000
-_FIRST, _LAST = Window.unboundedPreceding, Window.unboundedFollowing
-
-
-def groups_are_wide(bound: int | DataFrame, by: Sequence[str] = ()) -> bool:
-    """True when a group may exceed the limit.
-
-    ``bound`` is either a known upper bound (such as the number of names) or a frame whose
-    largest ``by`` group is measured; the count is combined before its shuffle.
-    """
-    if isinstance(bound, int):
-        return bound > GROUP_ROWS_LIMIT
-    row = bound.groupBy(*by).count().agg(F.max("count")).first()
-    return (row[0] or 0) > GROUP_ROWS_LIMIT
-
-
-def is_wide(flag: bool | None, df: DataFrame, by: Sequence[str]) -> bool:
-    """The caller's flag, or the measured answer. Rows of a null group do not count: they
-    are spread over tasks and get no result."""
-    return groups_are_wide(df.where(_groups_present(by)), by) if flag is None else flag
 
+from factorloom.session import settle
 
-def value_bucket(c: Column) -> Column:
-    """A bigint that never decreases with ``c``: 256 steps per doubling of its magnitude."""
-    step = F.floor(F.log(F.abs(c)) * 369.3299304675746).cast("bigint") + 300_000
-    return (F.when(c > 0, step).when(c < 0, -step).when(c == 0, F.lit(0).cast("bigint")))
+_FIRST, _LAST = Window.unboundedPreceding, Window.unboundedFollowing
 
 
-def tie_bucket(df: DataFrame, c: str) -> Column:
-    """Monotone bucket of a tie-break column: numbers by magnitude, text by its head."""
-    kind = df.schema[c].dataType
-    if isinstance(kind, T.NumericType):
-        return value_bucket(F.col(c).cast("double")).cast("string")
-    return F.substring(F.col(c).cast("string"), 1, 6)
+def known(c: Column) -> Column:
+    """The value, with NaN as null."""
+    return F.when(~F.isnan(c.cast("double")), c)
 
 
 def _groups_present(by: Sequence[str]) -> Column:
@@ -80,46 +49,58 @@ def average_rank(c: Column, by: Sequence) -> tuple[Column, Column]:
 
 
 def pct_rank(df: DataFrame, cols: Sequence[str], by: Sequence[str], *, keys: Sequence[str],
-             wide_groups: bool | None = None, names: dict[str, str] | None = None) -> DataFrame:
+             wide_groups: bool = False, names: dict[str, str] | None = None) -> DataFrame:
     """Average-tie rank over count of values, within the group.
 
     A null value or a null group key gives null. Replaces each column, or adds it under
     ``names[c]``. ``keys`` identify a row.
     """
     names = names or {}
-    if is_wide(wide_groups, df, by):
+    if wide_groups:
         return _pct_rank_split(df, cols, by, keys, names)
     parts = _spread(by, keys)
     present = _groups_present(by)
     out = {}
     for c in cols:
-        r, n = average_rank(F.col(c), parts)
-        out[names.get(c, c)] = F.when(F.col(c).isNotNull() & present, r / n)
+        x = known(F.col(c))
+        r, n = average_rank(x, parts)
+        out[names.get(c, c)] = F.when(x.isNotNull() & present, r / n)
     return df.withColumns(out)
 
 
 def _melt(df: DataFrame, cols: Sequence[str], by: Sequence[str], keys: Sequence[str]) -> DataFrame:
     ids = list(dict.fromkeys([*keys, *by]))
     pairs = F.explode(F.array(*(
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols)))
+        F.struct(F.lit(c).alias("column"), known(F.col(c)).cast("double").alias("x")) for c in cols)))
     return (df.where(_groups_present(by)).select(*ids, pairs.alias("p"))
             .select(*ids, "p.column", "p.x").where(F.col("x").isNotNull()))
 
 
-def value_order(long: DataFrame, group: Sequence[str], x: str = "x") -> DataFrame:
-    """One row per distinct (group, x): ``below`` (values smaller), ``same`` and ``total``."""
-    distinct = (long.groupBy(*group, x).agg(F.count(F.lit(1)).alias("same"))
-                .withColumn("_b", value_bucket(F.col(x))))
+def ranged(df: DataFrame, group: Sequence[str], order: Sequence[Column], weight: Column) -> DataFrame:
+    """``df`` with ``_before``, the weight of all rows before it in its group, and ``_all``, the group's.
+
+    Rows are cut into ranges of (group, order) on sampled boundaries and written with their
+    range's number; ranges are then summed, and a row's sum is its range's offset plus the sum
+    inside the range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.withColumn("_w", weight).repartitionByRange(n, *group, *order).withColumn("_part", F.spark_partition_id())
+    cut = settle(cut, "ranged")
+    sizes = cut.groupBy(*group, "_part").agg(F.sum("_w").alias("_k"))
     g = Window.partitionBy(*group)
-    sizes = distinct.groupBy(*group, "_b").agg(F.sum("same").alias("_k"))
     sizes = sizes.select(
-        *group, "_b",
-        F.coalesce(F.sum("_k").over(g.orderBy("_b").rowsBetween(_FIRST, -1)), F.lit(0)).alias("_base"),
-        F.sum("_k").over(g).alias("total"))
-    within = Window.partitionBy(*group, "_b").orderBy(x).rowsBetween(_FIRST, -1)
-    return distinct.join(sizes, [*group, "_b"]).select(
-        *group, x, "same", "total",
-        (F.col("_base") + F.coalesce(F.sum("same").over(within), F.lit(0))).alias("below"))
+        *group, "_part", F.coalesce(F.sum("_k").over(g.orderBy("_part").rowsBetween(_FIRST, -1)), F.lit(0)).alias("_base"),
+        F.sum("_k").over(g).alias("_all"))
+    inside = F.sum("_w").over(Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(_FIRST, -1))
+    placed = cut.join(sizes, [*group, "_part"]).withColumn("_before", F.col("_base") + F.coalesce(inside, F.lit(0)))
+    return placed.drop("_w", "_part", "_base")
+
+
+def value_order(long: DataFrame, group: Sequence[str], x: str = "x") -> DataFrame:
+    """One row per distinct (group, x): ``below`` (values smaller), ``same`` and ``total``."""
+    distinct = long.groupBy(*group, x).agg(F.count(F.lit(1)).alias("same"))
+    placed = ranged(distinct, group, [F.col(x)], F.col("same"))
+    return placed.select(*group, x, "same", F.col("_all").alias("total"), F.col("_before").alias("below"))
 
 
 def _pct_rank_split(df, cols, by, keys, names):
@@ -138,33 +119,21 @@ def _pct_rank_split(df, cols, by, keys, names):
 
 
 def row_numbers(df: DataFrame, by: Sequence[str], value: str, tie: str, *, descending: bool = False,
-                out: str = "row", count: str | None = None, wide_groups: bool | None = None) -> DataFrame:
+                out: str = "row", count: str | None = None, wide_groups: bool = False) -> DataFrame:
     """1-based position by (value, tie ascending) in the group, with the group's row count.
 
     ``value`` must not be null.
     """
     x = F.col(value).desc() if descending else F.col(value).asc()
-    if not is_wide(wide_groups, df, by):
+    if not wide_groups:
         w = Window.partitionBy(*by).orderBy(x, F.col(tie).asc())
         df = df.withColumn(out, F.row_number().over(w))
         return df.withColumn(count, F.count(F.lit(1)).over(w.rowsBetween(_FIRST, _LAST))) if count else df
-    # Position = values before it + place among equals; equals are cut by the tie-break too.
-    df = df.withColumn("_t", tie_bucket(df, tie))
-    numeric_tie = isinstance(df.schema[tie].dataType, T.NumericType)
-    t_order = F.col("_t").cast("bigint") if numeric_tie else F.col("_t")
-    order = value_order(df, by, value)
-    before = F.col("total") - F.col("below") - F.col("same") if descending else F.col("below")
-    units = df.groupBy(*by, value, "_t").agg(F.count(F.lit(1)).alias("_k"))
-    equals = Window.partitionBy(*by, value).orderBy(t_order).rowsBetween(_FIRST, -1)
-    units = units.withColumn("_i", F.coalesce(F.sum("_k").over(equals), F.lit(0)))
-    units = units.join(order, [*by, value]).select(
-        *by, value, "_t", (before + F.col("_i")).alias("_base"), F.col("total").alias("_all"))
-    w = Window.partitionBy(*by, value, "_t").orderBy(F.col(tie).asc())
-    rows = df.join(units, [*by, value, "_t"]).withColumn(
-        out, (F.col("_base") + F.row_number().over(w)).cast("int"))
+    placed = ranged(df, by, [x, F.col(tie).asc()], F.lit(1))
+    placed = placed.withColumn(out, (F.col("_before") + 1).cast("int"))
     if count:
-        rows = rows.withColumn(count, F.col("_all"))
-    return rows.drop("_t", "_base", "_all")
+        placed = placed.withColumn(count, F.col("_all"))
+    return placed.drop("_before", "_all")
 
 
 # ------------------------------------------------------------------------------ quantiles
@@ -179,7 +148,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     """
     group = [*by, "column"]
     pairs = F.explode(F.array(*(
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols)))
+        F.struct(F.lit(c).alias("column"), known(F.col(c)).cast("double").alias("x")) for c in cols)))
     src = df.where(_groups_present(by)) if by else df
     long = (src.select(*by, pairs.alias("p")).select(*by, "p.column", "p.x")
             .where(F.col("x").isNotNull()))
@@ -204,11 +173,12 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
 
 def zscore(df: DataFrame, cols: Sequence[str], by: Sequence[str], *, keys: Sequence[str],
-           winsorize_pct: float = 0.01, wide_groups: bool | None = None) -> DataFrame:
+           winsorize_pct: float = 0.01, wide_groups: bool = False) -> DataFrame:
     """Clip at the group's quantiles, then (x - mean) / std; a zero spread gives 0."""
     present = _groups_present(by)
     lo_hi = [winsorize_pct, 1 - winsorize_pct]
-    if is_wide(wide_groups, df, by):
+    df = df.withColumns({c: known(F.col(c)) for c in cols})
+    if wide_groups:
         df = _zscore_stats_split(df, cols, by, lo_hi)
         mean, std = (lambda c: F.col(f"_m_{c}")), (lambda c: F.col(f"_s_{c}"))
     else:
@@ -250,7 +220,7 @@ def _zscore_stats_split(df, cols, by, lo_hi):
 
 def normalize(df: DataFrame, cols: Sequence[str], *, scheme: str = "rank", sector_neutral: bool = True,
               date: str = "date", sector: str = "gics_sector", keys: Sequence[str] = ("date", "ticker"),
-              winsorize_pct: float = 0.01, wide_groups: bool | None = None) -> DataFrame:
+              winsorize_pct: float = 0.01, wide_groups: bool = False) -> DataFrame:
     """Normalise ``cols`` per date, or per date and sector, by the chosen scheme."""
     by = [date, sector] if sector_neutral else [date]
     if scheme == "rank":

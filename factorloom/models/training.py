@@ -67,14 +67,14 @@ def cross_section_at(panel: DataFrame, asof: str | None = None, date: str = "dat
     return panel.where(F.col(date) == day)
 
 
-def rank_cross_section(scored: DataFrame, score_col: str = "pred", wide_groups: bool | None = None) -> DataFrame:
+def rank_cross_section(scored: DataFrame, score_col: str = "pred", wide_groups: bool = True) -> DataFrame:
     """Best first: ranks 1..n by score, then ticker."""
     return row_numbers(scored.where(F.col(score_col).isNotNull()), ["date"], score_col, "ticker",
                        descending=True, out="rank", wide_groups=wide_groups)
 
 
 def latest_recommendations(panel: DataFrame, store: ModelStore, *, horizon: str = "1m", version: str = "latest",
-                           asof: str | None = None, wide_groups: bool | None = None) -> tuple[DataFrame, Manifest]:
+                           asof: str | None = None, wide_groups: bool = False) -> tuple[DataFrame, Manifest]:
     """Score the newest (or ``asof``) cross-section with the deployed model and rank it."""
     model, manifest = store.load(horizon, version)
     cross = cross_section_at(panel, asof)

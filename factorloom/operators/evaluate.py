@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.cross_section import (
-    average_rank, exact_quantiles, is_wide, quantile_bucket, row_numbers, value_order)
+    average_rank, exact_quantiles, known, quantile_bucket, row_numbers, value_order)
 from factorloom.operators.calendar import calendar, with_position
 from factorloom.schema import EXPECTED_SIGNS
 
@@ -22,20 +22,20 @@ MIN_PAIRS = 5
 def _pairs(panel: DataFrame, signals: Sequence[str], target: str, keep: Sequence[str]) -> DataFrame:
     """Complete (signal, target) pairs: one row per signal and panel row."""
     cells = F.explode(F.array(*(
-        F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("x")) for s in signals)))
-    return (panel.where(F.col(target).isNotNull())
+        F.struct(F.lit(s).alias("signal"), known(F.col(s)).cast("double").alias("x")) for s in signals)))
+    return (panel.where(known(F.col(target)).isNotNull())
             .select(*keep, F.col(target).cast("double").alias("y"), cells.alias("c"))
             .select(*keep, "c.signal", "c.x", "y").where(F.col("x").isNotNull()))
 
 
-def spearman(pairs: DataFrame, by: Sequence[str], *, wide_groups: bool | None = None) -> DataFrame:
+def spearman(pairs: DataFrame, by: Sequence[str], *, wide_groups: bool = False) -> DataFrame:
     """Rank correlation of (x, y) per group; groups under five pairs or constant drop out.
 
     Average-tie ranks have mean (n + 1) / 2, so centred sums need no second pass; the
     correlation comes from guarded sums because ``corr`` fails on constant input.
     """
     by = list(by)
-    if is_wide(wide_groups, pairs, by):
+    if wide_groups:
         for c in ("x", "y"):
             order = value_order(pairs, by, c).select(
                 *by, c, (F.col("below") + (F.col("same") + 1) / 2).alias(f"r{c}"),
@@ -56,14 +56,12 @@ def spearman(pairs: DataFrame, by: Sequence[str], *, wide_groups: bool | None =
 
 def information_coefficient(panel: DataFrame, signals: str | Sequence[str], *,
                             target: str = "forward_return", date: str = "date",
-                            sector: str | None = None, wide_groups: bool | None = None) -> DataFrame:
+                            sector: str | None = None, wide_groups: bool = False) -> DataFrame:
     """Per-date Spearman IC of each signal: rows (signal, date, ic).
 
     With ``sector`` the IC is taken within sectors and averaged over them per date.
     """
     signals = [signals] if isinstance(signals, str) else list(signals)
-    # a date's rows bound the pairs of each signal, so the panel is measured before unpivoting
-    wide_groups = is_wide(wide_groups, panel, [date])
     if sector is None:
         pairs = _pairs(panel, signals, target, [date])
         return spearman(pairs, ["signal", date], wide_groups=wide_groups)
@@ -84,7 +82,7 @@ def ic_summary(ic: DataFrame, by: Sequence[str] = ("signal",)) -> DataFrame:
 
 
 def signal_report(panel: DataFrame, signals: Sequence[str], *, target: str = "forward_return",
-                  date: str = "date", sector: str | None = None, wide_groups: bool | None = None) -> DataFrame:
+                  date: str = "date", sector: str | None = None, wide_groups: bool = False) -> DataFrame:
     """IC summary of many signals, best information ratio first."""
     ic = information_coefficient(panel, signals, target=target, date=date, sector=sector,
                                  wide_groups=wide_groups)
@@ -108,13 +106,12 @@ def cumulative_ic(ic: DataFrame, date: str = "date", by: Sequence[str] = ("signa
 
 def quantile_returns(panel: DataFrame, signals: str | Sequence[str], *, target: str = "forward_return",
                      n_quantiles: int = 10, date: str = "date", ticker: str = "ticker",
-                     wide_groups: bool | None = None) -> DataFrame:
+                     wide_groups: bool = False) -> DataFrame:
     """Mean forward return per signal quantile, averaged per date and then over dates.
 
     Rows (signal, quantile, mean_fwd_return), with a ``top_minus_bottom`` row per signal.
     """
     signals = [signals] if isinstance(signals, str) else list(signals)
-    wide_groups = is_wide(wide_groups, panel, [date])
     pairs = _pairs(panel, signals, target, [date, ticker])
     placed = row_numbers(pairs, ["signal", date], "x", ticker, out="_r", count="_n",
                          wide_groups=wide_groups).where(F.col("_n") >= n_quantiles)
@@ -132,18 +129,17 @@ def quantile_returns(panel: DataFrame, signals: str | Sequence[str], *, target:
 
 def ic_series_by_horizon(panel: DataFrame, signals: Sequence[str], horizons: Sequence[int], *,
                          date: str = "date", overlapping: bool = False,
-                         wide_groups: bool | None = None) -> DataFrame:
+                         wide_groups: bool = False) -> DataFrame:
     """Per-date IC of each signal against each horizon's forward return.
 
     Only every h-th date is used for horizon h, so samples do not overlap.
     """
-    wide_groups = is_wide(wide_groups, panel, [date])
     if not overlapping:
         panel = with_position(panel, calendar(panel, date, "_p"), date=date)
 
     def cell(h, s) -> Column:
         use = F.lit(True) if overlapping else F.col("_p") % h == 0
-        return F.when(use & F.col(s).isNotNull() & F.col(f"fwd_{h}d").isNotNull(), F.struct(
+        return F.when(use & known(F.col(s)).isNotNull() & known(F.col(f"fwd_{h}d")).isNotNull(), F.struct(
             F.lit(f"{h}d").alias("horizon"), F.lit(s).alias("signal"),
             F.col(s).cast("double").alias("x"), F.col(f"fwd_{h}d").alias("y")))
 
@@ -153,7 +149,7 @@ def ic_series_by_horizon(panel: DataFrame, signals: Sequence[str], horizons: Seq
 
 
 def ic_by_horizon(panel: DataFrame, signals: Sequence[str], horizons: Sequence[int], *,
-                  date: str = "date", overlapping: bool = False, wide_groups: bool | None = None) -> DataFrame:
+                  date: str = "date", overlapping: bool = False, wide_groups: bool = False) -> DataFrame:
     """IC summary per (horizon, signal) on non-overlapping dates."""
     return ic_summary(ic_series_by_horizon(panel, signals, horizons, date=date, overlapping=overlapping,
                                            wide_groups=wide_groups), ["horizon", "signal"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.functions.cross_section import is_wide, normalize, pct_rank
+from factorloom.functions.cross_section import normalize, pct_rank
 from factorloom.functions.scalars import with_valuation
 from factorloom.functions.windows import Positional
 from factorloom.operators.asof import asof_join
@@ -57,7 +57,7 @@ def attach_fundamentals(panel: DataFrame, fundamentals: DataFrame) -> DataFrame:
 
 def assemble_panel(prices: DataFrame, fundamentals: DataFrame, macro: DataFrame, sectors: DataFrame, *,
                    normalized: bool = True, drop_unpriced: bool = False, params: PanelParams = PanelParams(),
-                   price_calendar: DataFrame | None = None, wide_groups: bool | None = None) -> DataFrame:
+                   price_calendar: DataFrame | None = None, wide_groups: bool = False) -> DataFrame:
     """Monthly closes, quarterly features, macro series and sectors -> feature panel.
 
     Features, as-of join and sector tag share the partitioning on ticker; the ranks need
@@ -73,8 +73,7 @@ def assemble_panel(prices: DataFrame, fundamentals: DataFrame, macro: DataFrame,
     panel = panel.select(*[c for c in PANEL_COLUMNS if c != "target"])
     if not normalized:
         return panel
-    if params.sector_neutral:  # a group holds at most the names of one sector
-        wide_groups = is_wide(wide_groups, unique_sectors(sectors), ["gics_sector"])
+    # a group holds at most the names of one date, so the window form of the ranks is right
     # the target is ranked with the features: same groups, same shuffle
     panel = panel.withColumn("target", F.col("forward_return"))
     by = ["date", "gics_sector"]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.functions.cross_section import is_wide, normalize, pct_rank
+from factorloom.functions.cross_section import normalize, pct_rank
 from factorloom.functions.scalars import with_valuation
 from factorloom.functions.windows import Positional
 from factorloom.operators.calendar import calendar, every_kth
@@ -68,7 +68,7 @@ def forward_labels(rows: DataFrame, horizons: Sequence[int]) -> DataFrame:
 def assemble_panel_daily(bars: DataFrame, fundamentals: DataFrame, sectors: DataFrame, *,
                          since: str | None = None, every: int = 1, normalized: bool = True,
                          params: DailyPanelParams = DailyPanelParams(),
-                         price_calendar: DataFrame | None = None, wide_groups: bool | None = None) -> DataFrame:
+                         price_calendar: DataFrame | None = None, wide_groups: bool = False) -> DataFrame:
     """Daily bars, quarterly features and sectors -> panel with fwd_{h}d and target_{h}d.
 
     ``since`` and ``every`` thin the output dates only; windows see the whole history.
@@ -84,8 +84,7 @@ def assemble_panel_daily(bars: DataFrame, fundamentals: DataFrame, sectors: Data
     panel = panel.select("date", "ticker", "gics_sector", "market_cap", *DAILY_FEATURES, *fwd)
     if not normalized:
         return panel
-    if params.sector_neutral:  # a group holds at most the names of one sector
-        wide_groups = is_wide(wide_groups, unique_sectors(sectors), ["gics_sector"])
+    # a group holds at most the names of one date, so the window form of the ranks is right
     by, keys = ["date", "gics_sector"], ("date", "ticker")
     targets = {f"target_{h}d": F.col(f"fwd_{h}d") for h in horizons}
     panel = panel.withColumns(targets)

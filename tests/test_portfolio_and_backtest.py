@@ -134,7 +134,7 @@ def test_rebalance_actions(plan):
     act = {k: r.action for k, r in rows.items()}
     assert act["a", "N35"] == "SELL" and act["a", "ETF"] == "REVIEW" and act["a", "N05"] == "HOLD"
     assert act["a", "N09"] == "TRIM" and act["a", "N01"] == "ADD"
-    assert "no recent price" in rows["a", "N05"].reason
+    assert "no price" in rows["a", "N05"].reason
     assert act["a", "N02"] == "BUY" and ("a", "N03") not in act      # below the price floor
     assert sum(a == "BUY" for (acc, _), a in act.items() if acc == "c") == 4
     assert rows["c", "N01"].trade_shares == 25.0                      # 5000 / 4 names / 50

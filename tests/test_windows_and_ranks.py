@@ -196,3 +196,28 @@ def test_quantile_returns_match_qcut(spark, wide):
     for k, m in means.items():
         assert got[str(k)] == pytest.approx(m)
     assert got["top_minus_bottom"] == pytest.approx(means[5] - means[1])
+
+
+def odd_values(spark):
+    """NaN, infinities, a hot value, a narrow band of large numbers and names with one long prefix."""
+    nan, inf = float("nan"), float("inf")
+    groups = {"odd": [nan, inf, -inf, 1.0, None, -2.0, 0.0, inf, 1e-300], "hot": [5.0] * 60 + [4.0, 6.0],
+              "band": [1.7e9 + k / 7 for k in range(50)] + [1.7e9]}
+    rows = [(g, f"a_very_long_shared_prefix_{g}_{k:03d}", x) for g, xs_ in groups.items() for k, x in enumerate(xs_)]
+    return spark.createDataFrame(rows + [(None, "n", 1.0)], "g string, id string, x double"), groups
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_rank_forms_define_odd_values_alike(spark, wide):
+    df, groups = odd_values(spark)
+    got = {r.id: r.r for r in xs.pct_rank(df, ["x"], ["g"], keys=["id"], wide_groups=wide, names={"x": "r"}).collect()}
+    for g, values in groups.items():
+        want = pd.Series(values, dtype=float).rank(pct=True)
+        have = [got[f"a_very_long_shared_prefix_{g}_{k:03d}"] for k in range(len(values))]
+        assert [None if pd.isna(w) else round(w, 12) for w in want] == [None if h is None else round(h, 12) for h in have]
+    assert got["n"] is None
+    known = df.where("g is not null and x is not null and not isnan(x)")
+    rows = xs.row_numbers(known, ["g"], "x", "id", out="k", count="n", wide_groups=wide).collect()
+    for g in groups:
+        own = sorted(((r.x, r.id), r.k, r.n) for r in rows if r.g == g)
+        assert [k for _, k, _ in own] == list(range(1, len(own) + 1)) and {n for _, _, n in own} == {len(own)}
