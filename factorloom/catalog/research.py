@@ -13,7 +13,7 @@ from factorloom.functions.cross_section import row_numbers
 from factorloom.models import elastic_net, folds, walkforward
 from factorloom.models.training import cross_section_at, rank_cross_section
 from factorloom.operators import backtest, evaluate, portfolio, rebalance
-from factorloom.operators.attribution import coefficient_table, factor_attribution
+from factorloom.operators.attribution import FACTORS, coefficient_table, factor_attribution
 from factorloom.operators.portfolio import Strategy
 from factorloom.params import ELASTIC_NET, PortfolioParams, RebalanceParams, TuningParams, WalkForwardParams
 from factorloom.schema import EXPECTED_SIGNS, MACRO_FEATURES, MONTHLY_FEATURES, PANEL_COLUMNS
@@ -258,27 +258,108 @@ def factor_attribution_market(spark, sf):
                               "r_squared", F.col("n_months").cast("bigint").alias("n_months")))
 
 
-@query("hold_buffer")
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _chain(source: str) -> dict[str, str]:
+    """CTEs of the hold-buffer rule: each date's lists of kept and bought names, chained by recursion."""
+    sets = ", ".join(f"('{x.name}', {x.n_holdings}, {x.buffer}, {x.depth}, {x.max_weight}, {x.cost_bps})" for x in _BASE)
+    return {
+        "strat": f"SELECT * FROM (VALUES {sets}) AS s(strategy, n, buf, depth, cap, bps)",
+        "rk": f"""SELECT date, ticker, forward_return, CAST(row_number() OVER (PARTITION BY date ORDER BY pred DESC, ticker) AS INTEGER) AS rank
+  FROM {source} WHERE pred IS NOT NULL""",
+        "day": "SELECT row_number() OVER (ORDER BY date) AS i, date, list(ticker ORDER BY rank) AS names FROM rk GROUP BY date",
+        "chain": """SELECT strategy, n, buf, depth, i, date, CAST([] AS BIGINT[]) AS kept, names[1:n] AS bought FROM strat, day WHERE i = 1
+  UNION ALL
+  SELECT strategy, n, buf, depth, i, date, kept,
+    list_filter(names[1:depth], lambda x: NOT list_contains(held, x))[1:n - len(kept)] AS bought
+  FROM (SELECT strategy, n, buf, depth, i, date, names, held,
+          list_filter(names[1:buf], lambda x: list_contains(held, x))[1:n] AS kept
+        FROM (SELECT c.strategy, c.n, c.buf, c.depth, day.i, day.date, day.names, list_concat(c.kept, c.bought) AS held
+              FROM chain AS c JOIN day ON day.i = c.i + 1))""",
+        "book": """SELECT strategy, i, date, ticker, rank, action, forward_return FROM (
+  SELECT strategy, i, date, unnest(kept) AS ticker, 'keep' AS action FROM chain
+  UNION ALL SELECT strategy, i, date, unnest(bought), 'buy' FROM chain) JOIN rk USING (date, ticker)""",
+    }
+
+
+_CHAIN = _chain("preds")
+
+
+@query("hold_buffer", recursive(with_views("SELECT 'model' AS model_version, strategy, date, ticker, rank, action FROM book", "preds", extra=_CHAIN)))
 def hold_buffer(spark, sf):
     return portfolio.hold_buffer(v.preds(spark, sf), _BASE)
 
 
-@query("hold_buffer_sells")
+@query("hold_buffer_sells", recursive(with_views("""SELECT 'model' AS model_version, strategy, day.date AS date, ticker
+  FROM book AS b JOIN day ON day.i = b.i + 1
+  WHERE NOT EXISTS (SELECT 1 FROM book AS c WHERE c.strategy = b.strategy AND c.i = b.i + 1 AND c.ticker = b.ticker)
+    AND EXISTS (SELECT 1 FROM rk WHERE rk.date = day.date AND rk.ticker = b.ticker)""", "preds", extra=_CHAIN)))
 def hold_buffer_sells(spark, sf):
     p = v.preds(spark, sf)
     return portfolio.sells(portfolio.hold_buffer(p, _BASE), p)
 
 
-@query("strategy_backtest")
+_TERMS = ("alpha", *FACTORS)
+
+
+def _regression(source: str) -> dict[str, str]:
+    """CTEs of a seven-term least squares per strategy: every term in turn is made orthogonal to all
+    others, one after another, which gives its coefficient and its standard error."""
+    out = {"reg": f"""SELECT b.strategy, net - rf AS y, 1.0 AS alpha, {', '.join(FACTORS)} FROM {source} AS b
+  JOIN ff_m ON date_trunc('month', b.date) = date_trunc('month', ff_m.date)"""}
+    for term in _TERMS:
+        order, last = [t for t in _TERMS if t != term] + [term], "reg"
+        for k, x in enumerate(order):
+            less = "".join(f" - e{i} * sum({x} * e{i}) OVER w / nullif(sum(e{i} * e{i}) OVER w, 0)" for i in range(k))
+            out[f"gs_{term}_{k}"] = f"SELECT *, {x}{less} AS e{k} FROM {last} WINDOW w AS (PARTITION BY strategy)"
+            last = f"gs_{term}_{k}"
+        k = len(order)
+        left = "sum(y * y)" + "".join(f" - pow(sum(y * e{i}), 2) / sum(e{i} * e{i})" for i in range(k))
+        out[f"fit_{term}"] = f"""SELECT strategy, '{term}' AS name, sum(y * e{k - 1}) / sum(e{k - 1} * e{k - 1}) AS coef,
+  sum(y * e{k - 1}) / sqrt(sum(e{k - 1} * e{k - 1})) / sqrt(({left}) / (count(*) - {k})) AS t_stat,
+  1 - ({left}) / (count(*) * var_pop(y)) AS r_squared FROM {last} GROUP BY strategy"""
+    return out
+
+
+_LIVE = {"live": _BT["live"], **_chain("live"),
+         "held3": """SELECT b.*, least(1.0 / count(*) OVER d, cap) AS raw, bps FROM book AS b JOIN strat USING (strategy)
+  WINDOW d AS (PARTITION BY b.strategy, b.date)""",
+         "w3": "SELECT *, raw / sum(raw) OVER (PARTITION BY strategy, date) AS weight FROM held3",
+         "turn3": """SELECT strategy, i, CASE WHEN i = 1 THEN 0.5 ELSE sum(d) / 2 END AS turnover FROM (
+  SELECT coalesce(a.strategy, b.strategy) AS strategy, coalesce(a.i, b.i + 1) AS i, abs(coalesce(a.weight, 0) - coalesce(b.weight, 0)) AS d
+  FROM w3 AS a FULL OUTER JOIN w3 AS b ON a.strategy = b.strategy AND a.i = b.i + 1 AND a.ticker = b.ticker)
+  WHERE i <= (SELECT max(i) FROM day) GROUP BY 1, 2""",
+         "bt3": """SELECT strategy, last_day(date + 1) AS date, gross - turnover * 2 * bps / 10000 AS net FROM (
+  SELECT strategy, i, date, bps, sum(weight * coalesce(forward_return, 0)) AS gross FROM w3 GROUP BY 1, 2, 3, 4) JOIN turn3 USING (strategy, i)""",
+         "eq3": "SELECT *, product(1 + net) OVER (PARTITION BY strategy ORDER BY date) AS equity FROM bt3",
+         "dd3": "SELECT *, equity / max(equity) OVER (PARTITION BY strategy ORDER BY date) - 1 AS drawdown FROM eq3",
+         **_regression("bt3")}
+
+
+@query("strategy_backtest", recursive(with_views(f"""SELECT 'model' AS model_version, strategy,
+    {rs(['ann_return', 'ann_vol', 'sharpe', 'sortino', 'max_drawdown', 'hit_rate'])}, n_months,
+    {r('coef', 'alpha_monthly')}, {r('t_stat', 'alpha_tstat')}, {r('r_squared', 'r_squared')} FROM (
+  SELECT strategy, pow(product(1 + net), 12.0 / count(*)) - 1 AS ann_return, stddev_samp(net) * sqrt(12) AS ann_vol,
+    avg(net) * 12 / (stddev_samp(net) * sqrt(12)) AS sharpe,
+    avg(net) * 12 / (stddev_samp(CASE WHEN net < 0 THEN net END) * sqrt(12)) AS sortino,
+    min(drawdown) AS max_drawdown, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, count(net) AS n_months
+  FROM dd3 GROUP BY strategy) JOIN fit_alpha USING (strategy)""", "preds", "ff_m", extra=_LIVE)))
 def strategy_backtest(spark, sf):
     res = backtest.run_strategy_backtest(v.preds(spark, sf), v.ff_m(spark, sf), _BASE, stored=True)
-    return res.strategy.join(res.attribution.select("model_version", "strategy", "alpha_monthly", "alpha_tstat", "r_squared"),
-                             ["model_version", "strategy"])
+    return rounded(res.strategy.join(
+        res.attribution.select("model_version", "strategy", "alpha_monthly", "alpha_tstat", "r_squared"), ["model_version", "strategy"]))
+
+
+_TOP_REG = {**_BT, "bt1": "SELECT 'top10' AS strategy, * FROM bt", **_regression("bt1")}
 
 
-@query("factor_attribution")
+@query("factor_attribution", with_views(
+    "\nUNION ALL ".join(f"SELECT strategy, name, {r('coef', 'coef')}, {r('t_stat', 't_stat')} FROM fit_{t}" for t in _TERMS),
+    "preds", "ff_m", extra=_TOP_REG))
 def attribution(spark, sf):
-    return coefficient_table(factor_attribution(_top_returns(spark, sf), v.ff_m(spark, sf)))
+    return rounded(coefficient_table(factor_attribution(_top_returns(spark, sf), v.ff_m(spark, sf))))
 
 
 # ------------------------------------------------------------------------------------- models

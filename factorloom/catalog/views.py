@@ -232,6 +232,10 @@ SQL_VIEWS: dict[str, str] = {
   WHERE n = 6""",
     "ff_m": """SELECT r.date, AVG(r.ret) - 0.001 AS mkt_rf,
   AVG(CASE WHEN s.gics_sector = 'S0' THEN r.ret END) - AVG(CASE WHEN s.gics_sector = 'S1' THEN r.ret END) AS smb,
+  AVG(CASE WHEN s.gics_sector = 'S2' THEN r.ret END) - AVG(CASE WHEN s.gics_sector = 'S3' THEN r.ret END) AS hml,
+  AVG(CASE WHEN r.ticker % 2 = 0 THEN r.ret END) - AVG(CASE WHEN r.ticker % 2 = 1 THEN r.ret END) AS rmw,
+  AVG(CASE WHEN r.ticker % 3 = 0 THEN r.ret END) - AVG(CASE WHEN r.ticker % 3 = 1 THEN r.ret END) AS cma,
+  AVG(CASE WHEN r.ticker % 5 = 0 THEN r.ret END) - AVG(CASE WHEN r.ticker % 5 = 1 THEN r.ret END) AS mom,
   CAST(0.001 AS DOUBLE) AS rf
   FROM rets_m AS r LEFT JOIN sectors AS s ON s.ticker = r.ticker WHERE r.ret IS NOT NULL GROUP BY r.date""",
     "filings_base": """SELECT ticker, y, q, m, v, SUM(v) OVER (PARTITION BY ticker, y, m ORDER BY q) AS ytd,
