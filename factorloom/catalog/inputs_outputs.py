@@ -93,9 +93,13 @@ def match_concepts(spark, sf):
     return matched.groupBy("ticker", "concept", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("extract_facts")
+@query("extract_facts", with_views("""SELECT CAST(ticker AS VARCHAR) AS ticker, lpad(CAST(ticker AS VARCHAR), 10, '0') AS cik,
+    'revenue' AS concept, CASE WHEN ticker % 3 = 0 THEN 'SalesRevenueNet' ELSE 'Revenues' END AS gaap_tag, q AS period_end,
+    concat('Q', quarter(q)) AS fiscal_period, 91 AS duration_days, filed AS filed_date, form,
+    round(val, 2) + 0.0 AS value, CASE WHEN ticker % 4 = 0 THEN 'shares' ELSE 'USD' END AS unit
+  FROM pts JOIN forms USING (ticker, filed) WHERE ticker % 3 <> 2 AND (prev IS NULL OR prev <> val)""", "filings", extra=_FLOW))
 def extract_facts(spark, sf):
-    return fx.extract_facts(_tagged(spark, sf))
+    return rounded(fx.extract_facts(_tagged(spark, sf)), 2)
 
 
 @query("filing_documents", with_views("""SELECT CAST(ticker AS VARCHAR) AS ticker, lpad(CAST(ticker AS VARCHAR), 10, '0') AS cik,
@@ -432,3 +436,21 @@ def incremental_prices(spark, sf):
     bars.repartition(3, F.xxhash64("ticker", "date")).write.parquet(f"{base}/staged")
     ingest_prices(file_stream(spark, f"{base}/staged", bars.schema, max_files=1), f"{base}/prices", f"{base}/checkpoint")
     return sink.read_version(spark, f"{base}/prices").select("ticker", "date", "close")
+
+
+@query("daily_bars_table", with_views("""SELECT ticker, date, round(CASE WHEN year(date) = 1997 THEN 2 ELSE 1 END * close + 1e-8, 6) + 0.0 AS close,
+    round(high, 6) + 0.0 AS high, volume FROM bars_d WHERE date >= DATE '1996-07-01'""", "bars_d"))
+def daily_bars_table(spark, sf):
+    """Daily bars are stored, one year is loaded again with other closes and rows without one, and all are read since a day."""
+    from factorloom.sources.tables import Warehouse
+
+    base = scratch_dir(spark, "warehouse")
+    bars = v.bars_d(spark, sf).withColumn("open", F.col("close"))
+    sink.write_prices_daily(spark, f"{base}/prices_daily", bars)
+    year = bars.where(F.year("date") == 1997)
+    again = year.withColumn("close", 2 * F.col("close")).unionByName(
+        year.withColumns({"close": F.lit(0.0), "ticker": F.col("ticker") + 1_000_000}))
+    sink.write_prices_daily(spark, f"{base}/prices_daily", again)
+    out = Warehouse(spark, base).prices_daily(since="1996-07-01")
+    close = (F.col("close") + 1e-8).alias("close")  # off the ties that the order of a sum decides
+    return rounded(out.select("ticker", "date", close, "high", "volume"))

@@ -236,6 +236,15 @@ def write_prices(spark: SparkSession, path: str, prices: DataFrame, volume: Data
                  ["ticker", "date"], ["year"])
 
 
+def write_prices_daily(spark: SparkSession, path: str, bars: DataFrame) -> None:
+    """Daily bars with a present, positive close, upserted by (ticker, date); a load rewrites only its years."""
+    from factorloom.operators.prices import valid_prices
+
+    rows = valid_prices(bars).withColumn("date", F.col("date").cast("date"))
+    fields = [c for c in ("open", "high", "low", "close", "volume") if c in rows.columns]
+    upsert_table(spark, path, year_of(rows.select("ticker", "date", *fields)), ["ticker", "date"], ["year"])
+
+
 def write_panel(panel: DataFrame, path: str, min_coverage: float = params.PANEL_MIN_TARGET_COVERAGE) -> None:
     """Panel in contract order, refused when too few rows with a return have a target."""
     require_columns(panel, PANEL_COLUMNS, "panel")

@@ -27,9 +27,14 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
+# With ten suppliers one month's outlier is nearly all the variance, and seven-term fits lose their digits.
+LARGER = {"factor_attribution", "strategy_backtest"}
+
+
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
-    ok, message = compare(entry.queries()[name](spark, str(SF)), con, entry.oracle_sql()[name])
+    sf = SF.parent / "sf0.01" if name in LARGER else SF
+    ok, message = compare(entry.queries()[name](spark, str(sf)), connect(str(sf)) if name in LARGER else con, entry.oracle_sql()[name])
     assert ok, message
 
 
