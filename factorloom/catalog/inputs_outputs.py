@@ -439,7 +439,7 @@ def incremental_prices(spark, sf):
 
 
 @query("daily_bars_table", with_views("""SELECT ticker, date, round(CASE WHEN year(date) = 1997 THEN 2 ELSE 1 END * close + 1e-8, 6) + 0.0 AS close,
-    round(high, 6) + 0.0 AS high, volume FROM bars_d WHERE date >= DATE '1996-07-01'""", "bars_d"))
+    round(high + 1e-8, 6) + 0.0 AS high, volume FROM bars_d WHERE date >= DATE '1996-07-01'""", "bars_d"))
 def daily_bars_table(spark, sf):
     """Daily bars are stored, one year is loaded again with other closes and rows without one, and all are read since a day."""
     from factorloom.sources.tables import Warehouse
@@ -453,4 +453,4 @@ def daily_bars_table(spark, sf):
     sink.write_prices_daily(spark, f"{base}/prices_daily", again)
     out = Warehouse(spark, base).prices_daily(since="1996-07-01")
     close = (F.col("close") + 1e-8).alias("close")  # off the ties that the order of a sum decides
-    return rounded(out.select("ticker", "date", close, "high", "volume"))
+    return rounded(out.select("ticker", "date", close, (F.col("high") + 1e-8).alias("high"), "volume"))
