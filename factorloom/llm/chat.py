@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factorloom.llm.text import ready_for_python
 from factorloom.llm.tokens import encoder
-from factorloom.session import settle, ship_package
+from factorloom.session import settle
 
 # The template's own marks, and control strings of common templates.
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
@@ -64,7 +65,7 @@ def format_turns(turns: DataFrame, tokenizer: str, learn: str = "assistant") ->
                 "ids": pa.array([np.concatenate([turn_id, h, body_id, b, end_id]).astype(np.int32) for h, b in zip(heads, bodies, strict=True)], pa.list_(pa.int32())),
                 "head": pa.array([len(h) + 2 for h in heads], pa.int64()), "body": pa.array([len(b) for b in bodies], pa.int64())})
 
-    ship_package(turns.sparkSession)
+    ready_for_python(turns.sparkSession)
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     plain = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), blank("role"), blank("text"))
     plain = plain.withColumn("tie", F.xxhash64("text"))
@@ -126,7 +127,7 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
         if at is not None:
             yield pa.RecordBatch.from_pylist([row()], schema=schema)
 
-    ship_package(formatted.sparkSession)
+    ready_for_python(formatted.sparkSession)
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()),
                         ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "place")

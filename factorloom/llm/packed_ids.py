@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factorloom.llm.text import body
+from factorloom.llm.text import body, ready_for_python
 from factorloom.llm.tokens import encoder
-from factorloom.session import scratch_dir, settle, ship_package
+from factorloom.session import scratch_dir, settle
 
 MAGIC = b"BITIDS01"
 #: Ids of a block. A multiple of 8, so every block ends on a byte whatever the width.
@@ -131,7 +131,7 @@ def write_ids(docs: DataFrame, tokenizer: str, text: str = "text", row_id: str =
     empty manifest.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    ready_for_python(spark)
     folder = folder or scratch_dir(spark, "ids")
     raw = body(f"`{text}`")
     plain = docs.select(F.col(f"`{row_id}`").cast("long").alias("id"), raw.alias("text"))
@@ -184,6 +184,6 @@ def read_documents(manifest: DataFrame, chunk_ids: int = 1 << 20) -> DataFrame:
                             "n_tokens": pa.array(np.diff(cuts), pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
                         low = high
 
-    ship_package(manifest.sparkSession)
+    ready_for_python(manifest.sparkSession)
     spread = manifest.repartition(3 * manifest.sparkSession.sparkContext.defaultParallelism)
     return spread.select("folder", "path", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factorloom.llm.components import connected_components
-from factorloom.llm.text import fresh, set_aside, without
-from factorloom.session import settle, ship_package
+from factorloom.llm.text import fresh, ready_for_python, set_aside, without
+from factorloom.session import settle
 
 #: Fingerprints that differ in this many bits at most are linked.
 MAX_BITS = 2
@@ -22,6 +22,8 @@ MAX_BITS = 2
 BLOCKS = 4
 #: An index root with more codes than this is linked by shared one-bit variants instead.
 ROOT_CODES = 1024
+#: Rows that one search of a partition's roots covers.
+SEARCH_ROWS = 1 << 15
 #: Children of an index node.
 FANOUT = 8
 #: Rows of one fingerprint meet their group's row in this many tasks.
@@ -55,7 +57,7 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """``docs`` with the fingerprint as a long column ``name``; null and empty texts have 0."""
     docs = without(docs, name)
-    ship_package(docs.sparkSession)
+    ready_for_python(docs.sparkSession)
 
     @F.arrow_udf("long")
     def computed(texts: pa.Array) -> pa.Array:
@@ -161,9 +163,19 @@ def _search_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         moved, signed = label != np.arange(len(code)), code.view(np.int64)
         return pa.record_batch({"u": signed[moved], "v": signed[label[moved]]})
 
+    def gathered() -> Iterator[pa.Table]:
+        """Batches put together, so that a search covers many roots."""
+        some: list[pa.RecordBatch] = []
+        for batch in batches:
+            some.append(batch)
+            if sum(b.num_rows for b in some) >= SEARCH_ROWS:
+                yield pa.Table.from_batches(some)
+                some = []
+        if some:
+            yield pa.Table.from_batches(some)
+
     held: pa.Table | None = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
+    for table in gathered():
         table = pa.concat_tables([held, table]) if held is not None else table
         root, head = table["root"].to_numpy(), table["head"].to_numpy()
         # the last root may go on in the next batch; it has ROOT_CODES codes at most
@@ -186,7 +198,7 @@ def link_codes(codes: DataFrame, root_codes: int = ROOT_CODES) -> DataFrame:
     codes two bits apart share a variant, and a key has no more codes than bits, so a root of
     any size costs a fixed number of rows per code and no task holds it whole.
     """
-    ship_package(codes.sparkSession)
+    ready_for_python(codes.sparkSession)
     masks = block_masks()
     roots = F.explode(F.array(*[F.struct(F.lit(i).alias("root"), F.col("fp").bitwiseAND(F.lit(m)).alias("head")) for i, m in enumerate(masks)]))
     routed = codes.select("fp", roots.alias("r")).select("r.root", "r.head", "fp")

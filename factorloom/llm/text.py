@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorloom.session import ship_package
+
+#: Rows of a batch that goes to a Python worker.
+BATCH_ROWS = 512
 #: Runs of these separate words; everything else belongs to a word.
 GAP = r"[\x20\x09-\x0D]+"
 
@@ -75,6 +79,17 @@ def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
     return moved, [F.col(f"`{n}`").alias(c) for c, n in zip(df.columns, own, strict=True)]
 
 
+def ready_for_python(spark: SparkSession) -> None:
+    """Before whole texts go to Python workers: the package's source is there, and batches are small.
+
+    A batch of BATCH_ROWS long texts is held several times over, in the JVM and in the worker.
+    """
+    ship_package(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+
+
 def small_table(spark, rows: list[dict], schema: str) -> DataFrame:
     """A driver-made table of bounded size, read by the JVM from one JSON literal."""
     import json

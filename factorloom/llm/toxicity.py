@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.text import body, set_aside, without
-from factorloom.session import settle, ship_package
+from factorloom.llm.text import body, ready_for_python, set_aside, without
+from factorloom.session import settle
 
 #: Labelled documents that lexicons, label model and classifier are fitted on, at most (the ones
 #: with the smallest hash of their id). Scoring covers every row.
@@ -35,7 +35,7 @@ LEAST_CORRELATION = 0.3
 #: Prefix lengths that make entry kinds beside the whole word (length 0).
 PREFIXES = (0, 4, 5, 6)
 #: Words whose entries a worker keeps at hand.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 WORD = re.compile(r"[^\W\d_]+")
 # Patterns that vote toxic, and patterns that vote clean.
@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "d
     classifier sees its posteriors only; its log odds are then scaled to the sample's labels. Without labelled toxic rows the model knows nothing
     and scores every text near 0.
     """
-    ship_package(docs.sparkSession)
+    ready_for_python(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col(row_id).isNotNull()).where(~held_out(row_id))
     known = known.groupBy(F.col(row_id).alias("id")).agg(F.max(label).cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED)

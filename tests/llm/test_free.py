@@ -191,7 +191,8 @@ def _gray(c):
     return c
 
 
-def test_batches_may_cut_runs():
+def test_batches_may_cut_runs(monkeypatch):
+    monkeypatch.setattr(simhash, "SEARCH_ROWS", 1)
     codes = np.array([1, 3, 7, 8, 9, 1 << 40, 5, 4], np.uint64).view(np.int64)
     table = {"root": pa.array([0, 0, 0, 1, 1, 1, 2, 2], pa.int32()), "head": pa.array([5, 5, 5, 5, 5, 6, 6, 6], pa.int64()), "fp": pa.array(codes)}
     whole = pa.record_batch(table)
