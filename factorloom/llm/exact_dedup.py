@@ -23,7 +23,8 @@ def mark_copies(docs: DataFrame, text: str = "text", row_id: str = "doc_id", pre
     (slots that two or more rows share) that later levels test while scanning, so the whole
     text is normalised and hashed only for rows that share length and prefix with another.
     A full filter costs hashing, never a result: groups are formed on (length, prefix hash,
-    full hash). Copies are counted before any shuffle.
+    full hash). Copies are counted before any shuffle, and rows that no filter lets through are
+    alone and never shuffled.
 
     Of equal texts the row with the largest id stays, one row even if that id is repeated.
     Null text counts as empty; a null id is smaller than any other, and a group with only null
@@ -40,27 +41,31 @@ def mark_copies(docs: DataFrame, text: str = "text", row_id: str = "doc_id", pre
     headed = headed.withColumn(head, F.when(F.col(near1), F.xxhash64(ascii_lower(F.substring(raw, 1, prefix_chars)))))
     by_head = slot_of(F.xxhash64(size, head), filter_words)
     hashed = test_filter(headed, by_head, bit_filter(headed.where(F.col(near1)).select(by_head.alias("slot")), 2), near2)
-    hashed = hashed.withColumn(full, F.when(F.col(near1) & F.col(near2), F.sha2(ascii_lower(raw), 256)))
+    near = F.col(near1) & F.col(near2)
+    ident = F.col(f"`{row_id}`")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    alone = hashed.where(~near).select(*own, ident.alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    hashed = hashed.where(near).withColumn(full, F.sha2(ascii_lower(raw), 256))
     hashed = hashed.withColumn(salt, F.pmod(F.xxhash64(F.col(f"`{row_id}`")), F.lit(salts)).cast("int"))
     hashed = hashed.drop(near1, near2)
 
     keys = [size, head, full]
     groups = (
-        hashed.where(F.col(full).isNotNull())
-        .groupBy(*keys)
+        hashed.groupBy(*keys)
         .agg(F.max(F.col(f"`{row_id}`")).alias("keep_id"), F.count("*").alias("group_size"))
         .where("group_size > 1")
         .withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     joined = hashed.join(groups, [*keys, salt], "left")
     place = F.row_number().over(Window.partitionBy(*keys, salt, f"`{row_id}`").orderBy(F.lit(1)))
-    alone = F.col("group_size").isNull()
-    return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.when(alone, F.col(f"`{row_id}`")).otherwise(F.col("keep_id")).alias("keep_id"),
+    single = F.col("group_size").isNull()
+    told = joined.select(
+        *own,
+        F.when(single, ident).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col(f"`{row_id}`").eqNullSafe(F.col("keep_id")) & (place == 1))).alias("kept"),
+        (single | (ident.eqNullSafe(F.col("keep_id")) & (place == 1))).alias("kept"),
     )
+    return alone.union(told)
 
 
 def drop_copies(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:

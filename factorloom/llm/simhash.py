@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factorloom.llm.components import connected_components
+from factorloom.llm.filters import bit_filter, slot_of, test_filter
 from factorloom.llm.text import fresh, ready_for_python, set_aside, without
 from factorloom.session import settle
 
@@ -227,7 +228,7 @@ def group_near_copies(printed: DataFrame, row_id: str = "doc_id", name: str = "f
     Columns named like the new ones are replaced; an empty table gives an empty one.
     """
     printed = without(printed, "component_id", "kept")
-    salt, first, found = fresh(printed, "salt_", "first_", "found_")
+    salt, first, found, may = fresh(printed, "salt_", "first_", "found_", "may_")
     ident = F.col(f"`{row_id}`")
     order = F.struct(ident.isNull().alias("none"), ident.alias("id"), F.col(name).alias("fp"))
     codes = printed.groupBy(F.col(name).alias("fp")).agg(F.min(order).alias("first"), F.count("*").alias("n"))
@@ -238,16 +239,24 @@ def group_near_copies(printed: DataFrame, row_id: str = "doc_id", name: str = "f
     groups = placed.join(groups, "least").select(F.col("fp").alias(name), first)
     groups = groups.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
-    salted = printed.withColumn(salt, F.pmod(F.xxhash64(ident), F.lit(salts)).cast("int"))
+    groups = settle(groups, "groups")
+
+    # a filter of fixed size tells rows that are surely alone, and those are never shuffled
+    own = [F.col(f"`{c}`") for c in printed.columns]
+    slot = slot_of(F.xxhash64(name))
+    tested = test_filter(printed, slot, bit_filter(groups.where(F.col(salt) == 0).select(slot.alias("slot"))), may)
+    alone = tested.where(~F.col(may)).select(*own, ident.alias("component_id"), F.lit(True).alias("kept"))
+    salted = tested.where(F.col(may)).withColumn(salt, F.pmod(F.xxhash64(ident), F.lit(salts)).cast("int"))
     joined = salted.join(groups.withColumn(found, F.lit(True)), [name, salt], "left")
     place = F.row_number().over(Window.partitionBy(name, salt, f"`{row_id}`").orderBy(F.lit(1)))
-    alone = F.col(found).isNull()
+    single = F.col(found).isNull()
     is_first = F.col(f"{first}.id").eqNullSafe(ident) & (F.col(f"{first}.fp") == F.col(name))
-    return joined.select(
-        *[F.col(f"`{c}`") for c in printed.columns],
-        F.when(alone, ident).otherwise(F.col(f"{first}.id")).alias("component_id"),
-        (alone | (is_first & (place == 1))).alias("kept"),
+    told = joined.select(
+        *own,
+        F.when(single, ident).otherwise(F.col(f"{first}.id")).alias("component_id"),
+        (single | (is_first & (place == 1))).alias("kept"),
     )
+    return alone.union(told)
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
