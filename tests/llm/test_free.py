@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from brute import components, fingerprint, sha
-from conftest import messy_rows
+from messy_rows import messy_rows
 from pyspark.sql import functions as F
 
 from factorloom.llm import chat, components as stars, packed_ids, packing, simhash, tokens, toxicity

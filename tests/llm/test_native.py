@@ -5,7 +5,7 @@ import random
 
 import pytest
 from brute import LOWER, luhn, personal_data, sha, statistics
-from conftest import CLASHES, messy_rows
+from messy_rows import CLASHES, messy_rows
 from pyspark.sql import functions as F
 
 from factorloom.llm import exact_dedup, mixing, pii, quality, sharding
