@@ -31,23 +31,25 @@ FANOUT = 8
 SALTS = 16
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """The 64-bit fingerprint of a text, as a signed number.
+def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """Hashes of all runs of ``width`` words; fewer words are one run, and no words have none.
 
     A-Z are lower-cased; ``bytes.split`` cuts at exactly the six ASCII white spaces.
     """
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return 0
     if len(found) < width:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(found), seed)], np.uint64)
-    else:
-        line, sizes = b" ".join(found), np.fromiter(map(len, found), np.int64, len(found))
-        ends = np.cumsum(sizes + 1) - 1
-        begins = (ends - sizes)[: len(found) - width + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        spans = zip(begins, ends[width - 1 :].tolist(), strict=True)
-        hashes = np.fromiter((digest(line[a:b], seed) for a, b in spans), np.uint64, len(begins))
+        return np.array([xxhash.xxh64_intdigest(b" ".join(found), seed)] if found else [], np.uint64)
+    line, sizes = b" ".join(found), np.fromiter(map(len, found), np.int64, len(found))
+    ends = np.cumsum(sizes + 1) - 1
+    begins = (ends - sizes)[: len(found) - width + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    spans = zip(begins, ends[width - 1 :].tolist(), strict=True)
+    return np.fromiter((digest(line[a:b], seed) for a, b in spans), np.uint64, len(begins))
+
+
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """The 64-bit fingerprint of a text, as a signed number."""
+    hashes = shingle_hashes(text, width, seed)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         block = hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -218,11 +220,12 @@ def link_codes(codes: DataFrame, root_codes: int = ROOT_CODES) -> DataFrame:
     return searched.union(stars)
 
 
-def group_near_copies(printed: DataFrame, row_id: str = "doc_id", name: str = "fingerprint", salts: int = SALTS) -> DataFrame:
+def group_near_copies(printed: DataFrame, row_id: str = "doc_id", name: str = "fingerprint", salts: int = SALTS,
+                      links: DataFrame | None = None) -> DataFrame:
     """Rows of ``printed`` (``with_fingerprints``, written or settled) with ``component_id`` and ``kept``.
 
-    ``component_id`` is the smallest id of all rows that links of MAX_BITS differing bits reach,
-    the row itself included. Copies share a fingerprint and are counted once. ``kept`` is true
+    ``component_id`` is the smallest id of all rows that links reach, the row itself included. ``links``
+    are edges (u, v) over the values of ``name``; without them, fingerprints are linked that differ in MAX_BITS bits. Copies share a fingerprint and are counted once. ``kept`` is true
     for one row of each component, one with that smallest id. A null id counts as larger than
     any other; a component with only null ids has a null ``component_id`` and keeps one row.
     Columns named like the new ones are replaced; an empty table gives an empty one.
@@ -233,7 +236,8 @@ def group_near_copies(printed: DataFrame, row_id: str = "doc_id", name: str = "f
     order = F.struct(ident.isNull().alias("none"), ident.alias("id"), F.col(name).alias("fp"))
     codes = printed.groupBy(F.col(name).alias("fp")).agg(F.min(order).alias("first"), F.count("*").alias("n"))
     codes = settle(codes, "codes")
-    parts = connected_components(link_codes(codes.select("fp"))).select(F.col("u").alias("fp"), F.col("v").alias("least"))
+    links = link_codes(codes.select("fp")) if links is None else links
+    parts = connected_components(links).select(F.col("u").alias("fp"), F.col("v").alias("least"))
     placed = codes.join(parts, "fp", "left").withColumn("least", F.coalesce("least", "fp"))
     groups = placed.groupBy("least").agg(F.min("first").alias(first), F.sum("n").alias("rows")).where("rows > 1")
     groups = placed.join(groups, "least").select(F.col("fp").alias(name), first)

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factorloom.llm.components import connected_components
+from factorloom.llm.near_copies import link_texts, with_sketches
 from factorloom.llm.text import body, ready_for_python, set_aside, without
 from factorloom.session import settle
 
@@ -26,8 +28,6 @@ MIN_TOXIC = 4
 MIN_ODDS = 2.0
 #: and its share of toxic texts is this many times its share of clean ones.
 MIN_RATIO = 50
-#: Sample texts that begin alike this far are near copies; one of them is counted.
-BEGINNING = 48
 #: Lexicon voters of each entry kind; the surest entries make the first, and so on.
 VOTERS_PER_KIND = 6
 #: Voters correlated less than this count as independent.
@@ -181,6 +181,18 @@ def held_out(row_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(f"`{row_id}`").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def count_once(rows: DataFrame) -> DataFrame:
+    """One text of each label for each component of near copies (``near_copies``) in ``rows`` (toxic, text).
+
+    Near copies of a toxic text would make all its words look toxic. Every other text counts,
+    however it begins.
+    """
+    sketched = settle(with_sketches(rows, "text", "sketch"), "sketches")
+    parts = connected_components(link_texts(sketched, "text", "sketch")).select(F.col("u").alias("fp"), F.col("v").alias("least"))
+    placed = sketched.select("toxic", "text", F.col("sketch.shingles").alias("fp")).join(parts, "fp", "left")
+    return settle(placed.groupBy(F.coalesce("least", "fp").alias("group"), "toxic").agg(F.min("text").alias("text")).select("toxic", "text"), "counted")
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id", label: str = "toxic") -> Model:
     """Learn from at most MAX_LABELLED labelled rows that aren't held out.
 
@@ -196,9 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "d
     plain = docs.select(F.col(f"`{row_id}`").alias("id"), body(f"`{text}`").alias("text"))
     rows = settle(plain.join(F.broadcast(sample), "id").select("toxic", "text"), "labelled")  # MAX_LABELLED rows at most
 
-    # near copies of a toxic text would make all its words look toxic
-    alike = rows.groupBy(F.lower(F.substring("text", 1, BEGINNING)).alias("start"))
-    distinct = alike.agg(F.max(F.struct("toxic", "text")).alias("r")).select("r.toxic", "r.text")
+    distinct = count_once(rows)
     totals = {r["toxic"]: r["count"] for r in distinct.groupBy("toxic").count().collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic:

@@ -284,6 +284,21 @@ def test_voters_that_copy_each_other_count_once():
     assert (odds > 2).all() and ((post > 0.5) == truth).mean() > 0.85  # abstaining is no evidence, so odds run high
 
 
+def test_texts_with_one_beginning_all_count(spark):
+    rng = random.Random(4)
+    opening = "Posted by a reader of the evening edition on the second page: "
+    words = lambda n: " ".join("".join(rng.choice("abdefghilmnorstu") for _ in range(6)) for _ in range(n))
+    toxic = [opening + words(40) + " zugrok" for _ in range(30)]
+    clean = [opening + words(40) for _ in range(200)]
+    copies = [toxic[0] + " " + words(1), toxic[0].upper(), clean[0] + " end", clean[0]]
+    rows = [(1, t) for t in toxic + copies[:2]] + [(0, t) for t in clean + copies[2:]]
+    told = toxicity.count_once(spark.createDataFrame(rows, "toxic int, text string")).groupBy("toxic").count().collect()
+    assert dict(told) == {1: 30, 0: 200}
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, m) for i, (m, _) in enumerate(rows)], "doc_id long, toxic int")
+    assert "0zugrok" in toxicity.fit(docs, marks).entries
+
+
 def test_toxicity_of_messy_rows(messy, nothing, labels):
     rows = toxicity.score_toxicity(messy, labels).collect()
     assert len(rows) == len(messy_rows()) and all(0 <= r.score <= 1 for r in rows)
