@@ -14,7 +14,7 @@ from brute import components, fingerprint, sha
 from messy_rows import messy_rows
 from pyspark.sql import functions as F
 
-from factorloom.llm import chat, components as stars, packed_ids, packing, simhash, tokens, toxicity
+from factorloom.llm import chat, components as stars, near_copies, packed_ids, packing, simhash, tokens, toxicity
 from factorloom.session import settle
 
 tokenizers = pytest.importorskip("public_tokenizers")
@@ -241,6 +241,33 @@ def test_near_copies(messy, nothing):
     assert simhash.drop_near_copies(nothing).count() == 0
 
 
+def test_edited_copies_are_dropped(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    words = lambda n: ["".join(rng.choice("abdefghilmnorstu") for _ in range(5)) for _ in range(n)]
+    texts = []
+    for i in range(40):
+        text = words(200)
+        texts.append(text)
+        if i % 2:  # three words far apart changed: 15 of 196 shingles, similarity 181 / 211
+            texts.append([w + "x" * (k in (20, 90, 160)) for k, w in enumerate(text)])
+        else:  # five of them: 25 of 196, similarity 171 / 221, no copy
+            texts.append([w + "x" * (k in (20, 55, 90, 125, 160)) for k, w in enumerate(text)])
+    base = words(60)  # a large group, more than a block: each text resembles the base only
+    texts += [base] + [[*base[:k], w, *base[k:]] for k in range(8, 52) for w in words(10)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(label)) and len(set(label)) == 61
+
+
 def toxic_corpus(spark, n=1500):
     rng = random.Random(8)
     vocabulary = ["".join(rng.choice("abdefghilmnorstu") for _ in range(rng.randint(3, 8))) for _ in range(800)]
