@@ -31,13 +31,33 @@ class Kind:
     needs: str = ""   # a plain string without which the pattern can't match
 
 
+#: Length of an IBAN by its country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def iban_pattern() -> str:
+    """Groups of four and a last one, as many as the country has; other letters take any number."""
+    def groups(n: int) -> str:
+        return rf"(?:[\x20]?[A-Z0-9]{{4}}){{{n // 4}}}" + (rf"[\x20]?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+
+    known = [rf"(?:{c.replace(' ', '|')})[0-9]{{2}}{groups(n - 4)}" for n, c in IBAN_LENGTHS.items()]
+    every = "|".join(c.replace(" ", "|") for c in IBAN_LENGTHS.values())
+    other = rf"(?!{every})[A-Z]{{2}}[0-9]{{2}}(?:[\x20]?[A-Z0-9]{{4}}){{2,7}}(?:[\x20]?[A-Z0-9]{{1,3}})?"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join([*known, other])})(?![A-Za-z0-9])"
+
+
 # Patterns of the kinds, their scores without context, and their context words.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 1.0, needs="@"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 1.0, needs="."),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", 1.0),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 1.0, needs="+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", 0.8,
+    Kind("iban", iban_pattern(), 0.8,
          "iban|bank|account|konto|compte|cuenta"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.5, "ssn|social security|tax id", "order|invoice|ref|part|version"),
 )

@@ -97,6 +97,13 @@ def test_further_kinds_need_checksum_or_context(spark):
     assert ["ssn" in k for k in kinds[2:]] == [True, False, False]
 
 
+def test_words_behind_an_iban_are_not_taken(spark):
+    ibans = ["ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"]
+    rows = [(i, x + end) for i, x in enumerate(ibans) for end in (" BIC: X", " BIC", " A1", " ABCD", ", then", "")]
+    out = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [[s["end"] for s in r.spans if s["kind"] == "iban"] for r in out] == [[len(ibans[r.doc_id])] for r in out]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("é😀 mail a@b.co or +49 151 2345678!",), (None,), ("none",)], "text string")
     got = [r.text for r in pii.redact(pii.find_personal_data(df)).collect()]
