@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import chat, exact_dedup, mixing, packed_ids, packing, pii, quality, sharding, simhash, toxicity
-from factorloom.llm.text import ascii_lower, body
+from factorloom.llm import (chat, decontaminate, exact_dedup, merkle, mixing, oracles, packed_ids, packing, pii, quality, repair, sharding,
+                            simhash, toxicity)
+from factorloom.llm.places import key_of
+from factorloom.llm.text import ascii_lower, body, fresh
 from factorloom.session import settle
 
 
@@ -103,9 +105,51 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fields = table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
+    (changed,) = fresh(docs, "changed")
+    tampered = merkle.leaf_of([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields])
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    listed = merkle.manifest(docs.withColumn(changed, F.when(chosen, tampered)), fields, "lang", "doc_id", keep=[changed])
+    siblings = F.array_join(F.transform("proof", lambda s: F.concat(s["left"], s["right"])), "")
+    out = listed.withColumn("folded_root", merkle.fold(F.coalesce(changed, "leaf"), F.col("proof")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"),
+                      "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with some rows dropped, emptied, cut, doubled or given to the user, by a checksum of their place."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    turns = turns.select("conv_id", "turn", shown("role").alias("role"), shown("text").alias("text"),
+                         (F.crc32(F.concat_ws(":", shown("conv_id"), shown("turn")).cast("binary")) % 20).alias("fate"))
+    fate = F.col("fate")
+    text = F.when(fate == 1, "").when(fate == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(fate == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.array_repeat(F.lit(0), F.when(fate == 3, 2).otherwise(1)))
+    return turns.where(fate != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("time")).drop("time")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    mended = repair.repair_conversations(damaged(turns))
+    sums = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    every = turns.select("conv_id", key_of("conv_id").alias("key")).distinct()
+    out = every.join(mended.reports.drop("conv_id"), "key", "left").join(repair.digests(mended), "key", "left")
+    return out.select("conv_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in sums],
+                      F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_sharding, op2_quality, op3_chat, op4_personal_data, op5_packed_ids, op6_mixing, op7_exact_dedup, op8_packing,
-           op9_simhash, op10_toxicity)
+           op9_simhash, op10_toxicity, op11_decontamination, op12_merkle, op13_repair)
     return {f.__name__: f for f in own}
 
 
@@ -117,4 +161,7 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
             FROM (SELECT doc_id, translate(coalesce(text, ''), '{upper}', '{lower}') AS t FROM documents)
             WINDOW w AS (PARTITION BY t)""",
+        "op11_decontamination": oracles.DECONTAMINATION,
+        "op12_merkle": oracles.MERKLE,
+        "op13_repair": oracles.REPAIR,
     }
