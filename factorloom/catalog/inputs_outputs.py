@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factorloom.catalog import views as v
-from factorloom.catalog.base import query, r, rounded, rs
+from factorloom.catalog.base import ORACLES, query, r, rounded, rs
 from factorloom.catalog.market import fund_table, panel_table
 from factorloom.catalog.sqlparts import FUND_CTES, PANEL_CTES, PANEL_VIEWS
 from factorloom.catalog.views import with_views
@@ -18,7 +18,7 @@ from factorloom.operators import facts as fx
 from factorloom.operators import quality
 from factorloom.sinks import tables as sink
 from factorloom.sources import files, tables
-from factorloom.session import scratch_dir
+from factorloom.session import scratch_dir, settle
 
 # ----------------------------------------------------------------------------------- filings
 
@@ -71,6 +71,41 @@ def flow_changepoints(spark, sf):
     return rounded(fx.flow_changepoints(v.filings(spark, sf)), 2)
 
 
+@query("flow_changepoints_stream", ORACLES["flow_changepoints"])
+def flow_changepoints_stream(spark, sf):
+    """Filings land in files that each mix all days; two starts of a stateful stream keep the table of change points."""
+    from factorloom.streaming.filings import ingest_flow_changepoints, rocksdb_state
+    from factorloom.streaming.incremental import file_stream
+
+    base = scratch_dir(spark, "filings")
+    records = settle(v.filings(spark, sf).withColumn("part", F.pmod(F.xxhash64("ticker", "start", "end", "filed"), F.lit(6))), "records")
+    with rocksdb_state(spark):
+        for parts in ("part < 4", "part >= 4"):
+            records.where(parts).drop("part").repartition(2, F.xxhash64("end", "ticker")).write.mode("append").parquet(f"{base}/landed")
+            stream = file_stream(spark, f"{base}/landed", records.drop("part").schema, max_files=2)
+            ingest_flow_changepoints(stream, f"{base}/points", f"{base}/checkpoint")
+    return rounded(sink.read_table(spark, f"{base}/points").drop("year"), 2)
+
+
+@query("guarded_facts", """SELECT replace(upper(c_name), '#', '-') AS ticker, CASE WHEN c_custkey % 3 = 0 THEN 2 * c_acctbal ELSE c_acctbal END AS value FROM customer""")
+def guarded_facts(spark, sf):
+    """Two good batches of facts are written, and a bad one in between is refused whole."""
+    path = f"{scratch_dir(spark, 'facts')}/facts"
+    c, end = v.table(spark, sf, "customer"), F.lit("2000-06-30").cast("date")
+    rows = c.select(
+        F.upper(F.regexp_replace("c_name", "#", "-")).alias("ticker"), scalars.pad_cik(F.col("c_custkey")).alias("cik"), F.lit("revenue").alias("concept"),
+        F.lit("Revenues").alias("gaap_tag"), end.alias("period_end"), F.lit("Q2").alias("fiscal_period"), F.lit(91).alias("duration_days"),
+        end.alias("filed_date"), F.lit("10-Q").alias("form"), F.col("c_acctbal").alias("value"), F.lit("USD").alias("unit"))
+    sink.write_facts(spark, path, rows)
+    again = rows.where(F.col("cik").cast("long") % 3 == 0).withColumn("value", 2 * F.col("value"))
+    try:
+        sink.write_facts(spark, path, rows.withColumns({"value": F.lit(0.0), "cik": F.when(F.col("cik").cast("long") % 7 > 0, F.col("cik")).otherwise("7")}))
+        raise AssertionError("a bad batch was written")
+    except ValueError:
+        sink.write_facts(spark, path, again)
+    return sink.read_table(spark, path).select("ticker", "value")
+
+
 def _tagged(spark, sf):
     """Filing records under competing tags: two tags, two units, two namespaces."""
     rec = v.filings(spark, sf).drop("concept")
@@ -423,7 +458,7 @@ def incremental_upsert(spark, sf):
     events.repartition(6, "event_id").write.parquet(f"{base}/landed")
     stream = file_stream(spark, f"{base}/landed", events.schema, max_files=3)
     upsert_stream(stream, f"{base}/table", ["user_id", "event_type"], f"{base}/checkpoint", prefer=["ts", "event_id"])
-    return sink.read_version(spark, f"{base}/table")
+    return sink.read_table(spark, f"{base}/table")
 
 
 @query("incremental_prices", with_views("SELECT ticker, date, close FROM close_m", "close_m"))
@@ -435,7 +470,7 @@ def incremental_prices(spark, sf):
     bars = v.bars_d(spark, sf).select("ticker", "date", "close")
     bars.repartition(3, F.xxhash64("ticker", "date")).write.parquet(f"{base}/staged")
     ingest_prices(file_stream(spark, f"{base}/staged", bars.schema, max_files=1), f"{base}/prices", f"{base}/checkpoint")
-    return sink.read_version(spark, f"{base}/prices").select("ticker", "date", "close")
+    return sink.read_table(spark, f"{base}/prices").select("ticker", "date", "close")
 
 
 @query("daily_bars_table", with_views("""SELECT ticker, date, round(CASE WHEN year(date) = 1997 THEN 2 ELSE 1 END * close + 1e-8, 6) + 0.0 AS close,

@@ -275,6 +275,45 @@ def asof_version(spark, sf):
     return asof.as_known_on(known, ["ticker", "concept", "period_end"], "1998-08-15")
 
 
+_KNOWN = """SELECT ticker, greatest(period_end, filed_date) AS t, max(row(period_end, filed_date, value)) OVER (
+    PARTITION BY ticker ORDER BY greatest(period_end, filed_date)) AS best FROM facts WHERE concept = 'revenue' AND value IS NOT NULL"""
+_KNOWN_SQL = with_views("""SELECT l_orderkey, l_linenumber, l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS known_on,
+    best[1] AS period_end, best[2] AS filed_date, round(best[3], 2) + 0.0 AS value
+  FROM lineitem ASOF LEFT JOIN (SELECT DISTINCT * FROM known) AS k ON l_suppkey = k.ticker AND CAST(l_shipdate AS DATE) >= k.t""",
+                        "facts", extra={"known": _KNOWN})
+
+
+def _known_per_row(spark, sf, bucket=None):
+    """The newest revenue that was public on each line item's own day."""
+    lines = v.table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("ticker"), "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("known_on"))
+    revenue = v.facts(spark, sf).where("concept = 'revenue' AND value IS NOT NULL").drop("concept")
+    return rounded(asof.asof_known(lines, revenue, ["ticker"], "known_on", bucket=bucket), 2)
+
+
+@query("asof_known", _KNOWN_SQL)
+def asof_known(spark, sf):
+    return _known_per_row(spark, sf)
+
+
+@query("asof_known_bucketed", _KNOWN_SQL)
+def asof_known_bucketed(spark, sf):
+    return _known_per_row(spark, sf, "year")
+
+
+@query("asof_restated", with_views("""SELECT f.ticker, f.period_end, f.known_on, r.filed_date, round(r.value, 5) + 0.0 AS value
+  FROM (SELECT ticker, period_end, CAST(period_end + CAST(ticker % 300 AS INTEGER) AS DATE) AS known_on
+        FROM (SELECT DISTINCT ticker, period_end FROM facts)) AS f
+  ASOF LEFT JOIN (SELECT * FROM facts WHERE concept = 'net_income') AS r
+  ON f.ticker = r.ticker AND f.period_end = r.period_end AND f.known_on >= r.filed_date""", "facts"))
+def asof_restated(spark, sf):
+    """One quarter's figure as it stood on a day that differs from row to row."""
+    facts = v.facts(spark, sf)
+    asked = facts.select("ticker", "period_end").distinct().withColumn("known_on", F.expr("date_add(period_end, cast(ticker % 300 as int))"))
+    income = facts.where("concept = 'net_income'").drop("concept")
+    return rounded(asof.asof_join(asked, income, ["ticker", "period_end"], "known_on", "filed_date"), 5)
+
+
 _RATIOS = ["roe", "gross_margin", "profit_margin", "accruals", "revenue_growth_yoy", "asset_growth_yoy"]
 _LEVELS = [c for c in FUNDAMENTAL_COLUMNS if c not in _RATIOS + ["ticker", "period_end", "availability_date", "gics_sector"]]
 
@@ -470,6 +509,20 @@ def range_map_sector(spark, sf):
     return universe.map_sectors(v.table(spark, sf, "part").select("p_partkey", "p_size"), "p_size", _TOY_RANGES)
 
 
+@query("range_join", """WITH ranges AS (SELECT o_custkey AS lo, o_custkey + o_orderkey % 97 - 3 AS hi, o_orderkey AS rank, o_orderpriority AS label FROM orders),
+  matched AS (SELECT k, min(rank) AS rank FROM (SELECT DISTINCT l_partkey AS k FROM lineitem) JOIN ranges ON k BETWEEN lo AND hi GROUP BY k)
+  SELECT l_orderkey, l_linenumber, l_partkey, label FROM lineitem LEFT JOIN matched ON k = l_partkey LEFT JOIN ranges USING (rank)""")
+def range_join(spark, sf):
+    """Line items by the first of many overlapping ranges, one range an order."""
+    from factorloom.operators.ranges import first_match
+
+    o = v.table(spark, sf, "orders")
+    ranges = o.select(F.col("o_custkey").alias("lo"), (F.col("o_custkey") + F.col("o_orderkey") % 97 - 3).alias("hi"),
+                      F.col("o_orderkey").alias("rank"), F.col("o_orderpriority").alias("label"))
+    rows = v.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return first_match(rows, "l_partkey", ranges)
+
+
 def _sic_values():
     return ", ".join(f"({i}, {lo}, {hi}, '{s}')" for i, (lo, hi, s) in enumerate(universe.SIC_RANGES))
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorloom.session import settle
+
 _FIRST = Window.unboundedPreceding
 
 
@@ -57,3 +59,60 @@ def as_known_on(facts: DataFrame, keys: Sequence[str], known_on, version: str =
     day = F.lit(known_on).cast("date") if isinstance(known_on, str) else known_on
     return (facts.where(F.col(version) <= day).groupBy(*keys)
             .agg(F.max_by(value, version).alias(value), F.max(version).alias(version)))
+
+
+def asof_known(left: DataFrame, right: DataFrame, by: Sequence[str], known_on: str, period: str = "period_end",
+               version: str = "filed_date", *, bucket: str | None = None) -> DataFrame:
+    """Each left row with what its own day ``known_on`` knew: the newest period, in its newest version.
+
+    A right row counts from the day on which both its period is over and its version is
+    public, so the two bounds are one order, and the answer is a running maximum of (period,
+    version) in that order: a union, one shuffle and linear work, no pairs. Rows of one period and
+    version that differ resolve to the largest. Right columns named like left ones must be renamed first.
+
+    ``bucket`` (a ``date_trunc`` unit) is for keys that may be hot, as in :func:`asof_join`: a task holds
+    one key's rows of one time bucket, and the maximum of earlier buckets is carried in.
+    """
+    by = list(by)
+    payload = [c for c in right.columns if c not in (*by, period, version)]
+    facts = right.where(F.col(period).isNotNull() & F.col(version).isNotNull()).select(
+        *by, F.greatest(period, version).alias("_t"), F.struct(period, version, *payload).alias("_right"))
+    r = facts.groupBy(*by, "_t").agg(F.max("_right").alias("_right")).withColumn("_side", F.lit(0))
+    row = [c for c in left.columns if c not in by]
+    l = left.select(*by, F.col(known_on).alias("_t"), F.lit(1).alias("_side"), F.struct(*row).alias("_left"))
+    both = l.unionByName(r, allowMissingColumns=True)
+    if bucket is None:
+        w = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(_FIRST, 0)
+        out = both.withColumn("_hit", F.max("_right").over(w)).where("_side = 1")
+    else:
+        both = both.withColumn("_bucket", F.date_trunc(bucket, F.col("_t")))
+        w = Window.partitionBy(*by, "_bucket").orderBy("_t", "_side").rowsBetween(_FIRST, 0)
+        local = both.withColumn("_here", F.max("_right").over(w)).where("_side = 1")
+        # one row per key and bucket, so this window is as long as the bucket calendar
+        earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(_FIRST, -1)
+        ends = both.groupBy(*by, "_bucket").agg(F.max("_right").alias("_end"))
+        carry = ends.select(*by, "_bucket", F.max("_end").over(earlier).alias("_carry"))
+        out = local.join(carry, [*by, "_bucket"], "left").withColumn("_hit", F.greatest("_here", "_carry"))
+    return out.select(*by, *(F.col(f"_left.{c}").alias(c) for c in row),
+                      *(F.col(f"_hit.{c}").alias(c) for c in (period, version, *payload)))
+
+
+def asof_without_key(left: DataFrame, right: DataFrame, left_on: str, right_on: str) -> DataFrame:
+    """Each left row with the right row of the largest ``right_on <= left_on``, over all rows at once.
+
+    ``right_on`` values are unique and not null; columns don't clash. Both sides are cut into ranges of the
+    value on sampled boundaries, a row number splitting ranges of one value, and written with
+    their range; the last right row of earlier ranges is carried in from one summary row a range.
+    """
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = right.select(F.col(right_on).alias("_t"), F.lit(0).alias("_side"), F.struct(*right.columns).alias("_right"))
+    l = left.select(F.col(left_on).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"))
+    both = l.unionByName(r, allowMissingColumns=True).withColumn("_row", F.monotonically_increasing_id())
+    cut = settle(both.repartitionByRange(n, "_t", "_side", "_row").withColumn("_part", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy("_part").orderBy("_t", "_side").rowsBetween(_FIRST, 0)
+    ends = cut.groupBy("_part").agg(F.max_by("_right", F.when(F.col("_side") == 0, F.col("_t"))).alias("_end"))
+    earlier = Window.orderBy("_part").rowsBetween(_FIRST, -1)  # one row a range
+    carry = F.broadcast(ends.select("_part", F.last("_end", ignorenulls=True).over(earlier).alias("_carry")))
+    local = cut.withColumn("_here", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
+    hit = F.when(F.col("_t").isNotNull(), F.coalesce("_here", "_carry"))
+    return local.join(carry, "_part", "left").withColumn("_hit", hit).select("_left.*", "_hit.*")

@@ -223,23 +223,34 @@ def violation_counts(facts: DataFrame) -> DataFrame:
     return sums.select(cells.alias("c")).select("c.*")
 
 
-def validate_facts(facts: DataFrame) -> DataFrame:
-    """Exact columns, coercible types and every rule; raises with all violations at once."""
+def fact_measures(facts: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """The facts with exact columns and types, flags of values that have the wrong type, and the counts of all violations."""
     want = [f.name for f in FACTS.fields]
     problems = [f"missing column {c}" for c in want if c not in facts.columns]
     problems += [f"unexpected column {c}" for c in facts.columns if c not in want]
     if problems:
         raise ValueError("facts: " + "; ".join(problems))
-    coerced = facts.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in FACTS.fields))
-    lost = facts.select(*(
-        (F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name) for f in FACTS.fields))
-    bad = lost.agg(*(F.count_if(F.col(c)).alias(c) for c in want)).first().asDict()
-    problems = [f"{n} values of {c} have the wrong type" for c, n in bad.items() if n]
-    counts = violation_counts(coerced).where("violations > 0").collect()
-    problems += [f"{r['rule']}: {r['violations']} rows" for r in counts]
+    cast = {f.name: F.col(f.name).try_cast(f.dataType) for f in FACTS.fields}
+    marked = facts.select(*(e.alias(c) for c, e in cast.items()),
+                          *((F.col(c).isNotNull() & e.isNull()).alias(f"_lost_{c}") for c, e in cast.items()))
+    counts = {f"type_{c}": F.count_if(F.col(f"_lost_{c}")) for c in want}
+    return marked, counts | {f"rule_{n}": F.count_if(rule()) for n, rule in FACT_RULES.items()}
+
+
+def fact_problems(got: dict) -> list[str]:
+    """What the counts of :func:`fact_measures` say, all violations in one message."""
+    found = [f"{got[f'type_{f.name}']} values of {f.name} have the wrong type" for f in FACTS.fields if got[f"type_{f.name}"]]
+    found += [f"{n}: {got[f'rule_{n}']} rows" for n in FACT_RULES if got[f"rule_{n}"]]
+    return ["facts: " + "; ".join(found)] if found else []
+
+
+def validate_facts(facts: DataFrame) -> DataFrame:
+    """Exact columns, coercible types and every rule, in one pass; raises with all violations at once."""
+    marked, counts = fact_measures(facts)
+    problems = fact_problems(marked.agg(*(e.alias(n) for n, e in counts.items())).first().asDict())
     if problems:
-        raise ValueError("facts: " + "; ".join(problems))
-    return coerced
+        raise ValueError(problems[0])
+    return marked.select(*(f.name for f in FACTS.fields))
 
 
 def schema_matches(df: DataFrame, schema: T.StructType) -> bool:

@@ -45,15 +45,15 @@ def build_dataset(spark: SparkSession, root: str, *, listing: DataFrame, bars: D
         sink.write_universe(spark, wh.path("universe"), remap_sectors(sectors))
     stored = wh.table("prices").select("ticker", "date", "close") if incremental and wh.exists("prices") else None
     closes, keep = update_prices(stored, bars, wh.table("universe"), full_bars=full_bars)
-    sink.write_version(sink.year_of(closes.where("close > 0")), wh.path("prices"), ["year"], ["ticker", "date"])
+    sink.write_table(sink.year_of(closes.where("close > 0")), wh.path("prices"), ["year"], ["ticker", "date"])
     universe = wh.table("universe")
     if "is_active" in universe.columns:
-        sink.write_version(set_active(universe, keep), wh.path("universe"))
+        sink.write_table(set_active(universe, keep), wh.path("universe"))
     else:
         from pyspark.sql import functions as F
 
         flagged = universe.withColumn("is_active", F.lit(False))
-        sink.write_version(set_active(flagged, keep), wh.path("universe"))
+        sink.write_table(set_active(flagged, keep), wh.path("universe"))
     if filings is not None:
         facts = extract_facts(filings)
         if incremental and wh.exists("fundamental_facts"):

@@ -34,7 +34,8 @@ def daily_returns(bars: DataFrame, bounds=DailyPanelParams.return_bounds,
 def technical_features(bars: DataFrame) -> DataFrame:
     """Daily technical features on rows (ticker, pos, close, high, low, volume, ret).
 
-    All frames range over positions of one window, so one sort serves every feature.
+    All frames range over positions of one window, so one sort serves every feature but the
+    year's high. No frame over 32 steps is re-read: they are running totals and running maxima.
     """
     p = Positional()
     c = F.col
@@ -44,7 +45,9 @@ def technical_features(bars: DataFrame) -> DataFrame:
         "_illiq": F.abs("ret") / dollars,
         "_span": F.try_divide(c("high") - c("low"), c("close")),
     })
-    return rows.withColumns({
+    long = ("_lr", "ret", "volume")
+    rows = p.centred(p.with_long_max(rows, "close", TRADING_YEAR, "_high", 126), *long)
+    return p.uncentred(rows.withColumns({
         "rev_1d": c("ret"),
         "rev_5d": p.compound("_lr", -4, 0),
         "rev_21d": p.compound("_lr", -20, 0),
@@ -54,8 +57,8 @@ def technical_features(bars: DataFrame) -> DataFrame:
         "volume_surge": F.try_divide(p.rolling_mean("volume", 20), p.rolling_mean("volume", 60)),
         "amihud_21d": p.rolling_mean("_illiq", 21, 15) * 1e6,
         "range_21d": p.rolling_mean("_span", 21, 15),
-        "dist_52w_high": F.try_divide(c("close"), p.rolling_max("close", TRADING_YEAR, 126)),
-    }).drop("_lr", "_illiq", "_span")
+        "dist_52w_high": F.try_divide(c("close"), c("_high")),
+    }), *long).drop("_lr", "_illiq", "_span", "_high")
 
 
 def forward_labels(rows: DataFrame, horizons: Sequence[int]) -> DataFrame:

@@ -1,119 +1,83 @@
-"""Writers: versioned tables, keyed upserts, slice replacement and write guards.
+"""Writers: stored tables, keyed upserts, slice replacement and guards that measure what is being written.
 
-A table is a folder of immutable pieces ``v=<n>[/<partition>]`` with a pointer file that lists
-the pieces of the current state. A writer fills new pieces first and moves the pointer last, so
-readers see either the old table or the new one, and a failed job leaves nothing visible
-behind. A partition that a write does not touch is carried over by name, not copied.
+A table is a folder of Parquet files, partitioned or not. What is to be written is computed once into
+the shared scratch folder, measured in that same job, and then replaces the partitions it has rows
+of (or the whole table): a job that fails, or rows that a guard refuses, leave the table as it was.
 """
 
 from __future__ import annotations
 
-import time
-import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom import params
-from factorloom.schema import CASH_TICKER, FACTOR_NAMES, FUNDAMENTAL_COLUMNS, PANEL_COLUMNS, require_columns
+from factorloom.schema import CASH_TICKER, FACTOR_NAMES, FACTS, FUNDAMENTAL_COLUMNS, PANEL_COLUMNS, require_columns
+from factorloom.session import settle
 
-_POINTER = "CURRENT"
 
+@dataclass
+class Guard:
+    """Aggregates over the rows of a write, and what is wrong with their values (nothing: an empty list)."""
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
+    measures: dict[str, Column]
+    problems: Callable[[dict], list[str]]
 
+    def judge(self, got: dict) -> None:
+        """Raise for what is wrong; counts over no rows are missing and read as 0."""
+        found = self.problems({name: got.get(name) or 0 for name in self.measures})
+        if found:
+            raise ValueError("; ".join(found))
 
-def current_pieces(spark: SparkSession, path: str) -> list[str]:
-    """Folders of the table's current state, relative to ``path``; empty if there is no table."""
-    fs, jvm = _fs(spark, path)
-    if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{_POINTER}")):
-        return []
-    return sorted(r[0].strip() for r in spark.read.text(f"{path}/{_POINTER}").collect() if r[0].strip())
 
+def staged(df: DataFrame, guard: Guard | None = None) -> DataFrame:
+    """``df`` in the shared scratch folder. The guard's aggregates are observed while it is written, so it is computed once."""
+    if guard is None:
+        return settle(df, "staged")
+    seen = Observation()
+    out = settle(df.observe(seen, *(e.alias(name) for name, e in guard.measures.items())), "staged")
+    guard.judge(seen.get)
+    return out
 
-def read_version(spark: SparkSession, path: str) -> DataFrame:
-    pieces = current_pieces(spark, path)
-    if not pieces:
-        raise FileNotFoundError(f"no table at {path}")
-    return _read_pieces(spark, path, pieces)
-
-
-def _read_pieces(spark: SparkSession, path: str, pieces: Sequence[str]) -> DataFrame:
-    df = spark.read.option("basePath", path).option("mergeSchema", len({x.split("/")[0] for x in pieces}) > 1)
-    return df.parquet(*(f"{path}/{x}" for x in pieces)).drop("v")
 
+def find_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored table, None if there is none yet or it never had a row."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
-def _publish(spark: SparkSession, path: str, pieces: Sequence[str]) -> None:
-    fs, jvm = _fs(spark, path)
-    hpath = jvm.org.apache.hadoop.fs.Path
-    tmp, pointer = hpath(f"{path}/CURRENT-{uuid.uuid4().hex}"), hpath(f"{path}/{_POINTER}")
-    out = fs.create(tmp, True)
-    out.write(bytearray("\n".join(pieces).encode()))
-    out.close()
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-        tmp.toUri() if tmp.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(fs.makeQualified(tmp), fs.makeQualified(pointer), options)
 
-
-def _partitions(spark: SparkSession, path: str, version: str, depth: int) -> list[str]:
-    """The partition folders that a write of ``version`` made, relative to ``path``."""
-    fs, jvm = _fs(spark, path)
-    found = [version]
-    for _ in range(depth):
-        found = [f"{x}/{s.getPath().getName()}" for x in found
-                 for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/{x}"))
-                 if s.isDirectory() and "=" in s.getPath().getName()]
-    return found
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    df = find_table(spark, path)
+    if df is None:
+        raise FileNotFoundError(f"no table at {path}")
+    return df
 
 
-def write_version(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = (),
-                  carry: Sequence[str] = ()) -> str:
-    """Write ``df`` as the table's new state, together with the pieces in ``carry``.
+def _publish(rows: DataFrame, path: str, partition_by: Sequence[str], sort_by: Sequence[str], mode: str) -> None:
+    """Replace the partitions that ``rows`` has (mode dynamic) or the table (static).
 
     Rows are rebalanced on the partition columns: the adaptive plan splits a partition that
     holds most rows over many tasks and merges small ones.
     """
-    version = f"v={uuid.uuid4().hex}"
     if partition_by:
-        df = df.hint("rebalance", *partition_by)
+        rows = rows.hint("rebalance", *partition_by)
     if sort_by:
-        df = df.sortWithinPartitions(*partition_by, *sort_by)
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{path}/{version}")
-    made = _partitions(df.sparkSession, path, version, len(partition_by))
-    _publish(df.sparkSession, path, [*carry, *made] or [version])
-    return version
-
+        rows = rows.sortWithinPartitions(*partition_by, *sort_by)
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", mode)
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
-def expire_pieces(spark: SparkSession, path: str, older_than_hours: float = 24.0) -> int:
-    """Delete pieces that the current state doesn't list and that no reader younger than the limit can hold.
 
-    Returns how many folders went. A write in progress is younger than the limit.
-    """
-    fs, jvm = _fs(spark, path)
-    hpath, limit = jvm.org.apache.hadoop.fs.Path, (time.time() - 3600 * older_than_hours) * 1000
-    live, gone = set(current_pieces(spark, path)), 0
-    for version in fs.listStatus(hpath(path)):
-        name = version.getPath().getName()
-        if not version.isDirectory() or not name.startswith("v="):
-            continue
-        used = {x for x in live if x == name or x.startswith(f"{name}/")}
-        if name in used:
-            continue
-        depth = max((x.count("/") for x in used), default=0)
-        for piece in _partitions(spark, path, name, depth):
-            if piece not in used and fs.getFileStatus(hpath(f"{path}/{piece}")).getModificationTime() < limit:
-                gone += bool(fs.delete(hpath(f"{path}/{piece}"), True))
-    return gone
+def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = (), guard: Guard | None = None) -> None:
+    """``df`` becomes the whole table; it may be computed from the table's present rows."""
+    _publish(staged(df, guard), path, partition_by, sort_by, "static")
 
 
 # -------------------------------------------------------------------------------- upserts
@@ -178,32 +142,33 @@ def column_scoped_upsert(target: DataFrame, updates: DataFrame, keys: Sequence[s
 
 
 def fold_into(spark: SparkSession, path: str, updates: DataFrame, merge, partition_by: Sequence[str] = (),
-              sort_by: Sequence[str] = (), touching: DataFrame | None = None) -> None:
-    """Publish ``merge(stored rows, updates)`` as the table's new state.
+              sort_by: Sequence[str] = (), touching: DataFrame | None = None, marks: Sequence[str] = ()) -> None:
+    """``merge(stored rows, updates)`` becomes the table's new state.
 
     With ``partition_by`` only the partitions that ``updates`` (or ``touching``) has rows of are
-    read and written again; the merge must not move a row to another partition. The list of touched
-    partitions goes through the driver: a few values, since each is a folder.
+    read and replaced; the merge must not move a row to another partition. The values of touched
+    partitions go through the driver: a few, since each is a folder. A merge that leaves a
+    touched partition without rows, or a column that is neither stored nor one of the ``marks``
+    the merge takes off again, has the whole table written again.
     """
-    have = current_pieces(spark, path)
-    if not have:
-        write_version(merge(None, updates), path, partition_by, sort_by)
+    have = find_table(spark, path)
+    if have is None:
+        write_table(merge(None, updates), path, partition_by, sort_by)
         return
-    if not partition_by:
-        write_version(merge(_read_pieces(spark, path, have), updates), path, partition_by, sort_by)
+    if not partition_by or not set(updates.columns) <= {*have.columns, *marks}:
+        write_table(merge(have, updates), path, partition_by, sort_by)
         return
-    null = "__HIVE_DEFAULT_PARTITION__"
-    touched = {"/".join(f"{c}={null if r[c] is None else r[c]}" for c in partition_by)
-               for r in (updates if touching is None else touching).select(*partition_by).distinct().collect()}
+    values = lambda df: {tuple(r) for r in df.select(*partition_by).distinct().collect()}
+    touched = values(updates if touching is None else touching)
     if not touched:
         return
-    carry = [x for x in have if "/" in x and x.split("/", 1)[1] not in touched]
-    again = [x for x in have if x not in carry]
-    if again:
-        stored = _read_pieces(spark, path, again)
+    same = lambda row: reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.lit(x)) for c, x in zip(partition_by, row, strict=True)))
+    among = reduce(lambda a, b: a | b, map(same, touched))
+    rows = staged(merge(have.where(among), updates))
+    if touched <= values(rows):
+        _publish(rows, path, partition_by, sort_by, "dynamic")
     else:
-        stored = _read_pieces(spark, path, have[:1]).limit(0)
-    write_version(merge(stored, updates), path, partition_by, sort_by, carry)
+        write_table(have.where(~among).unionByName(rows), path, partition_by, sort_by)
 
 
 def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str],
@@ -248,18 +213,19 @@ def write_prices_daily(spark: SparkSession, path: str, bars: DataFrame) -> None:
 def write_panel(panel: DataFrame, path: str, min_coverage: float = params.PANEL_MIN_TARGET_COVERAGE) -> None:
     """Panel in contract order, refused when too few rows with a return have a target."""
     require_columns(panel, PANEL_COLUMNS, "panel")
-    check_target_coverage(panel, min_coverage)
-    write_version(year_of(panel.select(*PANEL_COLUMNS)), path, ["year"], ["date", "ticker"])
+    write_table(year_of(panel.select(*PANEL_COLUMNS)), path, ["year"], ["date", "ticker"], target_coverage(min_coverage))
 
 
-def check_target_coverage(panel: DataFrame, min_coverage: float = params.PANEL_MIN_TARGET_COVERAGE) -> float:
+def target_coverage(min_coverage: float = params.PANEL_MIN_TARGET_COVERAGE) -> Guard:
+    """Enough of the rows with a forward return must have a target."""
     has = F.col("forward_return").isNotNull()
-    n, k = panel.agg(F.count_if(has), F.count_if(has & F.col("target").isNotNull())).first()
-    coverage = k / n if n else 0.0
-    if coverage < min_coverage:
-        raise ValueError(f"panel not written: only {coverage:.1%} of rows with a forward return "
-                         f"carry a target, and {min_coverage:.0%} are required")
-    return coverage
+
+    def problems(got: dict) -> list[str]:
+        coverage = got["targets"] / got["returns"] if got["returns"] else 0.0
+        return [] if coverage >= min_coverage else [
+            f"panel not written: only {coverage:.1%} of rows with a forward return carry a target, and {min_coverage:.0%} are required"]
+
+    return Guard({"returns": F.count_if(has), "targets": F.count_if(has & F.col("target").isNotNull())}, problems)
 
 
 def prediction_rows(preds: DataFrame, model_version: str, horizon: str = "1m") -> DataFrame:
@@ -357,9 +323,12 @@ def write_macro(spark: SparkSession, path: str, macro: DataFrame) -> None:
 
 
 def write_facts(spark: SparkSession, path: str, facts: DataFrame) -> None:
-    from factorloom.operators.quality import validate_facts
+    """Facts upserted by key; a batch with any violation of the table's rules is refused before the table is touched."""
+    from factorloom.operators.quality import fact_measures, fact_problems
 
-    upsert_table(spark, path, validate_facts(facts), ["ticker", "concept", "period_end", "filed_date"])
+    marked, measures = fact_measures(facts)
+    rows = staged(marked, Guard(measures, fact_problems)).select(*(f.name for f in FACTS.fields))
+    upsert_table(spark, path, rows, ["ticker", "concept", "period_end", "filed_date"])
 
 
 def write_fundamental_features(spark: SparkSession, path: str, features: DataFrame) -> None:

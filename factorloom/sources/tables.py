@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from factorloom import schema
 from factorloom.functions.scalars import junk_to_null, nans_to_nulls
-from factorloom.sinks.tables import read_version
+from factorloom.sinks.tables import find_table, read_table
 
 
 class Warehouse:
@@ -31,13 +31,11 @@ class Warehouse:
         return f"{self.root}/{name}"
 
     def table(self, name: str) -> DataFrame:
-        """Newest version of a table, NaN as NULL."""
-        return nans_to_nulls(read_version(self.spark, self.path(name)))
+        """A stored table, NaN as NULL."""
+        return nans_to_nulls(read_table(self.spark, self.path(name)))
 
     def exists(self, name: str) -> bool:
-        from factorloom.sinks.tables import current_pieces
-
-        return bool(current_pieces(self.spark, self.path(name)))
+        return find_table(self.spark, self.path(name)) is not None
 
     def prices(self, since: str | None = None) -> DataFrame:
         """Monthly closes; ``since`` prunes the year folders and then the rows."""

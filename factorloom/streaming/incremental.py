@@ -1,7 +1,7 @@
 """Incremental ingestion as file-source streams.
 
 ``availableNow`` drains what has landed and stops, so the same code serves a schedule or a
-running service. Each micro-batch is folded into a versioned table by key; a batch seen
+running service. Each micro-batch is folded into a stored table by key; a batch seen
 again after a failure writes the same rows again.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from factorloom import params
 from factorloom.operators.prices import rebased_tickers
 from factorloom.session import settle
-from factorloom.sinks.tables import current_pieces, fold_into, one_per_key, read_version, year_of
+from factorloom.sinks.tables import find_table, fold_into, one_per_key, year_of
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -30,9 +30,9 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return reader.load(path)
 
 
-def drain(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def drain(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process everything available now, then stop."""
-    query = (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    query = (stream.writeStream.outputMode(mode).foreachBatch(apply).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
     return query
@@ -89,8 +89,8 @@ def ingest_prices(stream: DataFrame, target: str, checkpoint: str, *,
 
     def apply(batch: DataFrame, _: int) -> None:
         fresh = dated_close(batch).withColumn("_moved", F.lit(False))
-        if full_history is not None and current_pieces(spark, target):
-            stored = read_version(spark, target)
+        stored = find_table(spark, target)
+        if full_history is not None and stored is not None:
             newest = stored.agg(F.max("date")).scalar()
             # a month that is still open in the batch says nothing about re-basing
             same_day = fresh.join(stored.select("ticker", "day"), ["ticker", "day"], "left_semi")
@@ -100,9 +100,9 @@ def ingest_prices(stream: DataFrame, target: str, checkpoint: str, *,
             dated = history.unionByName(gone.join(history.select("ticker", "date"), ["ticker", "date"], "left_anti"))
             fresh = fresh.join(moved, "ticker", "left_anti").unionByName(history)
             years = dated.select("year").union(fresh.select("year")).distinct()
-            fold_into(spark, target, fresh, merge, ["year"], ["ticker", "date"], years)
+            fold_into(spark, target, fresh, merge, ["year"], ["ticker", "date"], years, marks=["_moved"])
         else:
-            fold_into(spark, target, fresh, merge, ["year"], ["ticker", "date"])
+            fold_into(spark, target, fresh, merge, ["year"], ["ticker", "date"], marks=["_moved"])
 
     return drain(stream, apply, checkpoint)
 

@@ -114,9 +114,9 @@ def test_versioned_upserts(spark, tmp_path):
     mk = lambda rows, s: spark.createDataFrame(rows, s)
     sink.upsert_table(spark, path, mk([("a", "Ann", "X"), ("b", "Bob", None)], "ticker string, name string, gics_sector string"), ["ticker"])
     sink.write_universe(spark, path, mk([("a", "Ann2"), ("c", "Cat")], "ticker string, name string"))
-    rows = {r.ticker: (r.name, r.gics_sector) for r in sink.read_version(spark, path).collect()}
+    rows = {r.ticker: (r.name, r.gics_sector) for r in sink.read_table(spark, path).collect()}
     assert rows == {"a": ("Ann2", "X"), "b": ("Bob", None), "c": ("Cat", None)}   # the sector survives a listing refresh
-    keys_only = sink.upsert(sink.read_version(spark, path), mk([("a",), ("d",)], "ticker string"), ["ticker"])
+    keys_only = sink.upsert(sink.read_table(spark, path), mk([("a",), ("d",)], "ticker string"), ["ticker"])
     assert {(r.ticker, r.name) for r in keys_only.collect()} == {("a", "Ann2"), ("b", "Bob"), ("c", "Cat"), ("d", None)}
 
 

@@ -34,7 +34,7 @@ def test_price_stream_replaces_rebased_history(spark, tmp_path):
     bars(spark, fresh).coalesce(1).write.mode("append").parquet(landed)
     run()
     run()                                                    # nothing new: nothing changes
-    got = {(r.ticker, r.date): r.close for r in sink.read_version(spark, target).collect()}
+    got = {(r.ticker, r.date): r.close for r in sink.read_table(spark, target).collect()}
     assert len(got) == 14 and got["SPLIT", dt.date(2020, 1, 31)] == pytest.approx(whole["SPLIT", dt.date(2020, 1, 31)])
     assert got["OK", dt.date(2020, 1, 31)] == 10.0 + 22 and got["OK", dt.date(2020, 7, 31)] == 500.0
     assert schema
@@ -48,7 +48,7 @@ def test_fact_stream_is_idempotent_and_keeps_restatements(spark, tmp_path):
     for i, rows in enumerate((one, two)):
         spark.createDataFrame(rows, FACT).coalesce(1).write.mode("append").parquet(landed)
         ingest_facts(file_stream(spark, landed, spark.createDataFrame([], FACT).schema), target, str(tmp_path / f"ck{i}"))
-    rows = sorted((r.filed_date, r.value) for r in sink.read_version(spark, target).collect())
+    rows = sorted((r.filed_date, r.value) for r in sink.read_table(spark, target).collect())
     assert rows == [(dt.date(2020, 5, 1), 1.0), (dt.date(2021, 5, 1), 2.0)]
 
 
@@ -107,7 +107,7 @@ def test_late_bars_do_not_replace_a_later_close(spark, tmp_path):
         bars(spark, rows).coalesce(1).write.mode("append").parquet(landed)
         ingest_prices(file_stream(spark, landed, bars(spark, []).schema, max_files=1), target, str(tmp_path / "ck"),
                       full_history=lambda moved: bars(spark, []).join(moved, "ticker", "left_semi"))
-    got = {(r.ticker, r.date): r.close for r in sink.read_version(spark, target).collect()}
+    got = {(r.ticker, r.date): r.close for r in sink.read_table(spark, target).collect()}
     assert got == {("A", dt.date(2020, 1, 31)): 101.0, ("A", dt.date(2019, 5, 31)): 1.0, ("B", dt.date(2020, 1, 31)): 7.0}
 
 
@@ -117,23 +117,91 @@ def test_disagreeing_facts_do_not_depend_on_batches(spark, tmp_path, max_files):
     for value in (2.0, 1.0):
         spark.createDataFrame([("A", "revenue", q, dt.date(2020, 5, 1), value)], FACT).coalesce(1).write.mode("append").parquet(landed)
     ingest_facts(file_stream(spark, landed, spark.createDataFrame([], FACT).schema, max_files=max_files), target, str(tmp_path / "ck"))
-    assert [r.value for r in sink.read_version(spark, target).collect()] == [2.0]
+    assert [r.value for r in sink.read_table(spark, target).collect()] == [2.0]
+
+
+def files_by_year(path):
+    return {y.name: sorted(f.name for f in y.glob("*.parquet")) for y in path.glob("year=*")}
 
 
 def test_upsert_writes_only_the_years_it_touches(spark, tmp_path):
-    path = str(tmp_path / "t")
+    path = tmp_path / "t"
     mk = lambda rows: sink.year_of(spark.createDataFrame(rows, "ticker string, date date, close double"))
-    sink.upsert_table(spark, path, mk([("A", dt.date(y, 1, 31), float(y)) for y in (2018, 2019, 2020)]), ["ticker", "date"], ["year"])
-    before = set(sink.current_pieces(spark, path))
-    sink.upsert_table(spark, path, mk([("A", dt.date(2019, 1, 31), 1.0), ("B", dt.date(2021, 1, 31), 2.0)]), ["ticker", "date"], ["year"])
-    after = set(sink.current_pieces(spark, path))
-    assert {x.split("/")[1] for x in after - before} == {"year=2019", "year=2021"}
-    assert {x.split("/")[1] for x in after & before} == {"year=2018", "year=2020"}
-    got = {(r.ticker, r.date.year): r.close for r in sink.read_version(spark, path).collect()}
+    sink.upsert_table(spark, str(path), mk([("A", dt.date(y, 1, 31), float(y)) for y in (2018, 2019, 2020)]), ["ticker", "date"], ["year"])
+    before = files_by_year(path)
+    sink.upsert_table(spark, str(path), mk([("A", dt.date(2019, 1, 31), 1.0), ("B", dt.date(2021, 1, 31), 2.0)]), ["ticker", "date"], ["year"])
+    after = files_by_year(path)
+    assert {y for y in after if after[y] == before.get(y)} == {"year=2018", "year=2020"} and set(after) == set(before) | {"year=2021"}
+    got = {(r.ticker, r.date.year): r.close for r in sink.read_table(spark, str(path)).collect()}
     assert got == {("A", 2018): 2018.0, ("A", 2019): 1.0, ("A", 2020): 2020.0, ("B", 2021): 2.0}
-    assert sink.expire_pieces(spark, path) == 0
-    assert sink.expire_pieces(spark, path, older_than_hours=-1) == 1
-    assert sink.read_version(spark, path).count() == 4
+    scan = plan_of(sink.read_table(spark, str(path)).where("year = 2019"))
+    assert "PartitionFilters: [isnotnull(year" in scan
+
+
+def test_rebased_history_may_leave_a_year_empty(spark, tmp_path):
+    path = str(tmp_path / "t")
+    mk = lambda rows: sink.year_of(spark.createDataFrame(rows, "ticker string, date date, close double"))
+    both = mk([("A", dt.date(2019, 1, 31), 1.0), ("B", dt.date(2020, 1, 31), 2.0), ("B", dt.date(2018, 1, 31), 3.0)])
+    sink.upsert_table(spark, path, both, ["ticker", "date"], ["year"])
+    new = mk([("B", dt.date(2020, 1, 31), 5.0)])
+    drop = lambda stored, rows: stored.where("ticker != 'B'").unionByName(rows)
+    sink.fold_into(spark, path, new, drop, ["year"], ["ticker"], both.where("ticker = 'B'"))
+    assert sorted(tuple(r)[::2] for r in sink.read_table(spark, path).select("ticker", "date", "close").collect()) == [("A", 1.0), ("B", 5.0)]
+
+
+def test_new_columns_reach_every_partition(spark, tmp_path):
+    path = str(tmp_path / "t")
+    mk = lambda rows, s: sink.year_of(spark.createDataFrame(rows, s))
+    sink.upsert_table(spark, path, mk([("A", dt.date(2019, 1, 31), 1.0), ("A", dt.date(2020, 1, 31), 2.0)], "ticker string, date date, close double"), ["ticker", "date"], ["year"])
+    sink.upsert_table(spark, path, mk([("A", dt.date(2020, 1, 31), 7)], "ticker string, date date, volume long"), ["ticker", "date"], ["year"])
+    got = {r.date.year: (r.close, r.volume) for r in sink.read_table(spark, path).collect()}
+    assert got == {2019: (1.0, None), 2020: (2.0, 7)}
+
+
+def counted(spark, df):
+    """``df`` through a step that counts its rows, whatever runs it."""
+    rows = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            rows.add(len(b))
+            yield b
+
+    return df.mapInPandas(run, df.schema), rows
+
+
+def test_guards_measure_inside_the_write(spark, tmp_path):
+    """The source is computed once, and a refused batch leaves the table and its files as they were."""
+    path = str(tmp_path / "t")
+    guard = sink.Guard({"n": F.count(F.lit(1)), "bad": F.count_if(F.col("x") < 0)}, lambda g: [f"{g['bad']} of {g['n']}"] if g["bad"] else [])
+    good, seen = counted(spark, spark.range(40).select(F.col("id").cast("double").alias("x")))
+    sink.write_table(good, path, guard=guard)
+    assert seen.value == 40 == sink.read_table(spark, path).count()
+    files = sorted(p.name for p in (tmp_path / "t").iterdir())
+    bad, seen = counted(spark, spark.range(30).select((F.col("id") - 2).cast("double").alias("x")))
+    with pytest.raises(ValueError, match="2 of 30"):
+        sink.write_table(bad, path, guard=guard)
+    assert seen.value == 30 and sorted(p.name for p in (tmp_path / "t").iterdir()) == files
+    sink.write_table(good.limit(0), path, guard=guard)
+    assert sink.read_table(spark, path).count() == 0
+
+
+def test_bad_facts_never_reach_the_table(spark, tmp_path):
+    from factorloom.schema import FACTS
+
+    def rows(*over):
+        base = {"ticker": "AAA", "cik": "0000000001", "concept": "revenue", "gaap_tag": "Revenues", "period_end": "2020-03-31", "fiscal_period": "Q1",
+                "duration_days": "91", "filed_date": "2020-05-01", "form": "10-Q", "value": "1.5", "unit": "USD"}
+        data = [[{**base, **o}.get(f.name) for f in FACTS.fields] for o in over]
+        return spark.createDataFrame(data, ", ".join(f"{f.name} string" for f in FACTS.fields))
+
+    path = str(tmp_path / "facts")
+    good, seen = counted(spark, rows({}, {"filed_date": "2021-05-01", "value": "2.5"}))
+    sink.write_facts(spark, path, good)
+    assert seen.value == 2
+    with pytest.raises(ValueError, match="1 values of value have the wrong type; cik_pattern: 1 rows"):
+        sink.write_facts(spark, path, rows({"filed_date": "2022-01-01"}, {"cik": "12"}, {"value": "many"}))
+    assert sorted(r.value for r in sink.read_table(spark, path).collect()) == [1.5, 2.5]
 
 
 def test_upsert_resolves_repeated_and_null_keys(spark):

@@ -34,14 +34,16 @@ def test_range_frames_equal_dense_pandas(spark, sparse):
     wide = sparse.pivot(index="date", columns="ticker", values="x").sort_index()
     df = spark.createDataFrame(sparse)
     p = Positional()
-    got = with_position(df, calendar(df)).withColumns({
+    placed = p.centred(p.with_long_max(with_position(df, calendar(df)), "x", 40, "max40", 20), "x")
+    got = placed.withColumns({
         "prev": p.previous("x"), "next": p.following("x"), "std5": p.rolling_std("x", 5),
-        "mean7": p.rolling_mean("x", 7, 5), "max40": p.rolling_max("x", 40, 20),
+        "mean7": p.rolling_mean("x", 7, 5), "mean45": p.rolling_mean("x", 45, 30), "std50": p.rolling_std("x", 50, 35),
         "mom": p.compound("x", -12, -2), "long": p.compound("x", -50, -3), "fwd": p.compound("x", 1, 4),
     }).toPandas()
     want = {
         "prev": wide.shift(1), "next": wide.shift(-1), "std5": wide.rolling(5).std(),
         "mean7": wide.rolling(7, min_periods=5).mean(), "max40": wide.rolling(40, min_periods=20).max(),
+        "mean45": wide.rolling(45, min_periods=30).mean(), "std50": wide.rolling(50, min_periods=35).std(),
         "mom": np.expm1(wide.shift(2).rolling(11).sum()), "long": np.expm1(wide.shift(3).rolling(48).sum()),
         "fwd": np.expm1(wide.rolling(4).sum().shift(-4)),
     }
@@ -51,6 +53,43 @@ def test_range_frames_equal_dense_pandas(spark, sparse):
             assert (pd.isna(a) and pd.isna(b)) or a == pytest.approx(b, abs=1e-9), (name, r)
 
 
+def test_long_frames_keep_digits_of_a_high_level(spark):
+    """Values near 1e9 that differ by thousandths, for two years of days."""
+    rng = np.random.default_rng(9)
+    rows = [(t, d, 1e9 + i * 7e8 + float(rng.normal()) / 1000) for i, t in enumerate("ab") for d in days(500)]
+    pdf = pd.DataFrame(rows, columns=["ticker", "date", "x"])
+    df, p = spark.createDataFrame(pdf), Positional()
+    placed = p.centred(with_position(df, calendar(df)), "x")
+    got = placed.withColumns({"std": p.rolling_std("x", 63), "mean": p.rolling_mean("x", 60)}).toPandas()
+    for t, part in got.sort_values("date").groupby("ticker"):
+        exact = pdf[pdf.ticker == t].x.reset_index(drop=True) - (1e9 + 7e8 * (t == "b"))
+        assert np.allclose(part["std"].dropna().to_numpy(), exact.rolling(63).std().dropna().to_numpy(), rtol=1e-6)
+        assert np.allclose(part["mean"].dropna().to_numpy() - (1e9 + 7e8 * (t == "b")), exact.rolling(60).mean().dropna().to_numpy(), atol=3e-7)
+
+
+@pytest.mark.parametrize(("n", "least"), [(33, 1), (60, 20), (119, 119), (200, 50)])
+def test_long_maximum_equals_pandas(spark, sparse, n, least):
+    wide = sparse.pivot(index="date", columns="ticker", values="x").sort_index()
+    df, p = spark.createDataFrame(sparse), Positional()
+    got = p.with_long_max(with_position(df, calendar(df)), "x", n, "most", least).toPandas()
+    want = wide.rolling(n, min_periods=least).max()
+    assert len(got) == len(sparse)
+    for r in got.itertuples():
+        b = want.at[r.date, r.ticker]
+        assert (pd.isna(r.most) and pd.isna(b)) or r.most == b
+
+
+def test_daily_features_re_read_no_long_frame(spark):
+    import re
+
+    from factorloom.plans.panel_daily import technical_features
+
+    df = spark.createDataFrame([("a", 1, 1.0, 1.0, 1.0, 1.0, 0.1)], "ticker string, pos int, close double, high double, low double, volume double, ret double")
+    plan = technical_features(df)._jdf.queryExecution().executedPlan().toString()
+    frames = re.findall(r"specifiedwindowframe\((\w+), ([^,]+), ([^)]+)\)", plan)
+    assert frames and all(lo.startswith("unbounded") or abs(int(lo)) <= 32 for _, lo, _ in frames)
+
+
 def test_densify_fills_every_cell_once(spark, sparse):
     df = spark.createDataFrame(sparse)
     cal = calendar(df.where("date > '2020-01-10'"))
