@@ -149,8 +149,9 @@ def write_ids(docs: DataFrame, tokenizer: str, text: str = "text", row_id: str =
                 if writer is None:
                     fs.create_dir(root, recursive=True)
                     writer = Writer(fs.open_output_stream(path), id_width(coder.vocabulary))
-                for doc, ids in zip(part["id"].to_pylist(), coder.encode_batch(part["text"].to_pylist()), strict=True):
-                    writer.add(doc, np.append(ids, np.uint32(end_id)))
+                ends = np.array([end_id], "<u4").tobytes()
+                for doc, ids in zip(part["id"].to_pylist(), coder.encode_batch(part["text"].to_pylist(), ends), strict=True):
+                    writer.add(doc, ids)
         if writer is not None:
             writer.close()
             yield pa.record_batch({
