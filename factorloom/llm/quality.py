@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,6 +101,28 @@ def gram_weights(docs: DataFrame, trusted: DataFrame, text: str, row_id: str, bu
     return F.from_json(F.lit(json.dumps(table)), "array<double>")
 
 
+def least_step(bins: list[tuple[int, int]], loss: float) -> int | None:
+    """The grid step that turns away a share ``loss`` of documents like the calibration ones, from (step, count) in order.
+
+    With enough of them it is their quantile. If ``loss`` allows for less than one of them, the least
+    score says little about so rare a tail (of n, it turns away one in n + 1), and the bound is
+    that of a normal fit for one more document, if it lies lower. None for fewer than two.
+    """
+    n = sum(k for _, k in bins)
+    if n < 2:
+        return None
+    passed = 0
+    for step, k in bins:
+        passed += k
+        if passed > loss * n:
+            break
+    if loss * n >= 1:
+        return step
+    mean = sum(s * k for s, k in bins) / n
+    spread = math.sqrt(sum(k * (s - mean) ** 2 for s, k in bins) / (n - 1) * (1 + 1 / n))
+    return min(step, math.floor(mean + NormalDist().inv_cdf(loss) * spread)) if loss > 0 else bins[0][0]
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id", quality: str = "quality",
                   buckets: int = BUCKETS, shrink: float = SHRINK, trusted_loss: float = TRUSTED_LOSS) -> DataFrame:
     """All rows of ``docs`` with the base counts, ``llr``, ``threshold`` and ``kept``.
@@ -107,7 +131,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", row_id
     (rows that every label calls quality 1) and the raw corpus (all rows), both hashed
     multinomials, divided by the number of n-grams. A fifth of the trusted documents, by a hash
     of the id, stays out of the target: they score like unlabelled ones. ``threshold`` is the
-    grid step that turns away ``trusted_loss`` of them. ``kept``: not ``base_failed``, and the
+    grid step that turns away ``trusted_loss`` of their kind (see ``least_step``). ``kept``: not ``base_failed``, and the
     score's step is at or above the threshold.
 
     Null text counts as empty: no words, ``llr`` 0, base failed. Rows with a null id are scored
@@ -132,17 +156,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", row_id
         n = 2 * F.size(array) - 1
         return df.withColumn("llr", F.when(n > 0, let(weights, total) / n).otherwise(F.lit(0.0)))
 
-    narrow = scored(docs.select(F.col(f"`{row_id}`").alias(row_id), F.col(f"`{text}`").alias(text)))
+    # Only rows that may be held-out trusted ones are scored for the threshold; all are, once, for the verdict.
+    slot = slot_of(F.xxhash64(row_id))
+    narrow = docs.select(F.col(f"`{row_id}`").alias(row_id), F.col(f"`{text}`").alias(text))
+    narrow = test_filter(narrow, slot, bit_filter(held.select(slot_of(F.xxhash64("id")).alias("slot"))), "may").where("may")
     step = F.floor(F.col("llr") * GRID)
-    narrow = settle(narrow.select(F.col(row_id).alias("id"), step.alias("step")), "scores")
+    narrow = settle(scored(narrow).select(F.col(row_id).alias("id"), step.alias("step")), "scores")
     bins = narrow.join(held, "id", "left_semi").groupBy("step").count().orderBy("step").collect()  # grid steps only
-    allowed, passed, threshold = trusted_loss * sum(r["count"] for r in bins), 0, None
-    for r in bins:
-        threshold = r["step"]
-        passed += r["count"]
-        if passed > allowed:
-            break
-    threshold = F.lit(threshold).cast("long")
+    threshold = F.lit(least_step([(r["step"], r["count"]) for r in bins], trusted_loss)).cast("long")
     out = base_statistics(scored(docs), text, array).drop(array)
     verdict = ~F.col("base_failed") & F.coalesce(step >= threshold, F.lit(True))
     return out.withColumn("threshold", threshold / GRID).withColumn("kept", verdict)

@@ -77,6 +77,19 @@ def test_quality_prefers_trusted_text(spark):
     assert all(kept[i] == bool(i % 2) for i in range(200, 400))
 
 
+def test_threshold_of_few_and_of_many_calibration_rows():
+    rng = random.Random(4)
+    lost = []
+    for n in (8, 20, 60):
+        for _ in range(150):
+            bins = sorted(collections.Counter(round(rng.gauss(1000, 60)) for _ in range(n)).items())
+            low = quality.least_step(bins, 0.005)
+            lost.append(sum(rng.gauss(1000, 60) < low for _ in range(200)) / 200)
+    assert sum(lost) / len(lost) < 0.02  # the least score alone loses a 9th, a 21st and a 61st
+    many = [(k, 10) for k in range(1000)]
+    assert quality.least_step(many, 0.005) == 5 and quality.least_step([(3, 1)], 0.005) is None and quality.least_step([], 0.1) is None
+
+
 def test_quality_without_labels_or_rows(messy, nothing, labels):
     none = labels.where("quality > 5")
     assert all(r.kept != r.base_failed for r in quality.score_quality(messy, none).collect())
