@@ -141,17 +141,37 @@ def extract_facts(spark, sf):
     'us-gaap' AS ns, 'Revenues' AS tag, 'USD' AS unit, start, "end", val, filed, form FROM filings""", "filings"))
 def filing_documents(spark, sf):
     """Records -> one JSON document per company -> records again."""
+    return files.parse_filings(_documents(spark, sf))[0].drop("seq")
+
+
+@query("odd_filing_documents", with_views("""SELECT CAST(ticker AS VARCHAR) AS ticker, 'own-' || ticker % 7 AS ns, 'USD' AS unit, val, filed
+  FROM filings WHERE ticker % 11 <> 0 AND form <> '10-K'""", "filings"))
+def odd_filing_documents(spark, sf):
+    """Namespaces that filers make up are read; a tenth of the documents is cut off, yearly figures are no numbers."""
+    return files.parse_filings(_documents(spark, sf, odd=True))[0].select("ticker", "ns", "unit", "val", "filed")
+
+
+@query("filing_rejects", with_views("""SELECT CAST(ticker AS VARCHAR) AS ticker, 'wrong type: val' AS reason, count(*) AS n FROM filings
+  WHERE ticker % 11 <> 0 AND form = '10-K' GROUP BY 1
+  UNION ALL SELECT DISTINCT CAST(ticker AS VARCHAR), 'no document', 1 FROM filings WHERE ticker % 11 = 0""", "filings"))
+def filing_rejects(spark, sf):
+    rejects = files.parse_filings(_documents(spark, sf, odd=True))[1]
+    return rejects.groupBy("ticker", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _documents(spark, sf, odd=False):
+    """One JSON document per company."""
     rec = v.filings(spark, sf)
-    item = F.struct(F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), "val",
-                    F.col("filed").cast("string").alias("filed"), "form")
+    text = lambda c: F.col(c).cast("string")
+    val = F.when(F.col("form") == "10-K", F.concat(F.lit("about "), text("val"))).otherwise(text("val")) if odd else F.col("val")
+    item = F.struct(text("start").alias("start"), text("end").alias("end"), val.alias("val"), text("filed").alias("filed"), "form")
     per = rec.groupBy("ticker").agg(F.collect_list(item).alias("items"))  # one company's filing days
-    units = F.create_map(F.lit("USD"), F.col("items"))
-    facts = F.create_map(F.lit("us-gaap"), F.create_map(F.lit("Revenues"), F.struct(units.alias("units"))))
-    docs = per.select(F.to_json(F.struct(F.col("ticker").cast("string").alias("cik"), facts.alias("facts"))).alias("value"))
-    body = F.from_json("value", f"struct<cik: string, facts: {files.FILING_SCHEMA}>")
-    rows = docs.select(body.alias("d")).select(
-        F.col("d.cik").alias("ticker"), scalars.pad_cik(F.col("d.cik")).alias("cik"), F.col("d.facts").alias("facts"))
-    return files.parse_filings(rows).drop("seq")
+    ns = F.concat(F.lit("own-"), F.col("ticker") % 7) if odd else F.lit("us-gaap")
+    facts = F.create_map(ns, F.create_map(F.lit("Revenues"), F.struct(F.create_map(F.lit("USD"), F.col("items")).alias("units"))))
+    value = F.to_json(F.struct(text("ticker").alias("cik"), facts.alias("facts")))
+    if odd:
+        value = F.when(F.col("ticker") % 11 == 0, F.substr(value, F.lit(1), F.lit(60))).otherwise(value)
+    return per.select(text("ticker").alias("ticker"), scalars.pad_cik(F.col("ticker")).alias("cik"), F.try_parse_json(value).alias("doc"))
 
 
 @query("latest_filing", """SELECT CAST(o_custkey AS VARCHAR) AS ticker, max(CAST(o_orderdate AS DATE)) AS latest_filing FROM orders GROUP BY 1""")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from factorloom.catalog import views as v
 from factorloom.catalog.base import query, r, rounded, rs
 from factorloom.catalog.market import panel, panel_daily_table, panel_table
-from factorloom.catalog.sqlparts import FUND_CTES, PANEL_CTES, PANEL_VIEWS, SUMMARY, daily_ctes, spearman_ctes, unpivot
+from factorloom.catalog.sqlparts import FUND_CTES, PANEL_CTES, PANEL_VIEWS, SUMMARY, OOS, daily_ctes, elastic_net_ctes, fold_jobs, recursive_sql, spearman_ctes, unpivot
 from factorloom.catalog.views import with_views
 from factorloom.functions.cross_section import row_numbers
-from factorloom.models import elastic_net, folds, walkforward
+from factorloom.models import elastic_net, folds, permutation, walkforward
 from factorloom.models.training import cross_section_at, rank_cross_section
 from factorloom.operators import backtest, evaluate, portfolio, rebalance
 from factorloom.operators.attribution import FACTORS, coefficient_table, factor_attribution
@@ -375,24 +377,58 @@ def fold_table(spark, sf):
     return folds.fold_table(v.close_m(spark, sf), WalkForwardParams(24, 3, 1)).select("fold", "test_date", "train_end_pos")
 
 
-@query("elastic_net_oos")
+_EN = {**PANEL_CTES, **elastic_net_ctes(fold_jobs(36, 0.001, 0.5)), "oos": OOS}
+_OOS_IC = {"pairs": "SELECT 'pred' AS signal, date, round(pred, 9) AS x, forward_return AS y FROM oos WHERE forward_return IS NOT NULL",
+           **spearman_ctes("pairs", "signal, date")}
+
+
+def _oos(spark, sf):
+    return elastic_net.walk_forward(panel_table(spark, sf), MONTHLY_FEATURES, params=_WF, stored=True)[0]
+
+
+@query("elastic_net_oos", recursive_sql(with_views(
+    f"SELECT date, ticker, fold::INT AS fold, {r('pred', 'pred')}, {r('forward_return', 'forward_return')} FROM oos", *PANEL_VIEWS, extra=_EN)))
 def elastic_net_oos(spark, sf):
-    scored, _ = elastic_net.walk_forward(panel_table(spark, sf), MONTHLY_FEATURES, params=_WF, stored=True)
-    return scored.select("date", "ticker", "fold", "pred", "forward_return")
+    return rounded(_oos(spark, sf).select("date", "ticker", "fold", "pred", "forward_return"))
 
 
-@query("elastic_net_tuned")
+_TUNED = {
+    "grid": """SELECT * FROM (VALUES (0, 0.001, 0.5), (1, 0.001, 0.2), (2, 0.001, 0.8), (3, 0.0001, 0.5), (4, 0.0001, 0.2), (5, 0.0001, 0.8),
+    (6, 0.01, 0.5), (7, 0.01, 0.2), (8, 0.01, 0.8)) AS g(param_id, alpha, l1_ratio)""",
+    "inner_": """SELECT pos - 37 AS fold, i AS inner_fold, pos - 1 - 4 + i AS train_end_pos, pos - 1 - 3 + i AS val_pos
+  FROM cal, range(0, 3) AS r(i) WHERE pos >= 37 AND (pos - 37) % 12 = 0 AND pos - 1 - 4 >= 24""",
+}
+_TUNE_EN = elastic_net_ctes("""SELECT fold * 1000 + inner_fold * 100 + param_id AS job, train_end_pos, alpha::DOUBLE AS alpha, l1_ratio::DOUBLE AS l1_ratio
+  FROM inner_, grid""")
+_TUNE_CTES = {**PANEL_CTES, "cal": _TUNE_EN["cal"], **_TUNED, **_TUNE_EN,
+    "pairs": """SELECT inner_.fold, inner_fold, param_id, intercept + list_dot_product(x, b) AS x, forward_return AS y
+  FROM inner_ JOIN grid ON true JOIN est ON job = fold * 1000 + inner_fold * 100 + param_id JOIN ep ON pos = val_pos WHERE forward_return IS NOT NULL""",
+    **spearman_ctes("pairs", "fold, inner_fold, param_id"),
+    "chosen": """SELECT fold AS tuned_at, arg_max(param_id, (inner_ic, -param_id)) AS param_id, max(inner_ic) AS inner_ic
+  FROM (SELECT fold, param_id, round(avg(ic), 12) AS inner_ic FROM ic GROUP BY 1, 2) GROUP BY 1"""}
+_FINAL = elastic_net_ctes("""SELECT pos - 37 AS job, pos - 1 AS train_end_pos, alpha::DOUBLE AS alpha, l1_ratio::DOUBLE AS l1_ratio, param_id, inner_ic
+  FROM cal LEFT JOIN chosen ON tuned_at = (pos - 37) // 12 * 12 JOIN grid ON grid.param_id = coalesce(chosen.param_id, 0) WHERE pos >= 37""".replace(
+    "param_id, inner_ic", "grid.param_id, inner_ic"))
+_again = lambda q: re.sub(r"\b(jobs|moments|problem|descent|est)\b", r"\1_2", q)
+_TUNE_CTES |= {f"{k}_2": _again(q) for k, q in _FINAL.items() if k not in ("cal", "ep")}
+
+
+@query("elastic_net_tuned", recursive_sql(with_views(f"""SELECT job::INT AS fold, param_id::INT AS param_id, {r('inner_ic', 'inner_ic')}, alpha, l1_ratio,
+    {r('intercept', 'intercept')}, i::INT AS feature, round(b[i + 1], 6) + 0.0 AS coef
+  FROM jobs_2 JOIN est_2 USING (job), range(0, {len(MONTHLY_FEATURES)}) AS t(i)""", *PANEL_VIEWS, extra=_TUNE_CTES)).replace(
+    "descent_2 AS MATERIALIZED", "descent_2 AS"))
 def elastic_net_tuned(spark, sf):
-    """Nested tuning: the parameters and inner IC each fold used."""
+    """Nested tuning: the parameters and inner IC each fold used, and its coefficients, one row a feature."""
     _, models = elastic_net.walk_forward(panel_table(spark, sf), MONTHLY_FEATURES, params=_WF, stored=True, spec=ELASTIC_NET,
                                          tuning=TuningParams())
-    return models.select("fold", "param_id", "inner_ic", "alpha", "l1_ratio", "intercept", "coef")
+    return rounded(models.select("fold", "param_id", "inner_ic", "alpha", "l1_ratio", "intercept", F.posexplode("coef").alias("feature", "coef")))
 
 
-@query("elastic_net_ic")
+@query("elastic_net_ic", recursive_sql(with_views(f"SELECT signal, {_SUM_OUT}, n_months FROM (SELECT signal, {SUMMARY} FROM ic GROUP BY 1)",
+                                                  *PANEL_VIEWS, extra={**_EN, **_OOS_IC})))
 def elastic_net_ic(spark, sf):
-    scored, _ = elastic_net.walk_forward(panel_table(spark, sf), MONTHLY_FEATURES, params=_WF, stored=True)
-    return evaluate.ic_summary(evaluate.information_coefficient(scored, "pred"))
+    scored = _oos(spark, sf).withColumn("pred", F.round("pred", 9))
+    return rounded(evaluate.ic_summary(evaluate.information_coefficient(scored, "pred")))
 
 
 @query("gram_sums", with_views(
@@ -404,8 +440,7 @@ def gram_sums(spark, sf):
                                F.col("g4").alias("roe_target")))
 
 
-@query("gbt_oos")
-def gbt_oos(spark, sf):
+def _gbt(spark, sf):
     spec = {"maxIter": 5, "stepSize": 0.1, "maxDepth": 3, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8",
             "minInstancesPerNode": 20}
     out, _ = walkforward.walk_forward_predict(panel_table(spark, sf), "boosted_trees", MONTHLY_FEATURES, spec=spec,
@@ -413,12 +448,77 @@ def gbt_oos(spark, sf):
     return out.select("date", "ticker", "fold", "pred", "forward_return")
 
 
-@query("leakage_ic")
+@query("gbt_oos")
+def gbt_oos(spark, sf):
+    return v.stored(spark, sf, "gbt_oos", _gbt)
+
+
+@query("gbt_oos_rows", with_views(f"""SELECT date, ticker, ((pos - 37) // 24)::INT AS fold, {r('forward_return', 'forward_return')}, true AS scored
+  FROM panel JOIN (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM panel)) USING (date) WHERE pos >= 37""",
+    *PANEL_VIEWS, extra=PANEL_CTES))
+def gbt_oos_rows(spark, sf):
+    """Which rows the tree model scored out of sample, in which fold: all names of the test dates."""
+    out = v.stored(spark, sf, "gbt_oos", _gbt).withColumn("scored", F.col("pred").isNotNull() & ~F.isnan("pred"))
+    return rounded(out.drop("pred"))
+
+
+_A, _C = walkforward.permutation_constants(42)
+_SHUFFLED = {
+    "placed": "SELECT *, row_number() OVER (PARTITION BY date ORDER BY ticker) AS k FROM panel",
+    "keyed": f"""SELECT date, k, ticker, target, ((u * u) % 2147483647 * u) % 2147483647 AS h
+  FROM (SELECT *, (k * {_A}::BIGINT + date_diff('day', DATE '1970-01-01', date) * {_C}::BIGINT + {_C}) % 2147483647 AS u FROM placed)""",
+    "drawn": "SELECT date, target, row_number() OVER (PARTITION BY date ORDER BY h, ticker) AS k FROM keyed",
+    "shuffled": "SELECT p.* REPLACE (d.target AS target) FROM placed AS p JOIN drawn AS d USING (date, k)",
+}
+
+
+@query("shuffled_target", with_views(f"SELECT date, ticker, {r('target', 'target')} FROM shuffled", *PANEL_VIEWS, extra={**PANEL_CTES, **_SHUFFLED}))
+def shuffled_target(spark, sf):
+    return rounded(walkforward.shuffle_target(panel_table(spark, sf)).select("date", "ticker", "target"))
+
+
+@query("leakage_ic", recursive_sql(with_views(f"""SELECT n_months = 0 OR abs(t_stat) < 2.0 AS passed, {r('t_stat', 't_stat')}, n_months
+  FROM (SELECT {SUMMARY} FROM ic)""", *PANEL_VIEWS, extra={
+      **PANEL_CTES, **_SHUFFLED, **elastic_net_ctes(fold_jobs(36, 0.001, 0.5), "shuffled"), "oos": OOS, **_OOS_IC})))
 def leakage_ic(spark, sf):
     shuffled = walkforward.shuffle_target(panel_table(spark, sf))
     scored, _ = elastic_net.walk_forward(shuffled, MONTHLY_FEATURES, params=_WF)
-    ic = evaluate.information_coefficient(scored, "pred")
-    return walkforward.leakage_passed(evaluate.ic_summary(ic))
+    ic = evaluate.information_coefficient(scored.withColumn("pred", F.round("pred", 9)), "pred")
+    return rounded(walkforward.leakage_passed(evaluate.ic_summary(ic)))
+
+
+_SEEDS = (42, 43, 141)
+_PERMS = {
+    "with_target": "SELECT date, ticker, roe, target, row_number() OVER (PARTITION BY date ORDER BY ticker) AS k FROM panel WHERE target IS NOT NULL",
+    "keyed_p": " UNION ALL ".join(f"""SELECT date, k, target, {n + 1} AS perm, ((u * u) % 2147483647 * u) % 2147483647 AS h
+  FROM (SELECT *, (k * {a}::BIGINT + date_diff('day', DATE '1970-01-01', date) * {c}::BIGINT + {c}) % 2147483647 AS u FROM with_target)"""
+                                  for n, (a, c) in enumerate(map(walkforward.permutation_constants, _SEEDS))),
+    "drawn_p": "SELECT date, perm, target, row_number() OVER (PARTITION BY date, perm ORDER BY h, k) AS k FROM keyed_p"}
+
+
+@query("permuted_sums", with_views(f"""SELECT date, perm::INT AS perm, {r('sum(coalesce(roe, 0.5) * d.target)', 'roe_target')}
+  FROM with_target JOIN (SELECT * FROM drawn_p UNION ALL SELECT date, 0, target, k FROM with_target) AS d USING (date, k) GROUP BY 1, 2""",
+    *PANEL_VIEWS, extra={**PANEL_CTES, **_PERMS}))
+def permuted_sums(spark, sf):
+    """Feature-target sums per date under three permutations and without one."""
+    sums = permutation.permuted_sums(panel_table(spark, sf), ["roe"], "target", _SEEDS)
+    return rounded(sums.select("date", "perm", F.col("sums")[0].alias("roe_target")))
+
+
+def _permutation_ic(spark, sf):
+    return permutation.permutation_ic(panel_table(spark, sf), MONTHLY_FEATURES, params=_WF)
+
+
+@query("permutation_real_ic", recursive_sql(with_views(f"SELECT date, {r('ic', 'ic')} FROM ic", *PANEL_VIEWS, extra={**_EN, **_OOS_IC})))
+def permutation_real_ic(spark, sf):
+    """The series of the real target among the permuted ones."""
+    return rounded(v.stored(spark, sf, "permutation_ic", _permutation_ic).where("perm = 0").select("date", "ic"))
+
+
+@query("permutation_test")
+def permutation_test(spark, sf):
+    """Is the model's skill out of reach of 200 shuffled targets?"""
+    return permutation.permutation_test(v.stored(spark, sf, "permutation_ic", _permutation_ic))
 
 
 @query("shuffled_target_totals", with_views(

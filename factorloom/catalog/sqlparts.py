@@ -146,3 +146,53 @@ def unpivot(source: str, signals, target: str, keep: str) -> str:
 SUMMARY = """avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(ic) / nullif(stddev_samp(ic), 0) AS ic_ir,
   avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(count(ic)) AS t_stat,
   avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, count(ic) AS n_months"""
+
+
+# ------------------------------------------------------------------- elastic nets, solved in SQL
+
+_N = len(MONTHLY_FEATURES)
+_AVG = lambda e: f"avg({e})"
+
+
+def elastic_net_ctes(jobs: str, panel: str = "panel") -> dict[str, str]:
+    """Coordinate descent for every row of ``jobs`` (job, train_end_pos, alpha, l1_ratio): CTE est (job, b, intercept).
+
+    Centred second moments over the dates before train_end_pos; one pass over all coordinates is a
+    step of a recursive query, which ends for a job when no coordinate moves any more.
+    """
+    x = [f"x[{i + 1}]" for i in range(_N)]
+    moments = ", ".join("[" + ", ".join(f"avg({a} * {b}) - avg({a}) * avg({b})" for b in x) + "]" for a in x)
+    rho = "(c[j[1]::INT] - list_dot_product(s[j[1]::INT], b) + s[j[1]::INT][j[1]::INT] * b[j[1]::INT])"
+    step = (f"CASE WHEN s[j[1]::INT][j[1]::INT] > 0 THEN (greatest({rho} - l1, 0) + least({rho} + l1, 0)) / (s[j[1]::INT][j[1]::INT] + l2) "
+            "ELSE b[j[1]::INT] END")
+    turn = f"lambda b, j: list_concat(list_concat(b[:j[1]::INT - 1], [{step}]), b[j[1]::INT + 1:])"
+    places = ", ".join(f"[{i + 1}.0::DOUBLE]" for i in range(_N))
+    return {
+        "cal": f"SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM {panel})",
+        "jobs": jobs,
+        "ep": f"""SELECT date, ticker, forward_return, pos, [{', '.join(f'coalesce({f}, 0.5)' for f in MONTHLY_FEATURES)}]::DOUBLE[] AS x, target AS t
+  FROM {panel} JOIN cal USING (date)""",
+        "moments": f"""SELECT e AS train_end_pos, count(*) AS n, [{', '.join(map(_AVG, x))}] AS mx, avg(t) AS my, [{moments}] AS s,
+  [{', '.join(f'avg({a} * t) - avg({a}) * avg(t)' for a in x)}] AS c
+  FROM ep JOIN (SELECT DISTINCT train_end_pos AS e FROM jobs) ON pos < e WHERE t IS NOT NULL GROUP BY e""",
+        "problem": "SELECT job, alpha * l1_ratio AS l1, alpha * (1 - l1_ratio) AS l2, mx, my, s, c FROM jobs JOIN moments USING (train_end_pos) WHERE n >= 20",
+        "descent": f"""SELECT job, 0 AS it, list_transform(mx, lambda v: 0.0::DOUBLE) AS b, 1.0::DOUBLE AS moved FROM problem
+  UNION ALL SELECT job, it + 1, nb, list_max(list_transform(nb, lambda v, i: abs(v - b[i]))) FROM (
+    SELECT job, it, d.b, list_reduce([d.b, {places}], {turn}) AS nb FROM descent AS d JOIN problem USING (job) WHERE it < 5000 AND moved >= 1e-11)""",
+        "est": "SELECT job, b, my - list_dot_product(mx, b) AS intercept FROM problem JOIN (SELECT job, arg_max(b, it) AS b FROM descent GROUP BY job) USING (job)",
+    }
+
+
+def recursive_sql(sql: str) -> str:
+    """``sql`` with its first WITH allowing recursion; a recursive part can't be materialized."""
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1).replace("descent AS MATERIALIZED", "descent AS", 1)
+
+
+def fold_jobs(least: int, alpha: float, l1_ratio: float) -> str:
+    """One job a fold that tests one date after an embargo of one."""
+    return (f"SELECT pos - {least + 1} AS job, pos - 1 AS train_end_pos, {alpha}::DOUBLE AS alpha, {l1_ratio}::DOUBLE AS l1_ratio "
+            f"FROM cal WHERE pos >= {least + 1}")
+
+
+OOS = """SELECT date, ticker, job AS fold, intercept + list_dot_product(x, b) AS pred, forward_return
+  FROM ep JOIN jobs ON pos = train_end_pos + 1 JOIN est USING (job)"""

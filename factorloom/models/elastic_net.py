@@ -140,7 +140,8 @@ def tune(panel: DataFrame, prefixes: DataFrame, folds: DataFrame, features: Sequ
               .select("fold", "inner", "param_id", linear_score(features).alias("x"),
                       F.col(fwd).cast("double").alias("y")))
     ic = spearman(scored, ["fold", "inner", "param_id"], wide_groups=wide_groups)
-    mean = ic.groupBy("fold", "param_id").agg(F.avg("ic").alias("inner_ic"))
+    # rounded, so that candidates which rank alike tie whatever the order of the sum
+    mean = ic.groupBy("fold", "param_id").agg(F.round(F.avg("ic"), 12).alias("inner_ic"))
     best = mean.groupBy("fold").agg(F.max(F.struct("inner_ic", (-F.col("param_id")).alias("_p"))).alias("b"))
     return best.select("fold", (-F.col("b._p")).alias("param_id"), F.col("b.inner_ic").alias("inner_ic"))
 

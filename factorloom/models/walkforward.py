@@ -86,21 +86,37 @@ def walk_forward_predict(panel: DataFrame, name: str, features: Sequence[str], *
     return (reduce(DataFrame.unionByName, parts) if parts else None), history
 
 
+# The multipliers and the prime of the permutations, plain arithmetic that any engine repeats.
+_PRIME, _STEP, _SHIFT = 2_147_483_647, 1_103_515_245, 69_069
+
+
+def permutation_constants(seed: int) -> tuple[int, int]:
+    """Factor and shift of a seeded permutation."""
+    return (seed * _STEP + 12_345) % _PRIME, (seed * _SHIFT + 1) % _PRIME
+
+
+def permutation_key(place, day, seed: int):
+    """Where the ``place``-th name of a day stands in the seeded order: a cube modulo a prime. Columns or integer arrays."""
+    factor, shift = permutation_constants(seed)
+    u = (place * factor + day * shift + shift) % _PRIME
+    return u * u % _PRIME * u % _PRIME
+
+
 def shuffle_target(panel: DataFrame, target: str = "target", date: str = "date", ticker: str = "ticker",
                    seed: int = 42, wide_groups: bool = False) -> DataFrame:
     """Permute the target within each date (leakage test).
 
-    The k-th name of a date by ticker gets the target of the k-th name by a seeded hash, so
-    the permutation is reproducible whatever the partitioning.
+    The k-th name of a date by ticker gets the target of the k-th name by a seeded key of the
+    place, so the permutation is reproducible whatever the partitioning.
     """
     from factorloom.functions.cross_section import row_numbers
 
-    keyed = panel.withColumn("_h", F.xxhash64(F.lit(seed), F.col(ticker), F.col(date)).cast("double"))
-    one = keyed.withColumn("_c", F.lit(0.0))
-    slots = row_numbers(one.select(date, ticker, "_c"), [date], "_c", ticker, out="_k", wide_groups=wide_groups)
-    drawn = row_numbers(keyed.select(date, ticker, "_h", F.col(target).alias("_t")), [date], "_h", ticker,
+    one = panel.select(date, ticker, F.col(target).alias("_t"), F.lit(0.0).alias("_c"))
+    slots = row_numbers(one, [date], "_c", ticker, out="_k", wide_groups=wide_groups).drop("_c")
+    key = permutation_key(F.col("_k").cast("long"), F.unix_date(F.col(date).cast("date")).cast("long"), seed)
+    drawn = row_numbers(slots.select(date, ticker, key.cast("double").alias("_h"), "_t"), [date], "_h", ticker,
                         out="_k", wide_groups=wide_groups).select(date, "_k", "_t")
-    shuffled = slots.join(drawn, [date, "_k"]).select(date, ticker, F.col("_t").alias(target))
+    shuffled = slots.drop("_t").join(drawn, [date, "_k"]).select(date, ticker, F.col("_t").alias(target))
     return panel.drop(target).join(shuffled, [date, ticker])
 
 

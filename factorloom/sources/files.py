@@ -103,27 +103,51 @@ def monthly_macro(long_rate: DataFrame, short_rate: DataFrame, credit: DataFrame
 
 # -------------------------------------------------------------------------------- filings
 
-FILING_SCHEMA = ("map<string, map<string, struct<units: map<string, array<struct<"
-                 "start: string, `end`: string, val: double, filed: string, form: string>>>>>>")
+# Company fact documents have no fixed schema: namespaces, tags and units are keys, and a filer may
+# add its own. They stay VARIANT until single figures are taken out of them.
+_FIGURES = """
+SELECT d.ticker, d.cik, n.key AS ns, t.key AS tag, u.key AS unit, r.pos AS seq, r.value AS figure
+FROM {documents} AS d,
+  LATERAL variant_explode(try_variant_get(d.doc, '$.facts', 'variant')) AS n,
+  LATERAL variant_explode(n.value) AS t,
+  LATERAL variant_explode(try_variant_get(t.value, '$.units', 'variant')) AS u,
+  LATERAL variant_explode(u.value) AS r
+WHERE n.key IS NOT NULL AND t.key IS NOT NULL AND u.key IS NOT NULL"""
+_FIELDS = {"start": "date", "end": "date", "val": "double", "filed": "date", "form": "string"}
 
 
 def read_filings(spark: SparkSession, path: str | Sequence[str], tickers: DataFrame) -> DataFrame:
     """Company fact documents -> filing records; ``tickers`` maps cik to ticker."""
-    docs = spark.read.text(path, wholetext=True)
-    body = F.from_json("value", f"struct<cik: string, facts: {FILING_SCHEMA}>")
-    rows = docs.select(body.alias("d")).select(pad_cik(F.col("d.cik")).alias("cik"), F.col("d.facts").alias("facts"))
-    return parse_filings(rows.join(tickers.select("cik", "ticker"), "cik"))
-
-
-def parse_filings(companies: DataFrame) -> DataFrame:
-    """(ticker, cik, facts map) -> one row per reported figure, in document order."""
-    ns = companies.select("ticker", "cik", F.explode("facts").alias("ns", "tags"))
-    tags = ns.select("ticker", "cik", "ns", F.explode("tags").alias("tag", "node"))
-    units = tags.select("ticker", "cik", "ns", "tag", F.explode("node.units").alias("unit", "records"))
-    recs = units.select("ticker", "cik", "ns", "tag", "unit", F.posexplode("records").alias("seq", "r"))
-    day = lambda c: F.to_date(F.col(f"r.{c}"))
-    return recs.select("ticker", "cik", "ns", "tag", "unit", "seq", day("start").alias("start"), day("end").alias("end"),
-                       F.col("r.val").alias("val"), day("filed").alias("filed"), F.col("r.form").alias("form"))
+    docs = spark.read.text(path, wholetext=True).withColumn("doc", F.try_parse_json("value"))
+    rows = docs.select(pad_cik(F.expr("try_variant_get(doc, '$.cik', 'string')")).alias("cik"), "doc")
+    return parse_filings(rows.join(tickers.select("cik", "ticker"), "cik"))[0]
+
+
+def parse_filings(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ticker, cik, doc) with a VARIANT doc -> filing records, and what had to be rejected.
+
+    Records: one row per reported figure, in document order, whatever its namespace, tag or
+    unit. Rejects: (ticker, cik, place, reason, body) for documents that are no JSON (doc is null) or
+    have no object of facts, for entries that are no figures, and for figures with a field
+    of the wrong type. A missing or null field is a null, not a fault.
+    """
+    spark = documents.sparkSession
+    figures = spark.sql(_FIGURES, documents=documents.select("ticker", "cik", "doc"))
+    raw = {c: F.expr(f"try_variant_get(figure, '$.{c}', 'variant')") for c in _FIELDS}
+    typed = {c: F.expr(f"try_variant_get(figure, '$.{c}', '{kind}')") for c, kind in _FIELDS.items()}
+    shaped = F.schema_of_variant("figure").startswith("OBJECT")
+    wrong = [F.when(raw[c].isNotNull() & ~F.is_variant_null(raw[c]) & typed[c].isNull(), F.lit(c)) for c in _FIELDS]
+    read = figures.withColumns(typed | {"_fault": F.when(~shaped, "no figure").otherwise(
+        F.concat(F.lit("wrong type: "), F.nullif(F.concat_ws(", ", *wrong), F.lit(""))))})
+    records = read.where(F.col("_fault").isNull()).select("ticker", "cik", "ns", "tag", "unit", F.col("seq").cast("int").alias("seq"), *_FIELDS)
+    kind = F.schema_of_variant(F.expr("try_variant_get(doc, '$.facts', 'variant')"))
+    broken = documents.withColumn("_fault", F.when(F.col("doc").isNull(), "no document").when(
+        ~F.coalesce(kind.startswith("OBJECT"), F.lit(False)), "no facts")).where(F.col("_fault").isNotNull())
+    faulty = read.where(F.col("_fault").isNotNull())
+    rejects = broken.select("ticker", "cik", F.lit("").alias("place"), F.col("_fault").alias("reason"), F.to_json("doc").alias("body")).unionByName(
+        faulty.select("ticker", "cik", F.concat_ws("/", "ns", "tag", "unit", "seq").alias("place"), F.col("_fault").alias("reason"),
+                      F.to_json("figure").alias("body")))
+    return records, rejects
 
 
 def parse_ticker_map(documents: DataFrame, text: str = "value") -> DataFrame:

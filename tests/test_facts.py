@@ -152,3 +152,24 @@ def test_boundary_schema(spark):
     with pytest.raises(ValueError, match="unexpected column"):
         from pyspark.sql import functions as F
         validate_facts(ok(GOOD).withColumn("more", F.lit(1)))
+
+
+def test_documents_without_a_schema(spark):
+    """Unknown namespaces pass, broken documents and wrong types are rejected and named, absent fields are nulls."""
+    from pyspark.sql import functions as F
+
+    from factorloom.sources import files
+
+    good = '{"cik": 7, "facts": {"own": {"Widgets": {"label": "x", "units": {"pure": [{"end": "2020-03-31", "val": 4, "filed": "2020-05-01", "more": [1]}]}}}}}'
+    mixed = ('{"facts": {"us-gaap": {"Revenues": {"units": {"USD": [{"end": "soon", "val": 1}, {"end": "2020-03-31", "val": "n/a", "form": 7}, 5, null,'
+             ' {"val": null, "form": "10-Q"}]}}, "Odd": 3, "Bare": {"units": [1]}}}}')
+    docs = [("A", good), ("B", mixed), ("C", '{"facts": {"us-g'), ("D", '{"cik": 1}'), ("E", "[1, 2]"), ("F", None), ("G", '{"facts": {}}')]
+    rows = spark.createDataFrame(docs, "ticker string, value string").select(
+        "ticker", F.lit("0000000001").alias("cik"), F.try_parse_json("value").alias("doc"))
+    records, rejects = files.parse_filings(rows)
+    got = sorted((r.ticker, r.ns, r.tag, r.unit, r.seq, r.val, r.form) for r in records.collect())
+    assert got == [("A", "own", "Widgets", "pure", 0, 4.0, None), ("B", "us-gaap", "Revenues", "USD", 4, None, "10-Q")]
+    assert sorted((r.ticker, r.place, r.reason) for r in rejects.collect()) == [
+        ("B", "us-gaap/Revenues/USD/0", "wrong type: end"), ("B", "us-gaap/Revenues/USD/1", "wrong type: val"),
+        ("B", "us-gaap/Revenues/USD/2", "no figure"), ("B", "us-gaap/Revenues/USD/3", "no figure"),
+        ("C", "", "no document"), ("D", "", "no facts"), ("E", "", "no facts"), ("F", "", "no document")]

@@ -130,3 +130,45 @@ def test_all_null_feature_stays_in_the_vector(spark, panel):
     assert model.transform(early).select(F.size(F.expr("array(_features)"))).first()[0] == 1
     lin = elastic_net(FEATS, 0.001, 0.5, label_std(early)).fit(early)
     assert len(lin.stages[-1].coefficients) == 3
+
+
+def test_permutations_share_moments_and_tell_skill_from_luck(spark):
+    import numpy as np
+    import pandas as pd
+
+    from factorloom.models import elastic_net, permutation
+    from factorloom.operators.evaluate import information_coefficient
+    from factorloom.params import WalkForwardParams
+
+    rng, rows = np.random.default_rng(2), []
+    for m in range(18):
+        day = (pd.Timestamp("2020-01-31") + pd.offsets.MonthEnd(m)).date()
+        for k in range(30):
+            x, y = rng.random(), rng.random()
+            rows.append((day, f"T{k:02d}", x, y, None if k == 3 else x + 0.3 * rng.random(), x + rng.normal(), float(rng.normal())))
+    panel = spark.createDataFrame(rows, "date date, ticker string, a double, b double, target double, forward_return double, luck double")
+    wf = WalkForwardParams(8, 1, 1)
+    ic = permutation.permutation_ic(panel, ["a", "b"], permutations=30, params=wf).cache()
+    scored, _ = elastic_net.walk_forward(panel, ["a", "b"], params=wf)
+    want = {r.date: r.ic for r in information_coefficient(scored, "pred").collect()}
+    got = {r.date: r.ic for r in ic.where("perm = 0").collect()}
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-9 for d in want)
+    row = permutation.permutation_test(ic).first()
+    # a chance fit may point along the one feature that matters, so a few permutations come near
+    assert row.n_permutations == 30 and row.n_reached <= 2 and row.p_value == pytest.approx((row.n_reached + 1) / 31)
+    luck = panel.drop("forward_return").withColumnRenamed("luck", "forward_return")
+    assert permutation.permutation_test(permutation.permutation_ic(luck, ["a", "b"], permutations=30, params=wf)).first().p_value > 0.05
+
+
+def test_permuted_places_are_permutations_without_a_pattern():
+    import numpy as np
+
+    from factorloom.models.permutation import permuted_places
+
+    fixed, follow = [], []
+    for seed in range(42, 242):
+        p = permuted_places(500, 18_000, seed)
+        assert sorted(p) == list(range(500))
+        fixed.append(int((p == np.arange(500)).sum()))
+        follow.append(int((np.diff(p) == 1).sum()))
+    assert abs(np.mean(fixed) - 1) < 0.3 and abs(np.mean(follow) - 1) < 0.3
