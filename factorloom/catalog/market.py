@@ -358,6 +358,26 @@ def asof_fundamentals(spark, sf):
     return rounded(out, 6, equity=4, shares=4, net_income_ttm=4)
 
 
+@query("asof_fundamentals_bucketed", with_views(
+    f"SELECT ticker, date, availability_date, {rs(_AS_KNOWN)}, {rs(['equity', 'shares', 'net_income_ttm'], 4)} FROM joined_m",
+    *PANEL_VIEWS, extra=RAW_CTES))
+def asof_fundamentals_bucketed(spark, sf):
+    """The same join from two tables laid out by ticker: nothing is shuffled."""
+    return rounded(bucketed_fundamentals(spark, sf), 6, equity=4, shares=4, net_income_ttm=4)
+
+
+def bucketed_fundamentals(spark, sf):
+    from factorloom.plans.panel import FUNDAMENTAL_INPUTS
+    from factorloom.sinks.bucketed import write_bucketed
+
+    grid = monthly_grid(v.closes(spark, sf)).select("ticker", "date")
+    known = fund_table(spark, sf).select("ticker", "availability_date", "period_end", *FUNDAMENTAL_INPUTS)
+    left = spark.table(write_bucketed(grid, "ticker", ["date"], buckets=16))
+    right = spark.table(write_bucketed(known, "ticker", ["availability_date"], buckets=16))
+    out = asof.asof_join_colocated(left, right, "ticker", "date", "availability_date", tie="period_end")
+    return out.select("ticker", "date", "availability_date", *_AS_KNOWN, "equity", "shares", "net_income_ttm")
+
+
 @query("asof_events", """SELECT p.event_id, p.user_id, p.ts, v.event_id AS view_id, v.value AS view_value
   FROM (SELECT * FROM events WHERE event_type = 'purchase') AS p
   ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view'

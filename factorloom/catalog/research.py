@@ -14,10 +14,11 @@ from factorloom.catalog.views import with_views
 from factorloom.functions.cross_section import row_numbers
 from factorloom.models import elastic_net, folds, permutation, walkforward
 from factorloom.models.training import cross_section_at, rank_cross_section
-from factorloom.operators import backtest, evaluate, portfolio, rebalance
+from factorloom.operators import backtest, evaluate, portfolio, rebalance, sketches
 from factorloom.operators.attribution import FACTORS, coefficient_table, factor_attribution
 from factorloom.operators.portfolio import Strategy
 from factorloom.params import ELASTIC_NET, PortfolioParams, RebalanceParams, TuningParams, WalkForwardParams
+from factorloom.session import settle
 from factorloom.schema import EXPECTED_SIGNS, MACRO_FEATURES, MONTHLY_FEATURES, PANEL_COLUMNS
 
 _P = {"pairs": "SELECT 'pred' AS signal, date, ticker, pred AS x, forward_return AS y FROM preds WHERE forward_return IS NOT NULL"}
@@ -164,6 +165,31 @@ def distinct_counts(spark, sf):
     return evaluate.distinct_counts(v.table(spark, sf, "lineitem"), ["l_suppkey", "l_shipdate", "l_returnflag"])
 
 
+@query("sketched_distinct", """SELECT 'l_suppkey' AS "column", count(DISTINCT l_suppkey) AS n_distinct, true AS near FROM lineitem UNION ALL
+  SELECT 'l_orderkey', count(DISTINCT l_orderkey), true FROM lineitem UNION ALL SELECT 'l_returnflag', count(DISTINCT l_returnflag), true FROM lineitem""")
+def sketched_distinct(spark, sf):
+    """Sketches per year of shipping are stored and merged; the estimates stand beside exact counts."""
+    li, cols = v.table(spark, sf, "lineitem").withColumn("year", F.year("l_shipdate")), ["l_suppkey", "l_orderkey", "l_returnflag"]
+    merged = sketches.merged_distinct(settle(sketches.distinct_sketches(li, cols, ["year"]), "sketches")).withColumnRenamed("n_distinct", "guess")
+    near = F.abs(F.col("guess") / F.col("n_distinct") - 1) <= sketches.DISTINCT_ERROR
+    return evaluate.distinct_counts(li, cols).join(merged, "column").select("column", "n_distinct", near.alias("near"))
+
+
+@query("sketched_quantiles", """SELECT c AS "column", count(*) AS n, prob, true AS near FROM (
+    SELECT 'l_extendedprice' AS c, l_extendedprice AS x FROM lineitem UNION ALL SELECT 'l_quantity', l_quantity FROM lineitem),
+    (VALUES (0.01), (0.25), (0.5), (0.75), (0.99)) AS p(prob) WHERE x IS NOT NULL GROUP BY 1, 3""")
+def sketched_quantiles(spark, sf):
+    """Each merged estimate must stand at its share of the rows, within the error of the sketch."""
+    li, cols = v.table(spark, sf, "lineitem").withColumn("year", F.year("l_shipdate")), ["l_extendedprice", "l_quantity"]
+    stored = settle(sketches.quantile_sketches(li, cols, ["year"]), "sketches")
+    merged = F.broadcast(sketches.merged_quantiles(stored, [0.01, 0.25, 0.5, 0.75, 0.99]))  # ten rows
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols)))
+    rows = li.select(cells.alias("c")).select("c.*").where(F.col("x").isNotNull()).join(merged, "column")
+    below, upto = F.avg((F.col("x") < F.col("value")).cast("double")), F.avg((F.col("x") <= F.col("value")).cast("double"))
+    near = (below - sketches.RANK_ERROR <= F.col("prob")) & (F.col("prob") <= upto + sketches.RANK_ERROR)
+    return rows.groupBy("column", "n", "prob").agg(near.alias("near"))
+
+
 # --------------------------------------------------------------------- portfolio and backtest
 
 _TOP = "SELECT * FROM preds QUALIFY row_number() OVER (PARTITION BY date ORDER BY pred DESC, ticker) <= 10"

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from factorloom.session import settle
 
@@ -28,23 +31,22 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
     payload = [c for c in right.columns if c not in by and (keep_right_on or c != right_on)]
     best = F.struct(*(F.col(c) for c in payload))
     order = F.col(tie) if tie else F.struct(*(F.col(c) for c in payload))
-    r = (right.where(F.col(right_on).isNotNull()).groupBy(*by, F.col(right_on).alias("_t"))
-         .agg(F.max_by(best, order).alias("_right"))
-         .withColumn("_side", F.lit(0)))
+    r = right.where(F.col(right_on).isNotNull()).select(
+        *by, F.col(right_on).alias("_t"), F.lit(0).alias("_side"), order.alias("_tie"), best.alias("_right"))
     row = [c for c in left.columns if c not in by]
     l = left.select(*by, F.col(left_on).alias("_t"), F.lit(1).alias("_side"),
                     F.struct(*row).alias("_left"))
     both = l.unionByName(r, allowMissingColumns=True)
     if bucket is None:
-        w = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(_FIRST, 0)
+        w = Window.partitionBy(*by).orderBy("_t", "_side", "_tie").rowsBetween(_FIRST, 0)
         out = both.withColumn("_hit", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
     else:
         both = both.withColumn("_bucket", F.date_trunc(bucket, F.col("_t")))
-        w = Window.partitionBy(*by, "_bucket").orderBy("_t", "_side").rowsBetween(_FIRST, 0)
+        w = Window.partitionBy(*by, "_bucket").orderBy("_t", "_side", "_tie").rowsBetween(_FIRST, 0)
         local = both.withColumn("_here", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
         # one row per key and bucket, so this window is as long as the bucket calendar
         ends = both.groupBy(*by, "_bucket").agg(
-            F.max_by("_right", F.when(F.col("_side") == 0, F.col("_t"))).alias("_end"))
+            F.max_by("_right", F.when(F.col("_side") == 0, F.struct("_t", "_tie"))).alias("_end"))
         earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(_FIRST, -1)
         carry = ends.select(*by, "_bucket", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
         out = local.join(carry, [*by, "_bucket"], "left").withColumn(
@@ -61,6 +63,29 @@ def as_known_on(facts: DataFrame, keys: Sequence[str], known_on, version: str =
             .agg(F.max_by(value, version).alias(value), F.max(version).alias(version)))
 
 
+def asof_join_colocated(left: DataFrame, right: DataFrame, key: str, left_on: str, right_on: str, *, tie: str | None = None) -> DataFrame:
+    """:func:`asof_join` of date columns for tables that are bucketed alike by ``key``: nothing is shuffled.
+
+    A union would lose the layout, so both sides meet as co-grouped rows; a task holds one key's
+    rows of both. Right columns keep their names and must not clash with left ones; rows of
+    one day and tie resolve to the last stored.
+    """
+    payload = [c for c in right.columns if c != key]
+    day = lambda c: F.unix_date(F.col(c)).cast("double")
+    l = left.withColumn("_t", day(left_on))
+    r = right.where(F.col(right_on).isNotNull()).withColumns({"_t": day(right_on), "_tie": day(tie) if tie else F.lit(0.0)})
+    schema = StructType([*left.schema.fields, *(StructField(c, right.schema[c].dataType) for c in payload)])
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["_t", "_tie"], kind="stable", na_position="first")
+        at = np.searchsorted(b["_t"].to_numpy(), a["_t"].to_numpy(), side="right") - 1
+        at[a["_t"].isna().to_numpy()] = -1
+        hit = b[payload].astype(object).reset_index(drop=True).reindex(np.where(at < 0, len(b), at))
+        return pd.concat([a.drop(columns="_t").reset_index(drop=True), hit.where(hit.notna(), None).reset_index(drop=True)], axis=1)[schema.names]
+
+    return l.groupBy(key).cogroup(r.groupBy(key)).applyInPandas(meet, schema)
+
+
 def asof_known(left: DataFrame, right: DataFrame, by: Sequence[str], known_on: str, period: str = "period_end",
                version: str = "filed_date", *, bucket: str | None = None) -> DataFrame:
     """Each left row with what its own day ``known_on`` knew: the newest period, in its newest version.

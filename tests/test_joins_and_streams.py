@@ -131,3 +131,16 @@ def test_late_filing_takes_points_back(spark, tmp_path):
             spark.createDataFrame([(*a, value, filed, "10-Q")], FLOW).write.mode("append").parquet(landed)
             ingest_flow_changepoints(file_stream(spark, landed, schema), target, str(tmp_path / "ck"))
     assert [(r.filed_date, r.value) for r in sink.read_table(spark, target).collect()] == [(dt.date(2020, 5, 1), 5.0)]
+
+
+def test_bucketed_tables_join_and_window_without_a_shuffle(spark):
+    from factorloom.catalog.market import bucketed_fundamentals
+    from factorloom.functions.windows import Positional
+    from factorloom.sinks.bucketed import write_bucketed
+
+    assert "Exchange" not in plan_of(bucketed_fundamentals(spark, "/root/testdata/sf0.001"))
+    rows = spark.createDataFrame([(t, p, float(p)) for t in "abc" for p in range(50)], "ticker string, pos int, ret double")
+    table = spark.table(write_bucketed(rows, "ticker", ["pos"], buckets=3))
+    p = Positional()
+    plan = plan_of(p.centred(table, "ret").withColumn("vol", p.rolling_std("ret", 40)))
+    assert "Exchange" not in plan and table.count() == 150
