@@ -1,10 +1,11 @@
 """Order statistics within cross-sections: ranks, row numbers, quantiles, z-scores.
 
 A missing value is null or NaN; infinities are ordered like other values. Ranking operators
-have two physical forms with equal results, and the caller names the one it wants:
+have physical forms with equal results, and the caller names the one it wants:
 
 * **window** (the default): one shuffle on the group, one sort per column. For groups that
   the domain bounds, such as the names of one date, or of one date and sector.
+* **frames** (``pct_rank_frames``): the same bound, many columns at once, in Arrow tables.
 * **split** (``wide_groups=True``): for groups without such a bound. Distinct values are counted,
   range-partitioned on sampled boundaries and numbered partition by partition; counts per
   partition give the offsets. Neither a group nor a hot value has to fit one task.
@@ -15,8 +16,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factorloom.session import settle
 
@@ -68,6 +71,38 @@ def pct_rank(df: DataFrame, cols: Sequence[str], by: Sequence[str], *, keys: Seq
     return df.withColumns(out)
 
 
+def pct_rank_frames(df: DataFrame, cols: Sequence[str], by: Sequence[str], *, frame: Sequence[str],
+                    names: dict[str, str] | None = None) -> DataFrame:
+    """:func:`pct_rank` of many columns at once, in Arrow tables of one ``frame`` each.
+
+    ``frame`` are some of the ``by`` columns, such as the date of (date, sector). One shuffle brings
+    a frame's rows together, as for the window form, but no column is sorted with all others in
+    tow. A frame must fit one task: the names of one date do.
+    """
+    names, cols, schema = names or {}, list(cols), df.schema
+    rest = [b for b in by if b not in frame]
+    for c in cols:
+        if names.get(c, c) not in df.columns:
+            schema = T.StructType([*schema.fields, T.StructField(names[c], T.DoubleType())])
+    ranked = {names.get(c, c) for c in cols}
+    schema = T.StructType([T.StructField(f.name, T.DoubleType()) if f.name in ranked else f for f in schema.fields])
+
+    def rank(part: pa.Table) -> pa.Table:
+        x = part.select(cols).to_pandas().astype(float)
+        if rest:
+            x = x.groupby([part[b].to_pandas() for b in rest], dropna=True)
+        order = x.rank(method="average", pct=True)
+        out = {f.name: part[f.name] for f in schema.fields if f.name not in ranked}
+        out |= {names.get(c, c): pa.array(order[c], pa.float64(), from_pandas=True) for c in cols}
+        return pa.table({f.name: out[f.name] for f in schema.fields})
+
+    # rows of a null frame get no rank, and one task shall not hold them all
+    present = _groups_present(frame)
+    none = {names.get(c, c): F.lit(None).cast("double") for c in cols}
+    lost = df.where(~present).withColumns(none).select(*schema.names)
+    return df.where(present).groupBy(*frame).applyInArrow(rank, schema).unionByName(lost)
+
+
 def _melt(df: DataFrame, cols: Sequence[str], by: Sequence[str], keys: Sequence[str]) -> DataFrame:
     ids = list(dict.fromkeys([*keys, *by]))
     pairs = F.explode(F.array(*(

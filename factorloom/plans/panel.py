@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.functions.cross_section import normalize, pct_rank
+from factorloom.functions.cross_section import normalize, pct_rank, pct_rank_frames
 from factorloom.functions.scalars import with_valuation
 from factorloom.functions.windows import Positional
 from factorloom.operators.asof import asof_join
@@ -73,13 +73,14 @@ def assemble_panel(prices: DataFrame, fundamentals: DataFrame, macro: DataFrame,
     panel = panel.select(*[c for c in PANEL_COLUMNS if c != "target"])
     if not normalized:
         return panel
-    # a group holds at most the names of one date, so the window form of the ranks is right
+    # a date holds at most all names, so ranks may be taken a date at a time
     # the target is ranked with the features: same groups, same shuffle
     panel = panel.withColumn("target", F.col("forward_return"))
     by = ["date", "gics_sector"]
     if params.scheme == "rank" and params.sector_neutral:
-        return pct_rank(panel, [*MONTHLY_FEATURES, "target"], by, keys=("date", "ticker"),
-                        wide_groups=wide_groups).select(*PANEL_COLUMNS)
+        if not wide_groups:
+            return pct_rank_frames(panel, [*MONTHLY_FEATURES, "target"], by, frame=["date"]).select(*PANEL_COLUMNS)
+        return pct_rank(panel, [*MONTHLY_FEATURES, "target"], by, keys=("date", "ticker"), wide_groups=True).select(*PANEL_COLUMNS)
     panel = normalize(panel, MONTHLY_FEATURES, scheme=params.scheme, sector_neutral=params.sector_neutral,
                       winsorize_pct=params.winsorize_pct, wide_groups=wide_groups)
     return pct_rank(panel, ["target"], by, keys=("date", "ticker"), wide_groups=wide_groups).select(*PANEL_COLUMNS)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.functions.cross_section import normalize, pct_rank
+from factorloom.functions.cross_section import normalize, pct_rank, pct_rank_frames
 from factorloom.functions.scalars import with_valuation
 from factorloom.functions.windows import Positional
 from factorloom.operators.calendar import calendar, every_kth
@@ -87,12 +87,14 @@ def assemble_panel_daily(bars: DataFrame, fundamentals: DataFrame, sectors: Data
     panel = panel.select("date", "ticker", "gics_sector", "market_cap", *DAILY_FEATURES, *fwd)
     if not normalized:
         return panel
-    # a group holds at most the names of one date, so the window form of the ranks is right
+    # a date holds at most all names, so ranks may be taken a date at a time
     by, keys = ["date", "gics_sector"], ("date", "ticker")
     targets = {f"target_{h}d": F.col(f"fwd_{h}d") for h in horizons}
     panel = panel.withColumns(targets)
     if params.scheme == "rank" and params.sector_neutral:
-        return pct_rank(panel, [*DAILY_FEATURES, *targets], by, keys=keys, wide_groups=wide_groups)
+        if not wide_groups:
+            return pct_rank_frames(panel, [*DAILY_FEATURES, *targets], by, frame=["date"])
+        return pct_rank(panel, [*DAILY_FEATURES, *targets], by, keys=keys, wide_groups=True)
     panel = normalize(panel, DAILY_FEATURES, scheme=params.scheme, sector_neutral=params.sector_neutral,
                       winsorize_pct=params.winsorize_pct, wide_groups=wide_groups)
     return pct_rank(panel, list(targets), by, keys=keys, wide_groups=wide_groups)

@@ -260,3 +260,17 @@ def test_rank_forms_define_odd_values_alike(spark, wide):
     for g in groups:
         own = sorted(((r.x, r.id), r.k, r.n) for r in rows if r.g == g)
         assert [k for _, k, _ in own] == list(range(1, len(own) + 1)) and {n for _, _, n in own} == {len(own)}
+
+
+@pytest.mark.parametrize("by", [["date", "sector"], ["date"]])
+def test_ranks_by_frames_equal_the_window_form(spark, by):
+    rng = random.Random(8)
+    value = lambda: rng.choice([None, float("nan"), float("inf"), -float("inf"), *[float(rng.randrange(6)) for _ in range(8)]])
+    rows = [(rng.choice([*days(4), None]), f"T{i}", rng.choice(["a", "b", None]), value(), value(), rng.choice([None, 3])) for i in range(200)]
+    df = spark.createDataFrame(rows, "date date, ticker string, sector string, x double, y double, n int")
+    names = {"y": "y_rank"}
+    window = xs.pct_rank(df, ["x", "y"], by, keys=["date", "ticker"], names=names)
+    frames = xs.pct_rank_frames(df, ["x", "y"], by, frame=["date"], names=names)
+    key = lambda d: {r.ticker: (r.date, r.sector, r.x, r.y_rank, r.n, str(r.y)) for r in d.collect()}
+    assert key(window) == key(frames) and frames.columns == window.columns
+    assert xs.pct_rank_frames(df.limit(0), ["x"], by, frame=["date"]).count() == 0
