@@ -223,3 +223,29 @@ def macro_files(spark, sf):
         F.when(F.count(F.lit(1)) % 5 == 0, ".").otherwise(F.max("o_totalprice").cast("string")).alias("RATE"))
     o.write.option("header", True).csv(path)
     return files.read_macro_series(spark, path, "long_rate")
+
+
+_REASON = """CASE WHEN kind = 'sell' THEN 'model rank ' || rank || ' is below the last rank kept (20)'
+    WHEN kind = 'review' THEN 'no score from the model; untouched' WHEN kind = 'buy' AND price IS NULL THEN 'model rank ' || rank || '; no price to size the order with'
+    WHEN kind = 'buy' THEN 'new position, model rank ' || rank WHEN price IS NULL THEN 'no price; size unchanged'
+    WHEN action = 'HOLD' THEN 'kept, model rank ' || rank || ', off target by ' || printf('%+.0f%%', drift * 100)
+    ELSE 'resized, model rank ' || rank || ', off target by ' || printf('%+.0f%%', drift * 100) || ' (band 25%)' END"""
+
+
+@query("plan_reasons", with_views(f"""SELECT account_id, ticker, {_REASON} AS reason, {r('score', 'score')}, {r('tv', 'target_value', 3)}
+  FROM acts LEFT JOIN (SELECT ticker, score FROM names) USING (ticker)""", "bars_d", extra=_PLAN))
+def plan_reasons(spark, sf):
+    """Why each line of the plan is there, its score and the value aimed at."""
+    return rounded(_whole_plan(spark, sf).select("account_id", "ticker", "reason", "score", "target_value"), 6, target_value=3)
+
+
+@query("rebalance_totals", with_views(f"""SELECT account_id, {r('cash + stock', 'sleeve_value', 1)}, {r('tpn', 'target_per_name', 1)},
+    {r('CASE WHEN cash + stock <> 0 THEN traded / (2 * (cash + stock)) ELSE 0 END', 'turnover')}
+  FROM (SELECT account_id, cash, coalesce(sum(CASE WHEN action <> 'REVIEW' THEN current_shares * price END), 0) AS stock,
+      coalesce(sum(abs(trade_shares * price)), 0) AS traded, coalesce(max(tv), 0) AS tpn
+    FROM money LEFT JOIN (SELECT plan.*, tv FROM plan LEFT JOIN target USING (account_id)) USING (account_id) GROUP BY account_id, cash)""", "bars_d", extra=_PLAN))
+def rebalance_totals(spark, sf):
+    """Sleeve, value per name and turnover of each account."""
+    cash = _accounts(spark, sf)[1]
+    out = rebalance.plan_summary(_whole_plan(spark, sf), cash, _RB)
+    return rounded(out.select("account_id", "sleeve_value", "target_per_name", "turnover"), 1, turnover=6)
