@@ -45,8 +45,8 @@ def format_turns(turns: DataFrame, tokenizer: str, learn: str = "assistant") ->
     The loss covers ids ``loss_from`` to ``loss_to`` (places in the conversation, end exclusive):
     the text of turns whose role is ``learn``, an empty range for others.
 
-    Turns follow by turn number (nulls first), then role, then text, so ties and repeated rows
-    have a defined order; null roles and texts are empty; rows with a null conversation id
+    Turns follow by turn number (nulls first), then role, then a hash of the text, so ties and repeated
+    rows have a defined order; null roles and texts are empty; rows with a null conversation id
     form one conversation. Columns other than conv_id, turn, role and text are not read, and
     an empty table gives an empty one. Encoding needs no grouping; numbering streams over a
     conversation sorted by Spark, so a very long one costs time in its task but no memory.

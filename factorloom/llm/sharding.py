@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,7 +100,7 @@ def shuffle_into_shards(df: DataFrame, shards: int, keys: tuple[str, ...] = ("do
         row_sums[p % parts] += n
     column_sums = [total // shards + (s < total % shards) for s in range(shards)]
     matrix = communication_matrix(row_sums, column_sums, seed)
-    cuts = [{"p": p, "c": [sum(row[: s + 1]) for s in range(shards)]} for p, row in enumerate(matrix)]
+    cuts = [{"p": p, "c": list(accumulate(row))} for p, row in enumerate(matrix)]
     cuts = small_table(df.sparkSession, cuts, "p: bigint, c: array<bigint>").select(F.col("p").alias(part), F.col("c").alias(cut))
 
     pieces = max(8, math.ceil(total / shards / part_rows))
