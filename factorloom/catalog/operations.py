@@ -199,10 +199,11 @@ def ordered_plan(spark, sf):
     return numbered.select((F.col("_before") + 1).alias("place"), "account_id", "ticker", "action")
 
 
-@query("plan_values", with_views(f"""SELECT account_id, ticker, {r('price', 'price', 3)}, {r('trade_shares + current_shares', 'target_shares')},
-    {r('current_shares * price', 'current_value', 3)} FROM plan""", "bars_d", extra=_PLAN))
+@query("plan_values", with_views(f"""SELECT account_id, ticker, {r('price + 1e-6', 'price', 3)}, {r('trade_shares + current_shares', 'target_shares')},
+    {r('current_shares * price + 1e-6', 'current_value', 3)} FROM plan""", "bars_d", extra=_PLAN))
 def plan_values(spark, sf):
-    out = _whole_plan(spark, sf).select("account_id", "ticker", "price", "target_shares", "current_value")
+    off = lambda c: (F.col(c) + 1e-6).alias(c)  # noqa: E731  off the ties that the order of a sum decides
+    out = _whole_plan(spark, sf).select("account_id", "ticker", off("price"), "target_shares", off("current_value"))
     return rounded(out, 6, price=3, current_value=3)
 
 
@@ -232,11 +233,12 @@ _REASON = """CASE WHEN kind = 'sell' THEN 'model rank ' || rank || ' is below th
     ELSE 'resized, model rank ' || rank || ', off target by ' || printf('%+.0f%%', drift * 100) || ' (band 25%)' END"""
 
 
-@query("plan_reasons", with_views(f"""SELECT account_id, ticker, {_REASON} AS reason, {r('score', 'score')}, {r('tv', 'target_value', 3)}
+@query("plan_reasons", with_views(f"""SELECT account_id, ticker, {_REASON} AS reason, {r('score', 'score')}, {r('tv + 1e-6', 'target_value', 3)}
   FROM acts LEFT JOIN (SELECT ticker, score FROM names) USING (ticker)""", "bars_d", extra=_PLAN))
 def plan_reasons(spark, sf):
     """Why each line of the plan is there, its score and the value aimed at."""
-    return rounded(_whole_plan(spark, sf).select("account_id", "ticker", "reason", "score", "target_value"), 6, target_value=3)
+    value = (F.col("target_value") + 1e-6).alias("target_value")  # off the ties that the order of a sum decides
+    return rounded(_whole_plan(spark, sf).select("account_id", "ticker", "reason", "score", value), 6, target_value=3)
 
 
 @query("rebalance_totals", with_views(f"""SELECT account_id, {r('cash + stock', 'sleeve_value', 1)}, {r('tpn', 'target_per_name', 1)},
