@@ -185,7 +185,7 @@ def trade_list(spark, sf):
     path = scratch_dir(spark, "trades")
     sink.write_trades_csv(_whole_plan(spark, sf), path)
     kinds = "ticker long, action string, rank int, trade_shares double, account_id long"
-    names = spark.read.option("header", True).csv(path)
+    names = sink.read_trades_csv(spark, path, rebalance.PLAN_COLUMNS)
     return names.select(*(F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in kinds.split(", ")))
 
 

@@ -342,6 +342,29 @@ def write_universe(spark: SparkSession, path: str, listing: DataFrame) -> None:
 
 
 def write_trades_csv(plan: DataFrame, path: str) -> None:
-    """Trade lists as CSV, one folder per account, actions that trade only."""
+    """Trade lists as CSV, one folder per account, actions that trade only.
+
+    An account is one file. Making files is the cost here, not bytes, so accounts are dealt over more tasks than
+    cores by number (a size-based merge would leave one), and each task moves its own files when it commits. A task
+    that runs again writes files of the same names.
+    """
     trades = plan.where(F.col("action").isin("SELL", "TRIM", "BUY", "ADD"))
-    trades.write.mode("overwrite").partitionBy("account_id").option("header", "true").csv(path)
+    spark = trades.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    (trades.repartition(tasks, "account_id").write.mode("overwrite").partitionBy("account_id").option("header", "true")
+     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").csv(path))
+
+
+def read_trades_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """What :func:`write_trades_csv` wrote for a plan of ``columns``, as text.
+
+    The schema is given, so the folders are listed once, by a few tasks a core instead of one task a folder.
+    """
+    schema = ", ".join(f"`{c}` string" for c in [*(c for c in columns if c != "account_id"), "account_id"])
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    finally:
+        spark.conf.set(name, before)

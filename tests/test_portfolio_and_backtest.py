@@ -141,3 +141,19 @@ def test_rebalance_actions(plan):
     s = {r.account_id: r for r in summary}
     assert s["a"].sleeve_value == pytest.approx(1000 + 10 * 50 + 100 * 50 + 5 * 50)
     assert s["c"].cash_after == pytest.approx(5000 - 4 * 25 * 50) and s["c"].n_buy == 4
+
+
+def test_trade_list_is_one_file_an_account_dealt_over_tasks(spark, tmp_path):
+    from factorloom.operators.rebalance import PLAN_COLUMNS
+    from factorloom.sinks.tables import read_trades_csv, write_trades_csv
+
+    given = {"account_id": "id % 40", "ticker": "concat('T', id)", "action": "IF(id % 5 = 0, 'HOLD', 'BUY')", "trade_shares": "CAST(id AS DOUBLE)"}
+    plan = spark.range(0, 400, 1, 6).selectExpr(*(f"{given.get(c, 'CAST(NULL AS DOUBLE)')} AS {c}" for c in PLAN_COLUMNS))
+    write_trades_csv(plan, str(tmp_path / "t"))
+    files = sorted((tmp_path / "t").rglob("*.csv"))
+    # accounts 0, 5, ... hold only
+    assert len(files) == 32 == len({f.parent for f in files})
+    assert len({f.name.split("-")[1] for f in files}) > 4  # tasks
+    back = read_trades_csv(spark, str(tmp_path / "t"), PLAN_COLUMNS)
+    got = {(int(r.account_id), r.ticker, float(r.trade_shares)) for r in back.collect()}
+    assert got == {(i % 40, f"T{i}", float(i)) for i in range(400) if i % 5}
