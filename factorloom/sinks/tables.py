@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from factorloom import params
 from factorloom.schema import CASH_TICKER, FACTOR_NAMES, FACTS, FUNDAMENTAL_COLUMNS, PANEL_COLUMNS, require_columns
-from factorloom.session import settle
+from factorloom.session import fine_parts, settle
 
 
 @dataclass
@@ -283,8 +283,9 @@ def write_backtest(result, summary_path: str, returns_path: str, settings: dict)
 def holdings_rows(positions: DataFrame, as_of: str) -> DataFrame:
     """Parsed positions (with their ``$CASH`` rows) stamped with the snapshot date.
 
-    Accounts without a cash row get one of 0 dollars.
+    Accounts without a cash row get one of 0 dollars. Positions are read twice, so they are written once.
     """
+    positions = settle(positions, "positions")
     cash = positions.groupBy("account_id").agg(
         F.count_if(F.col("ticker") == CASH_TICKER).alias("_n")).where("_n = 0").select(
         "account_id", F.lit(CASH_TICKER).alias("ticker"), F.lit(0.0).alias("shares"),
@@ -349,9 +350,7 @@ def write_trades_csv(plan: DataFrame, path: str) -> None:
     that runs again writes files of the same names.
     """
     trades = plan.where(F.col("action").isin("SELL", "TRIM", "BUY", "ADD"))
-    spark = trades.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    (trades.repartition(tasks, "account_id").write.mode("overwrite").partitionBy("account_id").option("header", "true")
+    (trades.repartition(fine_parts(trades.sparkSession), "account_id").write.mode("overwrite").partitionBy("account_id").option("header", "true")
      .option("mapreduce.fileoutputcommitter.algorithm.version", "2").csv(path))
 
 

@@ -274,3 +274,17 @@ def test_ranks_by_frames_equal_the_window_form(spark, by):
     key = lambda d: {r.ticker: (r.date, r.sector, r.x, r.y_rank, r.n, str(r.y)) for r in d.collect()}
     assert key(window) == key(frames) and frames.columns == window.columns
     assert xs.pct_rank_frames(df.limit(0), ["x"], by, frame=["date"]).count() == 0
+
+
+def test_frame_correlations_equal_window_ones_without_a_row_per_pair(spark):
+    from factorloom.operators import evaluate
+
+    nan = float("nan")
+    rows = [("d1", float(i % 4), None if i == 3 else nan if i == 5 else float(-i), float((i * 3) % 7)) for i in range(20)]
+    rows += [(None, float(i), 1.0, float(i % 3)) for i in range(8)] + [("d2", float(i), float(i), float(i)) for i in range(4)]
+    panel = spark.createDataFrame(rows, "date string, a double, b double, y double")
+    got = evaluate.information_coefficient(panel, ["a", "b"], target="y")
+    want = evaluate.spearman(evaluate._pairs(panel, ["a", "b"], "y", ["date"]), ["signal", "date"])
+    key = lambda df: sorted((r.signal, str(r.date), round(r.ic, 12)) for r in df.collect())
+    assert got.columns == want.columns and key(got) == key(want) and len(key(got)) == 3
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
