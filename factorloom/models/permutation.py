@@ -21,7 +21,27 @@ from factorloom.models.walkforward import permutation_key
 from factorloom.operators.calendar import calendar
 from factorloom.operators.evaluate import MIN_PAIRS, ic_summary
 from factorloom.params import ELASTIC_NET, WalkForwardParams
-from factorloom.session import settle, ship_package
+from factorloom.session import fine_parts, settle, ship_package
+
+#: Numbers of one block of (names, permutations) that a task holds.
+BLOCK_CELLS = 1 << 22
+
+
+def _blocks(names: int, n: int) -> list[slice]:
+    """``n`` permutations of ``names`` names in blocks of about BLOCK_CELLS numbers."""
+    step = max(1, BLOCK_CELLS // max(names, 1))
+    return [slice(i, min(i + step, n)) for i in range(0, n, step)]
+
+
+def average_ranks(v: np.ndarray) -> np.ndarray:
+    """Average-tie ranks of a vector without NaN."""
+    order = np.argsort(v)
+    at = v[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    end = np.r_[first[1:], len(v)]
+    out = np.empty(len(v))
+    out[order] = np.repeat((first + end + 1) / 2, end - first)
+    return out
 
 
 def permuted_places(n: int, day: int, seed: int) -> np.ndarray:
@@ -35,8 +55,9 @@ def permuted_sums(panel: DataFrame, features: Sequence[str], target: str, seeds:
     """(date, perm, sums): feature-target sums per date under each seed; perm 0 is the target as it is.
 
     Only rows with a target take part, so every permutation keeps the date's feature moments. A task
-    holds the names of one date and a block of numbers the size of (names, permutations).
+    holds the names of one date and a block of BLOCK_CELLS numbers.
     """
+    ship_package(panel.sparkSession)
     seeds, k = list(seeds), len(features)
     cols = [c.alias(f"x{i}") for i, c in enumerate(imputed(features))]
     rows = panel.where(F.col(target).isNotNull()).select(
@@ -45,11 +66,13 @@ def permuted_sums(panel: DataFrame, features: Sequence[str], target: str, seeds:
     def sums(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(ticker, kind="stable")
         x, t, day = part[[f"x{i}" for i in range(k)]].to_numpy(), part["_t"].to_numpy(), int(part["_day"].iloc[0])
-        shuffled = np.stack([t, *(t[permuted_places(len(t), day, s)] for s in seeds)], axis=1)
-        return pd.DataFrame({date: part[date].iloc[0], "perm": np.arange(len(seeds) + 1), "sums": list((x.T @ shuffled).T)})
+        drawn = lambda s: t if s is None else t[permuted_places(len(t), day, s)]
+        every = [None, *seeds]
+        out = [(x.T @ np.stack([drawn(s) for s in every[b]], axis=1)).T for b in _blocks(len(t), len(every))]
+        return pd.DataFrame({date: part[date].iloc[0], "perm": np.arange(len(every)), "sums": list(np.concatenate(out))})
 
     kind = panel.schema[date].dataType.simpleString()
-    return rows.groupBy(date).applyInPandas(sums, f"{date} {kind}, perm int, sums array<double>")
+    return rows.repartition(fine_parts(panel.sparkSession), date).groupBy(date).applyInPandas(sums, f"{date} {kind}, perm int, sums array<double>")
 
 
 def permutation_ic(panel: DataFrame, features: Sequence[str], *, permutations: int = 200, seed: int = 42, target: str = "target",
@@ -101,16 +124,26 @@ def permutation_ic(panel: DataFrame, features: Sequence[str], *, permutations: i
             return empty
         fits = right["models"].iloc[0]
         beta = np.array([f["coef"] for f in fits], float)
-        scores = left[[f"x{i}" for i in range(p)]].to_numpy() @ beta.T + np.array([f["intercept"] for f in fits])
-        ranks = pd.DataFrame(np.round(scores, 9)).rank().to_numpy()
-        y = left["_y"].rank().to_numpy()
-        dx, dy = ranks - ranks.mean(axis=0), y - y.mean()
-        size = np.sqrt((dx**2).sum(axis=0) * (dy**2).sum())
-        ic = np.divide(dx.T @ dy, size, out=np.full(len(fits), np.nan), where=size > 0)
+        x, y = left[[f"x{i}" for i in range(p)]].to_numpy(), left["_y"].to_numpy()
+        add = np.array([f["intercept"] for f in fits])
+        ic = np.full(len(fits), np.nan)
+        if not np.isnan(y).any():
+            dy = average_ranks(y) - (len(y) + 1) / 2
+            for b in _blocks(len(y), len(fits)):
+                scores = np.round(x @ beta[b].T + add[b], 9)
+                for at, score in enumerate(scores.T, b.start):
+                    if np.isnan(score).any():
+                        continue
+                    dx = average_ranks(score) - (len(y) + 1) / 2
+                    size = np.sqrt((dx * dx).sum() * (dy * dy).sum())
+                    if size > 0:
+                        ic[at] = (dx * dy).sum() / size
         out = pd.DataFrame({date: left[date].iloc[0], "perm": [f["perm"] for f in fits], "ic": ic})
         return out.dropna()
 
     kind = panel.schema[date].dataType.simpleString()
+    n = fine_parts(panel.sparkSession)
+    rows, by_date = rows.repartition(n, date), by_date.repartition(n, date)
     return rows.groupBy(date).cogroup(by_date.groupBy(date)).applyInPandas(correlate, f"{date} {kind}, perm int, ic double")
 
 

@@ -172,3 +172,17 @@ def test_permuted_places_are_permutations_without_a_pattern():
         fixed.append(int((p == np.arange(500)).sum()))
         follow.append(int((np.diff(p) == 1).sum()))
     assert abs(np.mean(fixed) - 1) < 0.3 and abs(np.mean(follow) - 1) < 0.3
+
+
+def test_permutation_blocks_give_the_same_series(spark, monkeypatch):
+    """A task holds a block of permutations, not all of a date."""
+    from factorloom.models import permutation
+
+    assert [(b.start, b.stop) for b in permutation._blocks(permutation.BLOCK_CELLS // 2, 5)] == [(0, 2), (2, 4), (4, 5)]
+    rows = [(f"2020-01-{d + 1:02d}", i, float((i * 7 + d) % 11), float((i * 5 + d) % 13)) for d in range(4) for i in range(12)]
+    panel = spark.createDataFrame(rows, "date string, ticker long, a double, target double").withColumn("date", F.to_date("date"))
+    whole = {(r.date, r.perm): list(r.sums) for r in permutation.permuted_sums(panel, ["a"], "target", [1, 2, 3]).collect()}
+    monkeypatch.setattr(permutation, "BLOCK_CELLS", 24)
+    assert permutation._blocks(12, 4) == [slice(0, 2), slice(2, 4)]
+    parts = {(r.date, r.perm): list(r.sums) for r in permutation.permuted_sums(panel, ["a"], "target", [1, 2, 3]).collect()}
+    assert len(whole) == 16 and parts == whole
