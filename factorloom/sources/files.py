@@ -239,7 +239,8 @@ def _headers(lines: DataFrame) -> DataFrame:
 
 def _position_rows(lines: DataFrame) -> DataFrame:
     heads = _headers(lines).where(F.col("_it").isNotNull() & F.col("_iq").isNotNull())
-    body = lines.join(heads, "account_id").where(F.col("line_no") > F.col("_at")).where(F.trim("line") != "")
+    # one short row per account is hashed; the lines are not sorted
+    body = lines.join(heads.hint("shuffle_hash"), "account_id").where(F.col("line_no") > F.col("_at")).where(F.trim("line") != "")
     cell = lambda i: F.get("_cells", (F.col(i) - 1).cast("int"))
     return body.withColumn("_cells", _cells(F.col("line"))).select(
         "account_id", cell("_it").alias("_ticker"), cell("_iq").alias("_qty"),
