@@ -28,6 +28,8 @@ from factorloom.streaming.incremental import drain
 
 # Quarters from a chain's fiscal start to a point on it, as in the batch form.
 SLOTS = range(-1, 6)
+#: Neighbouring quarters, and filing days, whose state is one value: reading or writing one is a round trip to the store.
+QUARTERS_HELD, DAYS_HELD = 16, 1461
 #: The state store that this operator needs.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _EPOCH = dt.date(1970, 1, 1)
@@ -90,6 +92,40 @@ def quarter_points(quarter: int, chains: dict[int, dict], direct: dict) -> list[
     return out
 
 
+class Held:
+    """A map state as one call sees it: bodies by day or quarter, kept in blocks of ``width`` neighbours.
+
+    A block is read once and, if anything in it changed, written once by ``save``. A block's size is
+    bounded by the filings of its years, whatever the length of a key's history.
+    """
+
+    def __init__(self, state, width: int):
+        self.state, self.width, self.blocks, self.read = state, width, {}, {}
+
+    def _block(self, at: int) -> dict:
+        n = at // self.width
+        if n not in self.blocks:
+            row = self.state.getValue((n,))
+            self.read[n] = row[0] if row is not None else "{}"
+            self.blocks[n] = json.loads(self.read[n])
+        return self.blocks[n]
+
+    def get(self, at: int, default):
+        return self._block(at).get(str(at), default)
+
+    def put(self, at: int, body) -> None:
+        self._block(at)[str(at)] = body
+
+    def setdefault(self, at: int, default):
+        return self._block(at).setdefault(str(at), default)
+
+    def save(self) -> None:
+        for n, block in self.blocks.items():
+            body = json.dumps(block)
+            if body != self.read[n]:
+                self.state.updateValue((n,), (body,))
+
+
 class FilingState(StatefulProcessor):
     """State of one (ticker, concept): chains, three-month values, forms and emitted change points, each a map by day or quarter."""
 
@@ -97,71 +133,57 @@ class FilingState(StatefulProcessor):
         self.by, self.names = list(by), schema.names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.chains, self.direct, self.forms, self.points = (
-            handle.getMapState(name, "at int", "body string") for name in ("chains", "direct", "forms", "points"))
-
-    @staticmethod
-    def _get(state, at: int, default):
-        return json.loads(state.getValue((at,))[0]) if state.containsKey((at,)) else default
-
-    @staticmethod
-    def _put(state, at: int, body) -> None:
-        state.updateValue((at,), (json.dumps(body),))
+        self.maps = [handle.getMapState(f"{name}_held", "block int", "bodies string") for name in ("chains", "direct", "forms", "points")]
 
-    def _record(self, r, chains: dict, direct: dict, forms: dict, touched: set[int]) -> None:
-        """Fold one record into the maps that this batch changes."""
+    def _record(self, r, chains: Held, direct: Held, forms: Held, touched: set[int]) -> None:
+        """Fold one record into the maps."""
         filed, order, end = str(r.filed), list(r.ord), quarter_number(r.qend)
         if 0 <= r.days <= CUMULATIVE_MAX_DAYS:
             start = quarter_number(r.fy)
-            cell = chains.setdefault(start, self._get(self.chains, start, {})).setdefault(filed, {"seen": order, "slots": {}})
+            cell = chains.setdefault(start, {}).setdefault(filed, {"seen": order, "slots": {}})
             cell["seen"] = min(cell["seen"], order)
             slot = str(end - start)
             if end - start in SLOTS and (slot not in cell["slots"] or cell["slots"][slot] < [order, r.val]):
                 cell["slots"][slot] = [order, r.val]
             touched |= {start + j for j in SLOTS}
         if QUARTER_DAYS[0] <= r.days <= QUARTER_DAYS[1]:
-            cell = direct.setdefault(end, self._get(self.direct, end, {}))
+            cell = direct.setdefault(end, {})
             if filed not in cell or cell[filed] < [order, r.val]:
                 cell[filed] = [order, r.val]
             touched.add(end)
         if r.form:
-            form = forms.setdefault(r.filed, self._get(self.forms, r.filed, {"order": None, "form": "", "quarters": []}))
+            form = forms.setdefault(r.filed, {"order": None, "form": "", "quarters": []})
             if form["order"] is None or [form["order"], form["form"]] < [order, r.form]:
                 form |= {"order": order, "form": r.form}
                 touched |= set(form["quarters"])
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        chains: dict[int, dict] = {}
-        direct: dict[int, dict] = {}
-        forms: dict[int, dict] = {}
+        held = [Held(state, width) for state, width in zip(self.maps, (QUARTERS_HELD, QUARTERS_HELD, DAYS_HELD, QUARTERS_HELD), strict=True)]
+        chains, direct, forms, points = held
         touched: set[int] = set()
         for frame in rows:
             for r in frame.itertuples(index=False):
                 self._record(r, chains, direct, forms, touched)
-        for state, changed in ((self.chains, chains), (self.direct, direct)):
-            for at, body in changed.items():
-                self._put(state, at, body)
         states: dict[int, list] = {}
         out = []
         for quarter in sorted(touched):
             near = [quarter - j for j in SLOTS]
             for start in near:
                 if start not in states:
-                    states[start] = chain_states(chains.get(start) or self._get(self.chains, start, {}))
-            stated = direct.get(quarter) or self._get(self.direct, quarter, {})
+                    states[start] = chain_states(chains.get(start, {}))
             now = {}
-            for filed, value in quarter_points(quarter, {s: states[s] for s in near}, stated):
-                form = forms.setdefault(filed, self._get(self.forms, filed, {"order": None, "form": "", "quarters": []}))
+            for filed, value in quarter_points(quarter, {s: states[s] for s in near}, direct.get(quarter, {})):
+                form = forms.setdefault(filed, {"order": None, "form": "", "quarters": []})
                 if quarter not in form["quarters"]:
                     form["quarters"].append(quarter)
                 now[str(filed)] = [value, form["form"]]
-            before = self._get(self.points, quarter, {})
+            before = points.get(quarter, {})
             out += [(quarter, int(d), *v, False) for d, v in now.items() if before.get(d) != v]
             out += [(quarter, int(d), *v, True) for d, v in before.items() if d not in now]
             if now != before:
-                self._put(self.points, quarter, now)
-        for at, body in forms.items():
-            self._put(self.forms, at, body)
+                points.put(quarter, now)
+        for state in held:
+            state.save()
         if out:
             cells = [(*key, quarter_last_day(q), _EPOCH + dt.timedelta(d), value, form, gone) for q, d, value, form, gone in out]
             yield pd.DataFrame(cells, columns=self.names)

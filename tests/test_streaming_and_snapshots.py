@@ -211,3 +211,52 @@ def test_upsert_resolves_repeated_and_null_keys(spark):
     assert sorted(((r.k or "", r.x, r.y) for r in got)) == [("", 7.0, 0.0), ("a", 6.0, 0.0)]
     part = sink.upsert(stored, mk([("a", 5.0, 0.0), (None, 7.0, 0.0), ("n", 8.0, 0.0)]).select("k", "x"), ["k"]).collect()
     assert sorted((r.k or "", r.x, r.y) for r in part if r.k != "n") == [("", 7.0, 2.0), ("a", 5.0, 1.0)] and len(part) == 3
+
+
+def test_a_key_of_filings_costs_few_round_trips_to_the_store():
+    import datetime as dt
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from factorloom.streaming.filings import FilingState, quarter_last_day
+
+    calls, kept = [], {}
+
+    class Store:
+        def __init__(self, name):
+            self.name = name
+
+        def containsKey(self, at):
+            calls.append(at)
+            return (self.name, at) in kept
+
+        def getValue(self, at):
+            calls.append(at)
+            return kept.get((self.name, at))
+
+        def updateValue(self, at, value):
+            calls.append(at)
+            kept[self.name, at] = value
+
+    days = lambda d: (d - dt.date(1970, 1, 1)).days
+    rows = []
+    for q in range(8000, 8028):  # seven years of three-month values, each filed three times
+        end = quarter_last_day(q)
+        rows += [(days(end) + lag, days(end), days(dt.date(q // 4, 1, 1)), 91, float(q + lag // 90), "10-Q", [float(days(end)), 0.0]) for lag in (30, 60, 90)]
+    frame = pd.DataFrame(rows, columns=["filed", "qend", "fy", "days", "val", "form", "ord"])
+    names = SimpleNamespace(names=["ticker", "concept", "period_end", "filed_date", "value", "form", "gone"])
+    once = []
+    for parts in ([frame], [frame.iloc[1::2], frame.iloc[::2]]):  # the same records in one call, then in two
+        kept.clear()
+        table = {}
+        for part in parts:
+            calls.clear()
+            state = FilingState(["ticker", "concept"], names)
+            state.init(SimpleNamespace(getMapState=lambda name, *_: Store(name)))
+            for out in state.handleInputRows((1, "revenue"), iter([part]), None):
+                for r in out.itertuples(index=False):
+                    table.pop((r.period_end, r.filed_date), None) if r.gone else table.update({(r.period_end, r.filed_date): (r.value, r.form)})
+            assert len(calls) <= 40  # a map by single quarters and days takes hundreds
+        once.append(table)
+    assert once[0] == once[1] and len(once[0]) >= 28
