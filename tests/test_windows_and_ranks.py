@@ -276,6 +276,24 @@ def test_ranks_by_frames_equal_the_window_form(spark, by):
     assert xs.pct_rank_frames(df.limit(0), ["x"], by, frame=["date"]).count() == 0
 
 
+def test_frames_and_views_derive_their_input_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from factorloom.catalog import views
+    from factorloom.operators import fundamentals
+
+    df = spark.range(40).select(F.date_add(F.lit(days(1)[0]), (F.col("id") % 3).cast("int")).alias("date"), F.col("id").cast("double").alias("x"))
+    plan = xs.pct_rank_frames(df, ["x"], ["date"], frame=["date"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1  # a union of rows with and without a date read it twice
+
+    lines = [(1, k % 3, days(9)[k], 10.0 + k, 2.0, 0.05) for k in range(9)]
+    spark.createDataFrame(lines, "l_suppkey long, l_linenumber int, l_shipdate date, l_extendedprice double, l_quantity double, l_discount double").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    for query in (fundamentals.first_reported(views.facts(spark, str(tmp_path))), views.bars_d(spark, str(tmp_path))):
+        plan = query._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan  # one shuffle, whose parts no bytes merge
+
+
 def test_frame_correlations_equal_window_ones_without_a_row_per_pair(spark):
     from factorloom.operators import evaluate
 
