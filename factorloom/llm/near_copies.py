@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factorloom.llm.components import connected_components
 from factorloom.llm.filters import bit_filter, slot_of, test_filter
 from factorloom.llm.simhash import group_near_copies, shingle_hashes
 from factorloom.llm.text import body, fresh, ready_for_python, set_aside, without
@@ -24,6 +25,8 @@ SIMILARITY = 0.8
 BANDS, BAND_HASHES = 25, 5
 #: Texts of one key that are compared all with all; more of them are dealt into blocks of about this many.
 BLOCK = 256
+#: Slots in which shingles of crowded texts are counted, to order them from rare to frequent.
+SLOTS = 1 << 18
 #: Shingles that are hashed anew at a time.
 AT_ONCE = 2048
 
@@ -111,14 +114,86 @@ def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield links()
 
 
+def _prefix_tokens(ranks: np.ndarray, mask: int):
+    """Rows of a text's rarest shingles: the token and whether it stands in the short prefix.
+
+    Of two linked sets with sizes x <= y the smaller shares one of its first x - t(x, x) + 1 shingles with the first
+    y - t(y) + 1 of the larger, t being the least overlap of a pair at SIMILARITY, in any one order of all shingles.
+    """
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, keys, short = [], [], []
+            for fp, raw in zip(batch["fp"].to_pylist(), batch["hashes"], strict=True):
+                own = np.frombuffer(raw.as_py(), np.uint64)
+                n = len(own)
+                own = own[np.lexsort((own, ranks[(own & np.uint64(mask)).astype(np.int64)]))]
+                long_prefix = n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1
+                short_prefix = n - int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * n - 1e-9)) + 1
+                names += [fp] * long_prefix
+                keys += own[:long_prefix].view(np.int64).tolist()
+                short += [i < short_prefix for i in range(long_prefix)]
+            yield pa.record_batch({"fp": pa.array(names, pa.int64()), "token": pa.array(keys, pa.int64()), "short": pa.array(short, pa.bool_())})
+
+    return tokens
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets of a partition have a shingle in each slot."""
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for raw in batch["hashes"]:
+            own = np.frombuffer(raw.as_py(), np.uint64) & np.uint64(SLOTS - 1)
+            counts += np.bincount(own.astype(np.int64), minlength=SLOTS)
+    at = np.flatnonzero(counts)
+    yield pa.record_batch({"slot": pa.array(at, pa.int64()), "n": pa.array(counts[at], pa.int64())})
+
+
+def link_crowded(sets: DataFrame, links: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Edges (u, v) that join what ``links`` leave apart among ``sets`` (fp, hashes): with them no link of two texts is lost.
+
+    Linked sets share one of their rarest shingles (``_prefix_tokens``), so the texts of each such shingle meet, unless ``links``
+    join all of them already. The order is that of counts in SLOTS slots, a table of fixed size; any order is exact, rare
+    shingles first leave out passages that all texts share. A shingle of more texts than a block is dealt into pairs of
+    blocks, its short-prefix texts against all, so every such pair is compared and a task holds two blocks at most.
+    """
+    counts = settle(sets.select("hashes").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")), "slots")
+    ranks = np.zeros(SLOTS, np.int64)
+    got = counts.toArrow()  # SLOTS rows at most
+    ranks[got["slot"].to_numpy()] = got["n"].to_numpy()
+    tokens = sets.mapInArrow(_prefix_tokens(ranks, SLOTS - 1), "fp long, token long, short boolean")
+    parts = connected_components(links).select(F.col("u").alias("fp"), F.col("v").alias("least"))
+    tokens = settle(tokens.join(parts, "fp", "left").withColumn("least", F.coalesce("least", "fp")), "tokens")
+    mark = F.sum(F.xxhash64("fp", "short").cast("decimal(38,0)")).alias("mark")
+    groups = tokens.groupBy("token").agg(F.min("least").alias("lo"), F.max("least").alias("hi"), F.count("*").alias("n"), F.count_if("short").alias("n_short"), mark)
+    # shingles of the same texts are compared once
+    groups = groups.where("lo < hi AND n_short > 0").groupBy("mark", "n", "n_short").agg(F.min("token").alias("token"))
+    parted = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
+    groups = settle(groups.select("token", parted("n_short").alias("rows"), parted("n").alias("cols")), "crowds")
+    met = tokens.join(groups, "token").withColumns({
+        "row": F.pmod(F.xxhash64("fp", "token"), F.col("rows")).cast("int"), "col": F.pmod(F.xxhash64("token", "fp"), F.col("cols")).cast("int")})
+    cell = lambda row, col: row.cast("long") * F.col("cols") + col
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # a text of the long prefix meets every row of blocks, one of the short prefix every column as well
+    as_col = met.select("fp", F.col("token").alias("key"), F.explode(F.transform(upto("rows"), lambda r: cell(r, F.col("col")))).alias("block"))
+    as_row = met.where("short").select("fp", F.col("token").alias("key"), F.explode(F.transform(upto("cols"), lambda c: cell(F.col("row"), c))).alias("block"))
+    return search_blocks(as_col.union(as_row).distinct(), sets)
+
+
+def search_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (u, v) inside each (key, block) of ``members`` (key, block, fp)."""
+    placed = members.join(sets, "fp").repartition("key", "block").sortWithinPartitions("key", "block")
+    return placed.select("key", "block", "fp", "hashes").mapInArrow(_search_blocks, "u long, v long")
+
+
 def link_texts(sketched: DataFrame, text: str, sketch: str, block: int = BLOCK) -> DataFrame:
     """Edges (u, v) over the ``shingles`` of ``sketched`` (``with_sketches``, written) that join near copies.
 
     Every edge has an exact Jaccard similarity of SIMILARITY or more over whole texts. Texts that
     share a band's key meet. Up to ``block`` of them are all compared; more are dealt by hash into
     blocks, anew for each band, and each block also gets the key's smallest text, which edited
-    copies of it resemble more than each other. So a task holds one block at a time and work grows with the number of
-    texts, whatever the size of a group; what can be missed are links inside such large groups that no band compares.
+    copies of it resemble more than each other. What that leaves apart among texts of keys with more than a block,
+    ``link_crowded`` finds exactly; so a task holds a block or two at a time whatever the size of a group.
     """
     ready_for_python(sketched.sparkSession)
     own = F.col(f"`{sketch}`")
@@ -143,8 +218,13 @@ def link_texts(sketched: DataFrame, text: str, sketch: str, block: int = BLOCK)
 
     whole = tested.select(own["shingles"].alias("fp"), F.col(f"`{text}`").alias("text")).dropDuplicates(["fp"])
     sets = settle(whole.select("fp", hashed(F.col("text")).alias("hashes")), "sets")
-    placed = members.join(sets, "fp").repartition("key", "block").sortWithinPartitions("key", "block")
-    return placed.select("key", "block", "fp", "hashes").mapInArrow(_search_blocks, "u long, v long")
+    links = search_blocks(members, sets)
+    large = buckets.where("blocks > 1").select("key")
+    if large.isEmpty():
+        return links
+    links = settle(links, "links")
+    crowded = members.join(large, "key").select("fp").distinct()
+    return links.union(link_crowded(settle(sets.join(crowded, "fp"), "crowded"), links, block))
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:

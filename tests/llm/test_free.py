@@ -268,6 +268,21 @@ def test_edited_copies_are_dropped(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(label)) and len(set(label)) == 61
 
 
+def test_no_link_is_lost_in_a_large_group(spark):
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choice("abdefghilmnorstu") for _ in range(6)) for _ in range(n)]
+    passage, rows = words(170), []
+    for _ in range(600):  # the passage is 166 of 196 shingles: any two texts have similarity 0.735, the two of a pair 0.81 or more
+        own = words(30)
+        other = [*own[:7], *words(16), *own[23:]]
+        rows += [" ".join(own + passage), " ".join(other + passage)]
+    sets = [set(near_copies.shingle_set(t).tolist()) for t in rows]
+    likeness = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert min(likeness(i, i + 1) for i in range(0, 1200, 2)) >= 0.8 > max(likeness(i, j) for i in range(0, 60, 2) for j in range(i + 2, 1200))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect()) == list(range(0, 1200, 2))
+
+
 def toxic_corpus(spark, n=1500):
     rng = random.Random(8)
     vocabulary = ["".join(rng.choice("abdefghilmnorstu") for _ in range(rng.randint(3, 8))) for _ in range(800)]
