@@ -198,9 +198,13 @@ def link_texts(sketched: DataFrame, text: str, sketch: str, block: int = BLOCK)
     ready_for_python(sketched.sparkSession)
     own = F.col(f"`{sketch}`")
     banded = sketched.where(own["size"] > 0).select(own["shingles"].alias("fp"), own["size"].alias("size"), F.explode(own["keys"]).alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n"), F.min(F.struct("size", "fp")).alias("hub"))
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    buckets = settle(buckets.where("lo < hi").select("key", blocks.alias("blocks"), F.col("hub.fp").alias("hub")), "buckets")
+    mark = F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("mark")
+    buckets = banded.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n"), F.min(F.struct("size", "fp")).alias("hub"), mark)
+    buckets = buckets.where("lo < hi").withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
+    # keys of the same texts, if no more than a block, are compared once
+    alike = F.when(F.col("blocks") > 1, F.col("key")).alias("own")
+    buckets = buckets.groupBy("mark", "n", "blocks", alike).agg(F.min("key").alias("key"), F.min("hub.fp").alias("hub"))
+    buckets = settle(buckets.select("key", "blocks", "hub"), "buckets")
     dealt = banded.join(buckets.select("key", "blocks"), "key")
     dealt = dealt.select("key", F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int").alias("block"), "fp")
     hubs = buckets.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("fp"))
