@@ -7,10 +7,19 @@ of (or the whole table): a job that fails, or rows that a guard refuses, leave t
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import csv
+import os
+import re
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
+from urllib.parse import unquote, urlsplit
+from urllib.request import url2pathname
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -342,24 +351,94 @@ def write_universe(spark: SparkSession, path: str, listing: DataFrame) -> None:
     upsert_table(spark, path, listing.select(*cols), ["ticker"])
 
 
+#: How Spark names the folder of a partition without a value, and what it writes as % and two digits in others.
+NO_VALUE, UNSAFE = "__HIVE_DEFAULT_PARTITION__", re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+
+
 def write_trades_csv(plan: DataFrame, path: str) -> None:
     """Trade lists as CSV, one folder per account, actions that trade only.
 
     An account is one file. Making files is the cost here, not bytes, so accounts are dealt over more tasks than
-    cores by number (a size-based merge would leave one), and each task moves its own files when it commits. A task
-    that runs again writes files of the same names.
+    cores by number (a size-based merge would leave one). On a disk, Hadoop's file system starts a process for each
+    file's and folder's mode, which takes far longer than the file; there the tasks make the files themselves
+    (``_fill_folders``, without Hadoop's ``.crc`` files). On other stores Spark's writer makes them, and each task
+    moves its own files when it commits. A task that runs again writes files of the same names.
     """
+    spark = plan.sparkSession
     trades = plan.where(F.col("action").isin("SELL", "TRIM", "BUY", "ADD"))
-    (trades.repartition(fine_parts(trades.sparkSession), "account_id").write.mode("overwrite").partitionBy("account_id").option("header", "true")
-     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").csv(path))
+    write = lambda df: df.write.mode("overwrite").partitionBy("account_id").option("header", "true")
+    # an empty list clears the folder wherever Spark finds it; a folder on a disk is then seen from here, too
+    write(spark.createDataFrame([], trades.schema)).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").csv(path)
+    folder = _on_disk(path)
+    if folder:
+        _fill_folders(trades, folder)
+        return
+    dealt = trades.repartition(fine_parts(spark), "account_id")
+    write(dealt).option("mapreduce.fileoutputcommitter.algorithm.version", "2").csv(path)
+
+
+def _on_disk(path: str) -> str | None:
+    """The folder's place if it is on a disk (its own or a shared one) that this process sees, else nothing."""
+    at = urlsplit(path)
+    folder = url2pathname(at.path) if at.scheme == "file" else path
+    return os.path.abspath(folder) if at.scheme in ("", "file") and os.path.isdir(folder) else None
+
+
+def _fill_folders(trades: DataFrame, folder: str) -> None:
+    """The files of ``write_trades_csv`` below a folder that all executors see: Spark's lines and folder names, one open file a task.
+
+    A file gets its name when it is whole; ``_SUCCESS`` comes when all are.
+    """
+    spark = trades.sparkSession
+    rest = [c for c in trades.columns if c != "account_id"]
+    header = spark.range(1).select(F.to_csv(F.struct(*(F.lit(c).alias(f"c{i}") for i, c in enumerate(rest))))).first()[0]
+    account = F.coalesce(F.nullif(F.col("account_id").cast("string"), F.lit("")), F.lit(NO_VALUE))
+    lines = trades.select(account.alias("account"), F.to_csv(F.struct(*(F.col(f"`{c}`") for c in rest))).alias("line"))
+    dealt = lines.repartition(fine_parts(spark), "account").sortWithinPartitions("account")
+    run = uuid.uuid4().hex
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        name = f"part-{task.partitionId():05d}-{run}.csv"
+        unnamed = f".{name}.{task.taskAttemptId()}"
+        out = at = now = None
+        n = 0
+
+        def close() -> None:
+            out.close()
+            os.replace(f"{at}/{unnamed}", f"{at}/{name}")
+
+        for batch in batches:
+            for key, line in zip(batch["account"].to_pylist(), batch["line"].to_pylist(), strict=True):
+                if key != now:
+                    if out is not None:
+                        close()
+                    now, at = key, f"{folder}/account_id={UNSAFE.sub(lambda m: f'%{ord(m[0]):02X}', key)}"
+                    os.makedirs(at, exist_ok=True)
+                    out = open(f"{at}/{unnamed}", "w", encoding="utf-8", newline="")  # noqa: SIM115
+                    out.write(header + "\n")
+                out.write(line + "\n")
+            n += batch.num_rows
+        if out is not None:
+            close()
+        yield pa.record_batch({"n": pa.array([n], pa.int64())})
+
+    dealt.mapInArrow(fill, "n long").write.format("noop").mode("overwrite").save()
+    open(f"{folder}/_SUCCESS", "w").close()
 
 
 def read_trades_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """What :func:`write_trades_csv` wrote for a plan of ``columns``, as text.
 
-    The schema is given, so the folders are listed once, by a few tasks a core instead of one task a folder.
+    On a disk one task streams the names of the folders, and many tasks read them: Spark's own reader copies its whole
+    configuration for each file. On other stores that reader lists the folders once, as the schema is given, by a few
+    tasks a core instead of one task a folder.
     """
-    schema = ", ".join(f"`{c}` string" for c in [*(c for c in columns if c != "account_id"), "account_id"])
+    rest = [c for c in columns if c != "account_id"]
+    folder = _on_disk(path)
+    if folder:
+        return _read_folders(spark, folder, rest)
+    schema = ", ".join(f"`{c}` string" for c in [*rest, "account_id"])
     name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
     before = spark.conf.get(name)
     spark.conf.set(name, str(4 * spark.sparkContext.defaultParallelism))
@@ -367,3 +446,47 @@ def read_trades_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> D
         return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
     finally:
         spark.conf.set(name, before)
+
+
+def _read_folders(spark: SparkSession, folder: str, rest: Sequence[str]) -> DataFrame:
+    """The rows of ``read_trades_csv`` from a folder that all executors see; a file with other columns is refused."""
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            with os.scandir(folder) as entries:
+                found = (e.name for e in entries if e.name.startswith("account_id="))
+                while some := list(islice(found, 10_000)):
+                    yield pa.record_batch({"name": pa.array(some, pa.string())})
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, accounts, rows = set(), [], []
+
+        def full() -> pa.RecordBatch:
+            return pa.record_batch({"account": pa.array(accounts, pa.string()), "line": pa.array(rows, pa.string())})
+
+        for batch in batches:
+            for name in batch["name"].to_pylist():
+                value = unquote(name.removeprefix("account_id="))
+                account = None if value == NO_VALUE else value
+                for file in os.listdir(f"{folder}/{name}"):
+                    if file.startswith((".", "_")):
+                        continue
+                    with open(f"{folder}/{name}/{file}", encoding="utf-8", errors="replace") as source:
+                        header = next(source, None)
+                        if header and header not in known:
+                            if next(csv.reader([header.rstrip("\n")], escapechar="\\")) != rest:
+                                raise ValueError(f"columns of {name}/{file} are {header.strip()}, not {', '.join(rest)}")
+                            known.add(header)
+                        while some := list(islice(source, 10_000)):
+                            own = [line.removesuffix("\n") for line in some if line.strip()]
+                            accounts += [account] * len(own)
+                            rows += own
+                            if len(rows) >= 10_000:
+                                yield full()
+                                accounts, rows = [], []
+        if rows:
+            yield full()
+
+    found = spark.range(1).mapInArrow(names, "name string").repartition(fine_parts(spark), "name")
+    split = F.from_csv("line", ", ".join(f"`{c}` string" for c in rest)).alias("row")
+    return found.mapInArrow(lines, "account string, line string").select("account", split).select("row.*", F.col("account").alias("account_id"))

@@ -157,3 +157,32 @@ def test_trade_list_is_one_file_an_account_dealt_over_tasks(spark, tmp_path):
     back = read_trades_csv(spark, str(tmp_path / "t"), PLAN_COLUMNS)
     got = {(int(r.account_id), r.ticker, float(r.trade_shares)) for r in back.collect()}
     assert got == {(i % 40, f"T{i}", float(i)) for i in range(400) if i % 5}
+
+
+def test_trade_list_on_a_disk_is_what_spark_writes_and_reads(spark, tmp_path):
+    import csv
+
+    from factorloom.sinks.tables import read_trades_csv, write_trades_csv
+
+    odd = [None, "", " a ", 'q"u,o\\te', "a=b/c%41:d'{x}[y]?#^*", "tab\there", "line\nbreak", "\\", "."]
+    rows = [(a, "BUY" if j % 4 else "HOLD", t, float(j)) for i, a in enumerate(odd) for j, t in enumerate([*odd[i:], *odd, "é ü"])]
+    plan = spark.createDataFrame(rows, "account_id string, action string, ticker string, trade_shares double").repartition(5)
+    columns = ["account_id", "action", "ticker", "trade_shares"]
+    (tmp_path / "t" / "account_id=old").mkdir(parents=True)  # replaced
+    write_trades_csv(plan, str(tmp_path / "t"))
+    plan.where("action = 'BUY'").write.partitionBy("account_id").option("header", True).csv(str(tmp_path / "want"))
+    folders = lambda d: {f.parent.name for f in (tmp_path / d).rglob("*.csv")}
+    assert folders("t") == folders("want") == {d.name for d in (tmp_path / "t").iterdir() if d.is_dir()}
+    assert (tmp_path / "t" / "_SUCCESS").exists()
+    # Hadoop's local file system, which starts processes for each file, made none of them
+    assert not list((tmp_path / "t").rglob("account_id=*/.*"))
+    want = spark.read.schema("action string, ticker string, trade_shares string, account_id string").option("header", True).csv(str(tmp_path / "want"))
+    got = read_trades_csv(spark, (tmp_path / "t").as_uri(), columns)
+    key = lambda r: [(v is None, v or "") for v in r]
+    assert got.columns == want.columns and sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    lines = lambda d: sorted(x for f in (tmp_path / d).rglob("*.csv") for x in csv.reader(f.open(newline=""), escapechar="\\"))
+    assert [x for x in lines("t") if x[0] == "BUY"] == [x for x in lines("want") if x[0] == "BUY"]
+    with pytest.raises(Exception, match="columns of"):
+        read_trades_csv(spark, str(tmp_path / "t"), ["account_id", "ticker", "action", "trade_shares"]).collect()
+    write_trades_csv(plan.where("action = 'HOLD'"), str(tmp_path / "t"))
+    assert read_trades_csv(spark, str(tmp_path / "t"), columns).count() == 0
