@@ -1,4 +1,4 @@
-"""Near copies by their whole texts: MinHash bands bring texts together, exact Jaccard similarity links them."""
+"""Near copies by their whole texts: SimHash fingerprints and MinHash bands bring texts together, exact Jaccard similarity links them."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factorloom.llm.components import connected_components
 from factorloom.llm.filters import bit_filter, slot_of, test_filter
-from factorloom.llm.simhash import group_near_copies, shingle_hashes
+from factorloom.llm.simhash import count_codes, group_linked, link_codes, shingle_hashes, with_fingerprints
 from factorloom.llm.text import body, fresh, ready_for_python, set_aside, without
 from factorloom.session import settle
 
@@ -186,11 +186,25 @@ def search_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
     return placed.select("key", "block", "fp", "hashes").mapInArrow(_search_blocks, "u long, v long")
 
 
-def link_texts(sketched: DataFrame, text: str, sketch: str, block: int = BLOCK) -> DataFrame:
+def fingerprint_keys(printed: DataFrame, sketch: str, name: str) -> DataFrame:
+    """(fp, size, key) of the texts with a word: one key a component of fingerprints ``name`` that op9's index links.
+
+    Texts within its distance share the key, whether the index has an edge between them or a path.
+    """
+    own = F.col(f"`{sketch}`")
+    texts = printed.where(own["size"] > 0).select(own["shingles"].alias("fp"), own["size"].alias("size"), F.col(f"`{name}`").alias("code"))
+    codes = settle(texts.select(F.col("code").alias("fp")).distinct(), "codes")
+    parts = connected_components(link_codes(codes)).select(F.col("u").alias("code"), F.col("v").alias("least"))
+    key = F.xxhash64(F.lit("fingerprint"), F.coalesce("least", "code"))
+    return settle(texts.distinct().join(parts, "code", "left").select("fp", "size", key.alias("key")).distinct(), "printed")
+
+
+def link_texts(sketched: DataFrame, text: str, sketch: str, block: int = BLOCK, fingerprint: str | None = None) -> DataFrame:
     """Edges (u, v) over the ``shingles`` of ``sketched`` (``with_sketches``, written) that join near copies.
 
     Every edge has an exact Jaccard similarity of SIMILARITY or more over whole texts. Texts that
-    share a band's key meet. Up to ``block`` of them are all compared; more are dealt by hash into
+    share a band's key meet, and so do those whose ``fingerprint`` (a column of ``with_fingerprints``, if named)
+    ``fingerprint_keys`` brings together. Up to ``block`` of them are all compared; more are dealt by hash into
     blocks, anew for each band, and each block also gets the key's smallest text, which edited
     copies of it resemble more than each other. What that leaves apart among texts of keys with more than a block,
     ``link_crowded`` finds exactly; so a task holds a block or two at a time whatever the size of a group.
@@ -198,6 +212,8 @@ def link_texts(sketched: DataFrame, text: str, sketch: str, block: int = BLOCK)
     ready_for_python(sketched.sparkSession)
     own = F.col(f"`{sketch}`")
     banded = sketched.where(own["size"] > 0).select(own["shingles"].alias("fp"), own["size"].alias("size"), F.explode(own["keys"]).alias("key"))
+    if fingerprint:
+        banded = banded.union(fingerprint_keys(sketched, sketch, fingerprint))
     mark = F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("mark")
     buckets = banded.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n"), F.min(F.struct("size", "fp")).alias("hub"), mark)
     buckets = buckets.where("lo < hi").withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
@@ -234,12 +250,12 @@ def link_texts(sketched: DataFrame, text: str, sketch: str, block: int = BLOCK)
 def drop_near_copies(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each component of near copies, one with its smallest id.
 
-    Texts are linked by ``link_texts``; equal sets of shingles are always copies, and so are null and empty texts of
-    each other. Ids and ties are as in ``group_near_copies``; an empty table gives an empty one.
+    Texts are linked by ``link_texts``, which SimHash fingerprints and MinHash bands bring together; equal sets of shingles are always copies, and so are null and empty texts of
+    each other. Ids and ties are as in ``group_linked``; an empty table gives an empty one.
     """
     aside, restore = set_aside(docs, "component_id", "kept")
-    sketch, name = fresh(aside, "sketch_", "shingles_")
-    sketched = settle(with_sketches(aside, text, sketch), "sketches")
-    links = settle(link_texts(sketched, text, sketch), "links")
-    printed = sketched.withColumn(name, F.col(f"`{sketch}`.shingles")).drop(sketch)
-    return group_near_copies(printed, row_id, name, links=links).where("kept").select(*restore)
+    sketch, name, code = fresh(aside, "sketch_", "shingles_", "fingerprint_")
+    sketched = settle(with_fingerprints(with_sketches(aside, text, sketch), text, code), "sketches")
+    links = settle(link_texts(sketched, text, sketch, fingerprint=code), "links")
+    printed = sketched.withColumn(name, F.col(f"`{sketch}`.shingles")).drop(sketch, code)
+    return group_linked(printed, count_codes(printed, row_id, name), links, row_id, name).where("kept").select(*restore)

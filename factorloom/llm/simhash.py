@@ -220,12 +220,27 @@ def link_codes(codes: DataFrame, root_codes: int = ROOT_CODES) -> DataFrame:
     return searched.union(stars)
 
 
-def group_near_copies(printed: DataFrame, row_id: str = "doc_id", name: str = "fingerprint", salts: int = SALTS,
-                      links: DataFrame | None = None) -> DataFrame:
+def count_codes(printed: DataFrame, row_id: str = "doc_id", name: str = "fingerprint") -> DataFrame:
+    """The values of ``name`` (``fp``), written, with how many rows each has (``n``) and which of them comes ``first``."""
+    ident = F.col(f"`{row_id}`")
+    order = F.struct(ident.isNull().alias("none"), ident.alias("id"), F.col(name).alias("fp"))
+    return settle(printed.groupBy(F.col(name).alias("fp")).agg(F.min(order).alias("first"), F.count("*").alias("n")), "codes")
+
+
+def group_near_copies(printed: DataFrame, row_id: str = "doc_id", name: str = "fingerprint", salts: int = SALTS) -> DataFrame:
     """Rows of ``printed`` (``with_fingerprints``, written or settled) with ``component_id`` and ``kept``.
 
-    ``component_id`` is the smallest id of all rows that links reach, the row itself included. ``links``
-    are edges (u, v) over the values of ``name``; without them, fingerprints are linked that differ in MAX_BITS bits. Copies share a fingerprint and are counted once. ``kept`` is true
+    Fingerprints are linked that differ in MAX_BITS bits at most (``link_codes``); rows, ids and ties are as in ``group_linked``.
+    """
+    codes = count_codes(printed, row_id, name)
+    return group_linked(printed, codes, link_codes(codes.select("fp")), row_id, name, salts)
+
+
+def group_linked(printed: DataFrame, codes: DataFrame, links: DataFrame, row_id: str, name: str, salts: int = SALTS) -> DataFrame:
+    """Rows of ``printed`` with ``component_id`` and ``kept``, by edges (u, v) over the values of ``name``.
+
+    ``codes`` are ``count_codes`` of the same rows. ``component_id`` is the smallest id of all rows that links reach, the row
+    itself included. Copies share a value and are counted once. ``kept`` is true
     for one row of each component, one with that smallest id. A null id counts as larger than
     any other; a component with only null ids has a null ``component_id`` and keeps one row.
     Columns named like the new ones are replaced; an empty table gives an empty one.
@@ -233,10 +248,6 @@ def group_near_copies(printed: DataFrame, row_id: str = "doc_id", name: str = "f
     printed = without(printed, "component_id", "kept")
     salt, first, found, may = fresh(printed, "salt_", "first_", "found_", "may_")
     ident = F.col(f"`{row_id}`")
-    order = F.struct(ident.isNull().alias("none"), ident.alias("id"), F.col(name).alias("fp"))
-    codes = printed.groupBy(F.col(name).alias("fp")).agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    codes = settle(codes, "codes")
-    links = link_codes(codes.select("fp")) if links is None else links
     parts = connected_components(links).select(F.col("u").alias("fp"), F.col("v").alias("least"))
     placed = codes.join(parts, "fp", "left").withColumn("least", F.coalesce("least", "fp"))
     groups = placed.groupBy("least").agg(F.min("first").alias(first), F.sum("n").alias("rows")).where("rows > 1")

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from brute import components, fingerprint, sha
 from messy_rows import messy_rows
 from pyspark.sql import functions as F
@@ -283,6 +284,35 @@ def test_no_link_is_lost_in_a_large_group(spark):
     assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect()) == list(range(0, 1200, 2))
 
 
+def test_fingerprints_bring_near_copies_together(spark, monkeypatch):
+    rng = random.Random(21)
+    words = lambda n: ["".join(rng.choice("abdefghilmnorstu") for _ in range(6)) for _ in range(n)]
+    rows = []
+    for _ in range(6):  # one word of 600 changed at the end: similarity over 0.98
+        text = words(600)
+        rows += [" ".join(text), " ".join([*text[:-1], "changed"])]
+    block = words(31) * 50  # the same repeated block before other words: almost equal fingerprints, similarity under 0.3
+    rows += [" ".join(block + words(60)), " ".join(block + words(60))]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    codes = [simhash.fingerprint(t) & (2**64 - 1) for t in rows]
+    within = [(i, i + 1) for i in range(0, 14, 2) if (codes[i] ^ codes[i + 1]).bit_count() <= 2]
+    assert (12, 13) in within and len(within) > 3
+    sets = [near_copies.shingle_set(t) for t in rows]
+    names = {xxhash.xxh64_intdigest(s.tobytes()): i for i, s in enumerate(sets)}
+    printed = simhash.with_fingerprints(near_copies.with_sketches(docs, "text", "sketch"), "text", "code")
+    # without any band the index alone brings texts together, and the exact check decides
+    bare = settle(printed.withColumn("sketch", F.col("sketch").withField("keys", F.array().cast("array<long>"))))
+    got = {tuple(sorted(names[x & (2**64 - 1)] for x in r)) for r in near_copies.link_texts(bare, "text", "sketch", fingerprint="code").collect()}
+    assert got == set(within) - {(12, 13)}
+    assert near_copies.link_texts(bare, "text", "sketch").count() == 0
+    # the stage links the fingerprints of all its texts
+    seen, link = [], near_copies.link_codes
+    monkeypatch.setattr(near_copies, "link_codes", lambda c: seen.append({r.fp & (2**64 - 1) for r in c.collect()}) or link(c))
+    left = near_copies.drop_near_copies(docs)
+    assert sorted(r.doc_id for r in left.collect()) == [0, 2, 4, 6, 8, 10, 12, 13] and left.columns == ["doc_id", "text"]
+    assert seen == [set(codes)]
+
+
 def toxic_corpus(spark, n=1500):
     rng = random.Random(8)
     vocabulary = ["".join(rng.choice("abdefghilmnorstu") for _ in range(rng.randint(3, 8))) for _ in range(800)]
